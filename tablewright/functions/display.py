@@ -18,7 +18,8 @@ def format_bytes(size: Column) -> Column:
     last = len(BYTE_UNITS) - 1
     text = None
     for power, unit in enumerate(BYTE_UNITS):
-        rendered = F.format_string(f"%.1f {unit}", size.cast("double") / F.lit(float(1024**power)))
+        scaled = size.cast("double") / F.lit(float(1024**power))
+        rendered = F.format_string(f"%.1f {unit}", F.bround(scaled, 1))
         if power == last:
             return text.otherwise(rendered)
         below = size < F.lit(1024 ** (power + 1))
