@@ -40,12 +40,17 @@ def _split_points(df: DataFrame, order_by: Sequence[str], rows_per_range: int) -
     return keys.sparkSession.createDataFrame(sample.take(list(range(step, sample.num_rows, step))), keys.schema)
 
 
-def with_ranges(df: DataFrame, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add the ordinal of the key range of each row: a pure function of the row's key."""
+def with_ranges(
+    df: DataFrame, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame | None:
+    """Add the ordinal of the key range of each row, a pure function of the row's key.
+
+    None if the table is counted to be small enough to be one range.
+    """
     require_columns(df, order_by)
     points = _split_points(df, order_by, rows_per_range)
     if points is None:
-        return df.withColumn(RANGE, F.lit(0))
+        return None
     count = points.count()
     splits = points.agg(
         F.array_sort(F.collect_list(F.struct(*[column(name) for name in order_by]))).alias("splits")
@@ -62,9 +67,9 @@ def with_ranges(df: DataFrame, order_by: Sequence[str], rows_per_range: int = RO
     return out.drop("_key")
 
 
-def _window(order_by: Sequence[str], backwards: bool = False):
+def _window(order_by: Sequence[str], backwards: bool = False, ranged: bool = True):
     order = [column(n).desc() if backwards else column(n).asc() for n in order_by]
-    return Window.partitionBy(RANGE).orderBy(*order)
+    return Window.partitionBy(F.col(RANGE) if ranged else F.lit(0)).orderBy(*order)
 
 
 def _running(window):
@@ -82,6 +87,9 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of the (unique) key."""
     ranged = with_ranges(df, order_by, rows_per_range)
+    if ranged is None:
+        position = F.row_number().over(_window(order_by, ranged=False)).cast("bigint") - 1
+        return df.select(*[column(c) for c in df.columns if c != name], position.alias(name))
     offsets = (
         ranged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_rows"))
         .select(RANGE, F.coalesce(F.sum("_rows").over(_across()), F.lit(0)).alias("_offset"))
@@ -113,18 +121,19 @@ def _filled(
         raise ValueError(f"Column '{name}' cannot be filled in its own order")
     value = present(field)
     ranged = with_ranges(df, order_by, rows_per_range)
+
+    def replaced(table: DataFrame, treated: Column) -> DataFrame:
+        return table.select(*[treated.alias(name) if c == name else column(c) for c in df.columns])
+
+    if ranged is None:
+        return replaced(df, F.last(value, ignorenulls=True).over(_running(_window(order_by, backwards, False))))
     carried = (
         ranged.groupBy(RANGE).agg(_edge(order_by, value, last=not backwards).alias("_edge"))
         .select(RANGE, F.last("_edge", ignorenulls=True).over(_across(backwards)).alias("_carry"))
     )
     local = F.last(value, ignorenulls=True).over(_running(_window(order_by, backwards)))
     filled = ranged.withColumn("_local", local).join(F.broadcast(carried), RANGE)
-    return filled.select(
-        *[
-            F.coalesce(F.col("_local"), F.col("_carry")).alias(name) if c == name else column(c)
-            for c in df.columns
-        ]
-    )
+    return replaced(filled, F.coalesce(F.col("_local"), F.col("_carry")))
 
 
 def forward_fill(
@@ -157,60 +166,69 @@ def interpolate(
         raise ValueError(f"Column '{name}' cannot be filled in its own order")
     value = as_double(field)
     ranged = with_ranges(df, order_by, rows_per_range)
+    many = ranged is not None
     known = F.when(value.isNotNull(), F.struct(F.col("_at").alias("at"), value.alias("value")))
-    placed = ranged.withColumn("_at", F.row_number().over(_window(order_by)).cast("bigint"))
+    placed = (ranged if many else df).withColumn(
+        "_at", F.row_number().over(_window(order_by, ranged=many)).cast("bigint")
+    )
     local = placed.withColumns(
         {
-            "_before": F.last(known, ignorenulls=True).over(_running(_window(order_by))),
-            "_after": F.last(known, ignorenulls=True).over(_running(_window(order_by, True))),
+            "_before": F.last(known, ignorenulls=True).over(_running(_window(order_by, ranged=many))),
+            "_after": F.last(known, ignorenulls=True).over(_running(_window(order_by, True, many))),
         }
     )
+    if many:
+        joined = local.join(F.broadcast(_neighbours_across(placed, value)), RANGE)
+        at = F.col("_offset") + F.col("_at")
+        before, after = _neighbour("before"), _neighbour("after")
+    else:
+        joined = local.withColumn("_total", F.count(value).over(Window.partitionBy(F.lit(0))))
+        at, before, after = F.col("_at"), F.col("_before"), F.col("_after")
+    between = before["value"] + (after["value"] - before["value"]) * (
+        (at - before["at"]).cast("double") / (after["at"] - before["at"])
+    )
+    estimate = (
+        F.when(value.isNotNull(), value)
+        .when(F.col("_total") < 2, F.lit(None).cast("double"))
+        .when(after.isNull(), before["value"])
+        .otherwise(between)
+    )
+    return joined.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns])
+
+
+def _neighbours_across(placed: DataFrame, value: Column) -> DataFrame:
+    """Per range: row offset, known values in all ranges, and the nearest known values outside it."""
+    place = F.when(value.isNotNull(), F.col("_at"))
     per_range = placed.groupBy(RANGE).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count(value).alias("_known"),
-        F.max_by(value, F.when(value.isNotNull(), F.col("_at"))).alias("_last_value"),
-        F.max(F.when(value.isNotNull(), F.col("_at"))).alias("_last_at"),
-        F.min_by(value, F.when(value.isNotNull(), F.col("_at"))).alias("_first_value"),
-        F.min(F.when(value.isNotNull(), F.col("_at"))).alias("_first_at"),
+        F.max_by(value, place).alias("_last_value"),
+        F.max(place).alias("_last_at"),
+        F.min_by(value, place).alias("_first_value"),
+        F.min(place).alias("_first_at"),
     )
-    everywhere = Window.partitionBy(F.lit(0))
     offsets = per_range.select(
         "*",
         F.coalesce(F.sum("_rows").over(_across()), F.lit(0)).alias("_offset"),
-        F.sum("_known").over(everywhere).alias("_total"),
+        F.sum("_known").over(Window.partitionBy(F.lit(0))).alias("_total"),
     )
 
     def edge(side: str) -> Column:
-        return F.when(
-            F.col(f"_{side}_at").isNotNull(),
-            F.struct(
-                (F.col("_offset") + F.col(f"_{side}_at")).alias("at"), F.col(f"_{side}_value").alias("value")
-            ),
-        )
+        at = F.col("_offset") + F.col(f"_{side}_at")
+        return F.when(at.isNotNull(), F.struct(at.alias("at"), F.col(f"_{side}_value").alias("value")))
 
-    carries = offsets.select(
+    return offsets.select(
         RANGE, "_offset", "_total",
         F.last(edge("last"), ignorenulls=True).over(_across()).alias("_carry_before"),
         F.last(edge("first"), ignorenulls=True).over(_across(True)).alias("_carry_after"),
     )
-    joined = local.join(F.broadcast(carries), RANGE)
 
-    def neighbour(side: str) -> Column:
-        here = F.col(f"_{side}")
-        moved = F.when(
-            here.isNotNull(), F.struct((here["at"] + F.col("_offset")).alias("at"), here["value"].alias("value"))
-        )
-        return F.coalesce(moved, F.col(f"_carry_{side}"))
 
-    at = F.col("_offset") + F.col("_at")
-    before, after = neighbour("before"), neighbour("after")
-    between = before["value"] + (after["value"] - before["value"]) * (
-        (at - before["at"]).cast("double") / (after["at"] - before["at"])
-    )
-    estimate = F.when(value.isNotNull(), value).when(F.col("_total") < 2, F.lit(None).cast("double")).otherwise(
-        F.when(after.isNull(), before["value"]).otherwise(between)
-    )
-    return joined.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns])
+def _neighbour(side: str) -> Column:
+    """Nearest known value on one side: within the range if there is one, else carried into it."""
+    here = F.col(f"_{side}")
+    moved = F.struct((here["at"] + F.col("_offset")).alias("at"), here["value"].alias("value"))
+    return F.coalesce(F.when(here.isNotNull(), moved), F.col(f"_carry_{side}"))
 
 
 def first_values(
