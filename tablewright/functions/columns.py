@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -64,24 +65,67 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return columns_of_class(df, "numeric")
 
 
-def present(field: T.StructField) -> Column:
+# SQL text is the cheap way to name many expressions at once: one call parses a whole select list.
+
+
+def text_literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def number_literal(value: float | None) -> str:
+    """A double literal; None is a null double."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    if math.isnan(value) or math.isinf(value):
+        return f"CAST('{value}' AS DOUBLE)"
+    return f"({float(value)!r}D)"
+
+
+def present_sql(field: T.StructField) -> str:
     """The column with NaN turned into null, so that null is the only missing value."""
-    value = column(field.name)
+    name = quoted(field.name)
     if isinstance(field.dataType, FLOATING):
-        return F.nanvl(value, F.lit(None).cast(field.dataType))
-    return value
+        return f"nanvl({name}, CAST(NULL AS {field.dataType.simpleString()}))"
+    return name
 
 
-def as_double(field: T.StructField) -> Column:
+def double_sql(field: T.StructField) -> str:
     """Numeric column as double: NaN is null and -0.0 is 0.0."""
-    return present(field).cast("double") + F.lit(0.0)
+    return f"(CAST({present_sql(field)} AS DOUBLE) + 0D)"
 
 
-def missing(field: T.StructField) -> Column:
-    value = column(field.name)
+def missing_sql(field: T.StructField) -> str:
+    name = quoted(field.name)
     if isinstance(field.dataType, FLOATING):
-        return value.isNull() | F.isnan(value)
-    return value.isNull()
+        return f"({name} IS NULL OR isnan({name}))"
+    return f"({name} IS NULL)"
+
+
+def percentage_sql(part: str, whole: str, digits: int) -> str:
+    """100 * part / whole, rounded; 0.0 for an empty whole."""
+    return f"coalesce(round({_share(part, whole)}, {digits}), 0D)"
+
+
+def share_sql(part: str, whole: str) -> str:
+    """100 * part / whole without rounding; 0.0 for an empty whole."""
+    return f"coalesce({_share(part, whole)}, 0D)"
+
+
+def _share(part: str, whole: str) -> str:
+    return f"try_divide(CAST({part} AS DOUBLE), CAST({whole} AS DOUBLE)) * 100D"
+
+
+def present(field: T.StructField) -> Column:
+    return F.expr(present_sql(field))
+
+
+def as_double(field: T.StructField) -> Column:
+    return F.expr(double_sql(field))
+
+
+def missing(field: T.StructField) -> Column:
+    return F.expr(missing_sql(field))
 
 
 def nan_to_null(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
@@ -90,14 +134,3 @@ def nan_to_null(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     if not floats:
         return df
     return df.withColumns({f.name: present(f) for f in floats})
-
-
-def percentage(part: Column, whole: Column, digits: int) -> Column:
-    """100 * part / whole, rounded; 0.0 for an empty whole."""
-    share = F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)
-    return F.coalesce(F.round(share, digits), F.lit(0.0))
-
-
-def share_of(part: Column, whole: Column) -> Column:
-    """100 * part / whole without rounding; 0.0 for an empty whole."""
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")) * 100.0, F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.columns import column, missing, type_class
 
@@ -14,24 +14,22 @@ NULL_LITERALS = ("nan", "NaN", "None", "null", "NULL", "<NA>", "NaT")
 BYTE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
-def format_bytes(size: Column) -> Column:
-    last = len(BYTE_UNITS) - 1
-    text = None
+def bytes_sql(size: str) -> str:
+    """A byte count as text with one decimal and the largest fitting unit."""
+    cases = []
     for power, unit in enumerate(BYTE_UNITS):
-        scaled = size.cast("double") / F.lit(float(1024**power))
-        rendered = F.format_string(f"%.1f {unit}", F.bround(scaled, 1))
-        if power == last:
-            return text.otherwise(rendered)
-        below = size < F.lit(1024 ** (power + 1))
-        text = F.when(below, rendered) if text is None else text.when(below, rendered)
-
-
-def iso_timestamp(value: Column, data_type: T.DataType) -> Column:
-    """ISO text; the fraction appears, with six digits, only if it is not zero."""
-    stamp = value.cast("timestamp_ntz") if isinstance(data_type, T.DateType) else value
-    whole = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(stamp, "SSSSSS")
-    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
+        shown = f"format_string('%.1f {unit}', bround(CAST({size} AS DOUBLE) / {1024**power}D, 1))"
+        limit = f"WHEN {size} < {1024 ** (power + 1)}" if power < len(BYTE_UNITS) - 1 else "ELSE"
+        cases.append(f"{limit} THEN {shown}" if limit != "ELSE" else f"ELSE {shown}")
+    return f"CASE {' '.join(cases)} END"
+
+
+def iso_sql(value: str) -> str:
+    """A date or timestamp as ISO text; the fraction appears, with six digits, only if it is not zero."""
+    stamp = f"CAST({value} AS TIMESTAMP_NTZ)"
+    whole = f"""date_format({stamp}, "yyyy-MM-dd'T'HH:mm:ss")"""
+    fraction = f"date_format({stamp}, 'SSSSSS')"
+    return f"concat({whole}, IF({fraction} = '000000', '', concat('.', {fraction})))"
 
 
 def display_strings(df: DataFrame) -> DataFrame:

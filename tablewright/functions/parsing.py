@@ -1,8 +1,8 @@
-"""Recognising numbers, dates and booleans that arrive as text."""
+"""Recognising numbers, dates and booleans that arrive as text, as SQL over a text expression."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from tablewright.functions.columns import text_literal
 
 # Text forms accepted as numbers and as whole numbers.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -16,50 +16,39 @@ DATE_LAYOUTS = (
     (r"^\d{4}/\d{2}/\d{2}", "yyyy/MM/dd"),
 )
 
-# Shares of recognised values above which a text column is taken as dates or numbers.
+# Shares of recognised values above which a text column is taken as dates.
 DATETIME_SHARE = 0.8
-NUMBER_SHARE = 0.9
 
 
-def is_number_text(value: Column) -> Column:
-    return value.rlike(NUMBER_PATTERN)
-
-
-def number_from_text(value: Column) -> Column:
+def number_from_text(value: str) -> str:
     """Text to double; null unless the text is a plain decimal or exponent number."""
-    return F.when(is_number_text(value), value.try_cast("double"))
+    return f"IF({value} RLIKE {text_literal(NUMBER_PATTERN)}, try_cast({value} AS DOUBLE), NULL)"
 
 
-def integer_from_text(value: Column) -> Column:
+def integer_from_text(value: str) -> str:
     """Text to bigint; null unless the text is a whole number that fits."""
-    return F.when(value.rlike(INTEGER_PATTERN), value.try_cast("bigint"))
-
-
-def looks_like_layout(value: Column, layout: int) -> Column:
-    return F.trim(value).rlike(DATE_LAYOUTS[layout][0])
+    return f"IF({value} RLIKE {text_literal(INTEGER_PATTERN)}, try_cast({value} AS BIGINT), NULL)"
 
 
-def looks_like_date(value: Column, layouts: range = range(4)) -> Column:
-    found = looks_like_layout(value, layouts[0])
-    for layout in layouts[1:]:
-        found = found | looks_like_layout(value, layout)
-    return found
+def looks_like_date(value: str, layouts: range = range(len(DATE_LAYOUTS))) -> str:
+    either = "|".join(DATE_LAYOUTS[i][0] for i in layouts)
+    return f"trim({value}) RLIKE {text_literal(either)}"
 
 
-def timestamp_from_text(value: Column, layout: int) -> Column:
+def timestamp_from_text(value: str, layout: int) -> str:
     """Text to timestamp_ntz by one layout, with or without a time of day; null if it does not fit."""
     pattern = DATE_LAYOUTS[layout][1] + "[ HH:mm:ss]['T'HH:mm:ss]"
-    parsed = F.try_to_timestamp(F.trim(value), F.lit(pattern))
-    return F.when(looks_like_layout(value, layout), parsed.cast("timestamp_ntz"))
+    parsed = f"CAST(try_to_timestamp(trim({value}), {text_literal(pattern)}) AS TIMESTAMP_NTZ)"
+    return f"IF({looks_like_date(value, range(layout, layout + 1))}, {parsed}, NULL)"
 
 
-def timestamp_from_any_layout(value: Column) -> Column:
-    return F.coalesce(*[timestamp_from_text(value, i) for i in range(len(DATE_LAYOUTS))])
+def timestamp_from_any_layout(value: str) -> str:
+    return f"coalesce({', '.join(timestamp_from_text(value, i) for i in range(len(DATE_LAYOUTS)))})"
 
 
-def boolean_from_text(value: Column) -> Column:
+def boolean_from_text(value: str) -> str:
     """`True`/`False` in the usual capitalisations; null otherwise."""
     return (
-        F.when(value.isin("True", "TRUE", "true"), F.lit(True))
-        .when(value.isin("False", "FALSE", "false"), F.lit(False))
+        f"CASE WHEN {value} IN ('True', 'TRUE', 'true') THEN true "
+        f"WHEN {value} IN ('False', 'FALSE', 'false') THEN false END"
     )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from tablewright.functions.columns import present, share_of
-from tablewright.operators.facts import small_sorted
+from tablewright.functions.columns import present_sql, share_sql, text_literal
+from tablewright.operators.facts import inline_rows, small_sorted
 from tablewright.operators.tables import empty_table
 
 # Distinct counts per aggregate. Catalyst expands each input row once per counted column, with
@@ -15,57 +16,47 @@ from tablewright.operators.tables import empty_table
 COLUMNS_PER_PASS = 40
 
 
-def _countable(field: T.StructField) -> bool:
-    """Maps cannot be grouped, so they have no distinct count."""
-    def has_map(data_type: T.DataType) -> bool:
-        if isinstance(data_type, T.MapType):
-            return True
-        if isinstance(data_type, T.ArrayType):
-            return has_map(data_type.elementType)
-        if isinstance(data_type, T.StructType):
-            return any(has_map(f.dataType) for f in data_type.fields)
-        return False
-
-    return not has_map(field.dataType)
+def _has_map(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return _has_map(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return any(_has_map(f.dataType) for f in data_type.fields)
+    return isinstance(data_type, T.MapType)
 
 
 def distinct_counts(
     df: DataFrame, names: Sequence[str] | None = None, approximate: bool = False, rsd: float = 0.02
 ) -> DataFrame:
-    """Distinct non-missing values per column and their ratio to the rows, most distinct first."""
+    """Distinct non-missing values per column and their ratio to the rows, most distinct first.
+
+    Maps cannot be grouped, so columns that hold them have no distinct count.
+    """
     wanted = None if names is None else set(names)
     fields = [
         (i, f) for i, f in enumerate(df.schema.fields)
-        if (wanted is None or f.name in wanted) and _countable(f)
+        if (wanted is None or f.name in wanted) and not _has_map(f.dataType)
     ]
-    count = (lambda c: F.approx_count_distinct(c, rsd)) if approximate else F.count_distinct
-    out = None
+
+    def count(field: T.StructField) -> str:
+        if approximate:
+            return f"approx_count_distinct({present_sql(field)}, {rsd}D)"
+        return f"count(DISTINCT {present_sql(field)})"
+
+    parts = []
     for start in range(0, len(fields), COLUMNS_PER_PASS):
         chunk = fields[start : start + COLUMNS_PER_PASS]
-        row = df.agg(
-            F.count(F.lit(1)).alias("rows"), *[count(present(f)).alias(f"u{i}") for i, f in chunk]
+        row = df.selectExpr("count(1) AS rows", *[f"{count(f)} AS u{i}" for i, f in chunk])
+        rows = [
+            {"ordinal": str(i), "column": text_literal(f.name), "unique_values": f"u{i}"} for i, f in chunk
+        ]
+        parts.append(row.selectExpr("rows", inline_rows(rows)))
+    if not parts:
+        return empty_table(
+            df.sparkSession, "column string, unique_values bigint, unique_ratio double, rows bigint"
         )
-        part = row.select(
-            "rows",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"),
-                            F.col(f"u{i}").alias("unique_values"),
-                        )
-                        for i, f in chunk
-                    ]
-                )
-            ),
-        )
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return empty_table(df.sparkSession, "column string, unique_values bigint, unique_ratio double, rows bigint")
-    ratio = F.coalesce(F.round(F.try_divide(F.col("unique_values"), F.col("rows")), 4), F.lit(0.0))
-    table = out.withColumn("unique_ratio", ratio)
-    table = small_sorted(table, F.desc("unique_values"), F.asc("ordinal"))
-    return table.select("column", "unique_values", "unique_ratio", "rows")
+    table = small_sorted(reduce(DataFrame.unionAll, parts), "unique_values DESC", "ordinal")
+    ratio = "coalesce(round(try_divide(unique_values, rows), 4), 0D) AS unique_ratio"
+    return table.selectExpr("column", "unique_values", ratio, "rows")
 
 
 def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -74,19 +65,17 @@ def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def chart_bands(counts: DataFrame) -> DataFrame:
     """Low below 10, medium below 50, high otherwise."""
-    return counts.select(
-        "column", "unique_values",
-        F.when(F.col("unique_values") < 10, "low").when(F.col("unique_values") < 50, "medium")
-        .otherwise("high").alias("band"),
-    )
+    band = "CASE WHEN unique_values < 10 THEN 'low' WHEN unique_values < 50 THEN 'medium' ELSE 'high' END"
+    return counts.selectExpr("column", "unique_values", f"{band} AS band")
 
 
 def table_bands(counts: DataFrame) -> DataFrame:
     """Low up to 10, medium up to 50, high above, with the unrounded share of rows."""
-    unique = F.col("unique_values")
-    return counts.select(
-        "column", "unique_values",
-        share_of(unique, F.col("rows")).alias("cardinality_pct"),
-        F.when(unique <= 10, "Low (≤10)").when(unique <= 50, "Medium (11-50)")
-        .otherwise("High (>50)").alias("category"),
+    category = (
+        "CASE WHEN unique_values <= 10 THEN 'Low (≤10)' WHEN unique_values <= 50 THEN 'Medium (11-50)' "
+        "ELSE 'High (>50)' END"
+    )
+    return counts.selectExpr(
+        "column", "unique_values", f"{share_sql('unique_values', 'rows')} AS cardinality_pct",
+        f"{category} AS category",
     )

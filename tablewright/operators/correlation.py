@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.functions.columns import as_double, field_of, numeric_columns
+from tablewright.functions.columns import double_sql, field_of, numeric_columns, text_literal
+from tablewright.operators.facts import inline_rows
 from tablewright.operators.tables import empty_table
 
 # Pairs per aggregate pass: keeps generated code small on wide tables.
@@ -18,49 +19,51 @@ PAIRS_PER_PASS = 100
 STRONG = 0.7
 
 
-def pair_correlations(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(col_a, col_b, r) for each pair in column order; r is null if either side is constant."""
-    names = numeric_columns(df) if names is None else list(names)
-    pairs = list(combinations(names, 2))
+def _pairs(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(col_a, col_b, r) for the given pairs of positions in `names`; r is null if a side is constant.
+
+    A first pass finds the columns without missing values that are not constant: between those, `corr`
+    is one aggregate. Other pairs mask each side by the other, and a constant side gives null.
+    """
+    if not pairs:
+        return empty_table(df.sparkSession, "col_a string, col_b string, r double")
+    numbers = df.selectExpr(*[f"{double_sql(field_of(df, n))} AS v{i}" for i, n in enumerate(names)])
+    plain = numbers.selectExpr(
+        *[f"coalesce(count(v{i}) = count(1) AND min(v{i}) < max(v{i}), false) AS v{i}" for i in range(len(names))]
+    ).first()
+
+    def correlation(a: int, b: int) -> str:
+        if plain[a] and plain[b]:
+            return f"corr(v{a}, v{b})"
+        spread_a = f"stddev_pop(IF(v{b} IS NULL, NULL, v{a}))"
+        spread_b = f"stddev_pop(IF(v{a} IS NULL, NULL, v{b}))"
+        return f"covar_pop(v{a}, v{b}) / nullif({spread_a} * {spread_b}, 0D)"
+
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        aggregates, structs = [], []
-        for i, (a, b) in enumerate(pairs[start : start + PAIRS_PER_PASS]):
-            x, y = as_double(field_of(df, a)), as_double(field_of(df, b))
-            complete_x, complete_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            spread = F.nullif(F.stddev_pop(complete_x) * F.stddev_pop(complete_y), F.lit(0.0))
-            aggregates.append((F.covar_pop(x, y) / spread).alias(f"r{i}"))
-            structs.append(
-                F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"))
-            )
-        parts.append(df.agg(*aggregates).select(F.inline(F.array(*structs))))
-    if not parts:
-        return empty_table(df.sparkSession, "col_a string, col_b string, r double")
+        chunk = pairs[start : start + PAIRS_PER_PASS]
+        rows = [
+            {"col_a": text_literal(names[a]), "col_b": text_literal(names[b]), "r": f"r{a}_{b}"}
+            for a, b in chunk
+        ]
+        aggregates = [f"{correlation(a, b)} AS r{a}_{b}" for a, b in chunk]
+        parts.append(numbers.selectExpr(*aggregates).selectExpr(inline_rows(rows)))
     return reduce(DataFrame.unionAll, parts)
 
 
+def pair_correlations(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """(col_a, col_b, r) for each pair of different columns, in column order."""
+    names = numeric_columns(df) if names is None else list(names)
+    return _pairs(df, names, list(combinations(range(len(names)), 2)))
+
+
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """The full matrix in long form, rounded to four decimals; the diagonal of a constant is null."""
     names = numeric_columns(df) if names is None else list(names)
-    pairs = pair_correlations(df, names).withColumn("r", F.round("r", 4))
-    mirrored = pairs.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    if not names:
-        return pairs
-    spread = df.agg(*[F.stddev_pop(as_double(field_of(df, n))).alias(f"s{i}") for i, n in enumerate(names)])
-    diagonal = spread.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("col_a"), F.lit(n).alias("col_b"),
-                        F.when(F.col(f"s{i}") > 0, F.lit(1.0)).alias("r"),
-                    )
-                    for i, n in enumerate(names)
-                ]
-            )
-        )
-    )
-    return pairs.unionAll(mirrored).unionAll(diagonal)
+    half = _pairs(df, names, list(combinations_with_replacement(range(len(names)), 2)))
+    mirrored = "struct(col_b AS col_a, col_a AS col_b, round(r, 4) AS r)"
+    cells = f"array(struct(col_a, col_b, round(r, 4) AS r), {mirrored})"
+    return half.selectExpr(f"inline(IF(col_a = col_b, slice({cells}, 1, 1), {cells}))")
 
 
 def correlation_wide(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -73,7 +76,7 @@ def correlation_wide(df: DataFrame, names: Sequence[str] | None = None) -> DataF
 def strong_pairs(df: DataFrame, threshold: float = STRONG, pairs: DataFrame | None = None) -> DataFrame:
     """Pairs whose unrounded correlation exceeds the threshold in size, strongest kind named."""
     pairs = pair_correlations(df) if pairs is None else pairs
-    return pairs.filter(F.abs("r") > threshold).select(
-        "col_a", "col_b", F.round("r", 3).alias("r"),
-        F.when(F.col("r") > threshold, "Strong Positive").otherwise("Strong Negative").alias("strength"),
+    return pairs.filter(f"abs(r) > {threshold}D").selectExpr(
+        "col_a", "col_b", "round(r, 3) AS r",
+        "IF(r > 0, 'Strong Positive', 'Strong Negative') AS strength",
     )

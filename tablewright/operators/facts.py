@@ -12,10 +12,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.functions import parsing
-from tablewright.functions.columns import INTEGRAL, as_double, column, missing, type_class
+from tablewright.functions.columns import (
+    INTEGRAL, double_sql, missing_sql, quoted, text_literal, type_class,
+)
 
 # Columns per aggregate: keeps generated code small on very wide tables.
 COLUMNS_PER_PASS = 60
@@ -31,75 +33,61 @@ FIXED_WIDTH = {
 TEXT_OFFSET = 4
 
 
-FactBuilders = dict[str, Callable[[], Column]]
-
-
-def _number_facts(field: T.StructField) -> FactBuilders:
-    value = as_double(field)
-
-    def filled() -> Column:
-        return F.count(value).cast("double")
-
-    def skewness() -> Column:
-        n = filled()
-        adjusted = F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2)
-        return F.when(n >= 3, F.when(F.min(value) == F.max(value), F.lit(0.0)).otherwise(adjusted))
-
-    def kurtosis() -> Column:
-        n = filled()
-        adjusted = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6.0)
-        return F.when(n >= 4, F.when(F.min(value) == F.max(value), F.lit(0.0)).otherwise(adjusted))
-
-    def float_misfits() -> Column:
-        narrow = value.cast("float").cast("double")
-        tolerance = FLOAT_TOLERANCE + FLOAT_TOLERANCE * F.abs(value)
-        return F.count_if((value != narrow) & (F.abs(value - narrow) > tolerance))
-
-    builders: FactBuilders = {
-        "min": lambda: F.min(value),
-        "max": lambda: F.max(value),
-        "mean": lambda: F.avg(value),
-        "std_pop": lambda: F.stddev_pop(value),
-        "std_samp": lambda: F.stddev_samp(value),
-        "skewness": skewness,
-        "kurtosis": kurtosis,
+def _number_facts(field: T.StructField) -> dict[str, str]:
+    value = double_sql(field)
+    n = f"CAST(count({value}) AS DOUBLE)"
+    constant = f"min({value}) = max({value})"
+    skewness = f"skewness({value}) * sqrt({n} * ({n} - 1)) / ({n} - 2)"
+    kurtosis = f"({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis({value}) + 6D)"
+    facts = {
+        "min": f"min({value})",
+        "max": f"max({value})",
+        "mean": f"avg({value})",
+        "std_pop": f"stddev_pop({value})",
+        "std_samp": f"stddev_samp({value})",
+        "skewness": f"CASE WHEN {n} < 3 THEN NULL WHEN {constant} THEN 0D ELSE {skewness} END",
+        "kurtosis": f"CASE WHEN {n} < 4 THEN NULL WHEN {constant} THEN 0D ELSE {kurtosis} END",
     }
     if isinstance(field.dataType, INTEGRAL):
-        builders["whole_min"] = lambda: F.min(column(field.name)).cast("bigint")
-        builders["whole_max"] = lambda: F.max(column(field.name)).cast("bigint")
+        facts["whole_min"] = f"CAST(min({quoted(field.name)}) AS BIGINT)"
+        facts["whole_max"] = f"CAST(max({quoted(field.name)}) AS BIGINT)"
     else:
-        builders["float_misfits"] = float_misfits
-    return builders
-
-
-def _text_facts(field: T.StructField) -> FactBuilders:
-    value = column(field.name)
-    builders: FactBuilders = {
-        "octets": lambda: F.coalesce(F.sum(F.octet_length(value)), F.lit(0)),
-        "numbers": lambda: F.count(parsing.number_from_text(value)),
-        "integers": lambda: F.count(parsing.integer_from_text(value)),
-        "booleans": lambda: F.count(parsing.boolean_from_text(value)),
-        "dates": lambda: F.count(parsing.timestamp_from_any_layout(value)),
-        "date_like": lambda: F.count_if(parsing.looks_like_date(value)),
-        "date_like_dashed": lambda: F.count_if(parsing.looks_like_date(value, range(3))),
+        narrow = f"CAST(CAST({value} AS FLOAT) AS DOUBLE)"
+        tolerance = f"{FLOAT_TOLERANCE}D + {FLOAT_TOLERANCE}D * abs({value})"
+        facts["float_misfits"] = (
+            f"count_if({value} <> {narrow} AND abs({value} - {narrow}) > {tolerance})"
+        )
+    return facts
+
+
+def _text_facts(field: T.StructField) -> dict[str, str]:
+    value = quoted(field.name)
+    facts = {
+        "octets": f"coalesce(sum(octet_length({value})), 0)",
+        "numbers": f"count({parsing.number_from_text(value)})",
+        "integers": f"count({parsing.integer_from_text(value)})",
+        "booleans": f"count({parsing.boolean_from_text(value)})",
+        "dates": f"count({parsing.timestamp_from_any_layout(value)})",
+        "date_like": f"count_if({parsing.looks_like_date(value)})",
+        "date_like_dashed": f"count_if({parsing.looks_like_date(value, range(3))})",
     }
     for i in range(len(parsing.DATE_LAYOUTS)):
-        builders[f"layout_{i}"] = lambda i=i: F.count(parsing.timestamp_from_text(value, i))
-    return builders
+        facts[f"layout_{i}"] = f"count({parsing.timestamp_from_text(value, i)})"
+    return facts
 
 
-def _other_facts(field: T.StructField) -> FactBuilders:
-    value = column(field.name)
+def _other_facts(field: T.StructField) -> dict[str, str]:
     # Nested values have no fixed width; their JSON text stands in for it.
-    sized = value if isinstance(field.dataType, T.BinaryType) else F.to_json(F.struct(value))
-    return {"octets": lambda: F.coalesce(F.sum(F.octet_length(sized)), F.lit(0))}
+    value = quoted(field.name)
+    sized = value if isinstance(field.dataType, T.BinaryType) else f"to_json(struct({value}))"
+    return {"octets": f"coalesce(sum(octet_length({sized})), 0)"}
 
 
-def _datetime_facts(field: T.StructField) -> FactBuilders:
-    return {"first": lambda: F.min(column(field.name)), "last": lambda: F.max(column(field.name))}
+def _datetime_facts(field: T.StructField) -> dict[str, str]:
+    return {"first": f"min({quoted(field.name)})", "last": f"max({quoted(field.name)})"}
 
 
-BUILDERS_BY_CLASS: dict[str, Callable[[T.StructField], FactBuilders]] = {
+FACTS_BY_CLASS: dict[str, Callable[[T.StructField], dict[str, str]]] = {
     "numeric": _number_facts,
     "text": _text_facts,
     "datetime": _datetime_facts,
@@ -108,57 +96,57 @@ BUILDERS_BY_CLASS: dict[str, Callable[[T.StructField], FactBuilders]] = {
 }
 
 
-def _facts_of_field(field: T.StructField, only: frozenset[str] | None) -> dict[str, Column]:
-    builders: FactBuilders = {"missing": lambda: F.count_if(missing(field))}
-    builders |= BUILDERS_BY_CLASS[type_class(field.dataType)](field)
-    return {name: build() for name, build in builders.items() if only is None or name in only}
+def _facts_of_field(field: T.StructField, only: frozenset[str] | None) -> dict[str, str]:
+    facts = {"missing": f"count_if({missing_sql(field)})"}
+    facts |= FACTS_BY_CLASS[type_class(field.dataType)](field)
+    return {name: sql for name, sql in facts.items() if only is None or name in only}
 
 
 @dataclass(frozen=True)
 class FieldFacts:
-    """Names one column's facts inside the aggregate row."""
+    """Names one column's facts inside the aggregate row, as SQL."""
 
     field: T.StructField
     ordinal: int
     known: frozenset[str]
 
-    def __call__(self, fact: str) -> Column:
-        if fact not in self.known:
-            return F.lit(None)
-        return F.col(f"c{self.ordinal}_{fact}")
-
-    def has(self, fact: str) -> bool:
-        return fact in self.known
+    def __call__(self, fact: str) -> str:
+        return f"c{self.ordinal}_{fact}" if fact in self.known else "NULL"
 
     @property
     def name(self) -> str:
-        return self.field.name
+        return text_literal(self.field.name)
 
     @property
     def dtype(self) -> str:
-        return self.field.dataType.simpleString()
+        return text_literal(self.field.dataType.simpleString())
 
     @property
     def kind(self) -> str:
         return type_class(self.field.dataType)
 
     @property
-    def rows(self) -> Column:
-        return F.col("rows")
-
-    @property
-    def filled(self) -> Column:
-        return F.col("rows") - self("missing")
+    def filled(self) -> str:
+        return f"(rows - {self('missing')})"
 
     @property
-    def bytes(self) -> Column:
+    def bytes(self) -> str:
         """Estimated uncompressed bytes of the column."""
         data_type = self.field.dataType
         if isinstance(data_type, T.DecimalType):
-            return F.col("rows") * F.lit(8 if data_type.precision <= 18 else 16)
+            return f"rows * {8 if data_type.precision <= 18 else 16}"
         if type(data_type) in FIXED_WIDTH:
-            return F.col("rows") * F.lit(FIXED_WIDTH[type(data_type)])
-        return self("octets") + F.col("rows") * F.lit(TEXT_OFFSET)
+            return f"rows * {FIXED_WIDTH[type(data_type)]}"
+        return f"({self('octets')} + rows * {TEXT_OFFSET})"
+
+
+def named_struct(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"{text_literal(n)}, {sql}" for n, sql in values.items()) + ")"
+
+
+def inline_rows(rows: Sequence[dict[str, str]]) -> str:
+    """SQL that unfolds one aggregate row into the given rows."""
+    return f"inline(array({', '.join(named_struct(row) for row in rows)}))"
 
 
 @dataclass(frozen=True)
@@ -174,17 +162,17 @@ class Facts:
         kinds = None if only is None else frozenset(only)
         wanted = None if names is None else set(names)
         fields = [(i, f) for i, f in enumerate(df.schema.fields) if wanted is None or f.name in wanted]
-        any_missing = reduce(lambda a, b: a | b, [missing(f) for _, f in fields], F.lit(False))
         passes = []
         for start in range(0, max(len(fields), 1), COLUMNS_PER_PASS):
-            entries, aggregates = [], [F.count(F.lit(1)).alias("rows")]
-            if start == 0 and (kinds is None or "rows_with_missing" in kinds):
-                aggregates.append(F.count_if(any_missing).alias("rows_with_missing"))
+            entries, aggregates = [], ["count(1) AS rows"]
+            if start == 0 and fields and (kinds is None or "rows_with_missing" in kinds):
+                any_missing = " OR ".join(missing_sql(f) for _, f in fields)
+                aggregates.append(f"count_if({any_missing}) AS rows_with_missing")
             for ordinal, field in fields[start : start + COLUMNS_PER_PASS]:
                 facts = _facts_of_field(field, kinds)
                 entries.append(FieldFacts(field, ordinal, frozenset(facts)))
-                aggregates += [expr.alias(f"c{ordinal}_{fact}") for fact, expr in facts.items()]
-            passes.append((tuple(entries), df.agg(*aggregates)))
+                aggregates += [f"{sql} AS c{ordinal}_{fact}" for fact, sql in facts.items()]
+            passes.append((tuple(entries), df.selectExpr(*aggregates)))
         return cls(tuple(f for _, f in fields), tuple(passes))
 
     def collected(self) -> "Facts":
@@ -196,26 +184,23 @@ class Facts:
 
     def table(
         self,
-        row: Callable[[FieldFacts], dict[str, Column]],
+        row: Callable[[FieldFacts], dict[str, str]],
         where: Callable[[FieldFacts], bool] = lambda facts: True,
     ) -> DataFrame | None:
         """One output row per column; `row` names the output fields. None if no column applies."""
         parts = []
         for entries, one_row in self.passes:
-            structs = [
-                F.struct(*[value.alias(name) for name, value in row(entry).items()])
-                for entry in entries
-                if where(entry)
-            ]
-            if structs:
-                parts.append(one_row.select(F.inline(F.array(*structs))))
+            rows = [row(entry) for entry in entries if where(entry)]
+            if rows:
+                parts.append(one_row.selectExpr(inline_rows(rows)))
         return reduce(DataFrame.unionAll, parts) if parts else None
 
-    def totals(self, **values: Column) -> DataFrame:
+    def totals(self, **values: str) -> DataFrame:
         """One row over the whole table from the first pass (`rows`, `rows_with_missing`)."""
-        return self.passes[0][1].select(*[value.alias(name) for name, value in values.items()])
+        return self.passes[0][1].selectExpr(*[f"{sql} AS {name}" for name, sql in values.items()])
 
 
-def small_sorted(table: DataFrame, *order: Column) -> DataFrame:
+def small_sorted(table: DataFrame, *order: str) -> DataFrame:
     """Sort a table of at most one row per column without a range exchange."""
-    return table.coalesce(1).sortWithinPartitions(*order)
+    by = [F.expr(o.removesuffix(" DESC")).desc() if o.endswith(" DESC") else F.expr(o) for o in order]
+    return table.coalesce(1).sortWithinPartitions(*by)

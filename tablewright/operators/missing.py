@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions.columns import (
-    INTEGRAL, as_double, column, field_of, missing, present, require_numeric, type_class,
+    INTEGRAL, as_double, column, field_of, missing, missing_sql, present, require_numeric, text_literal, type_class,
 )
 from tablewright.operators import ordering
 from tablewright.operators.quantiles import exact_quantiles
@@ -150,17 +150,12 @@ def _handle_shared(
 def missing_change(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
     """Missing values and rows before and after a treatment."""
     def counts(df: DataFrame, side: str) -> DataFrame:
-        return df.agg(
-            F.count_if(missing(field_of(df, name))).alias(f"missing_{side}"),
-            F.count(F.lit(1)).alias(f"rows_{side}"),
+        return df.selectExpr(
+            f"count_if({missing_sql(field_of(df, name))}) AS missing_{side}", f"count(1) AS rows_{side}"
         )
 
-    old = counts(before, "before").select(F.struct("*")).scalar()
-    return counts(after, "after").select(
-        F.lit(name).alias("column"),
-        old["missing_before"].alias("missing_before"),
-        "missing_after",
-        (old["missing_before"] - F.col("missing_after")).alias("missing_fixed"),
-        old["rows_before"].alias("rows_before"),
-        "rows_after",
+    old = counts(before, "before").selectExpr("struct(*) AS old").scalar()
+    return counts(after, "after").withColumn("old", old).selectExpr(
+        f"{text_literal(name)} AS column", "old.missing_before", "missing_after",
+        "old.missing_before - missing_after AS missing_fixed", "old.rows_before", "rows_after",
     )

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import (
-    as_double, column, field_of, present, require_columns, require_numeric, type_class,
+    as_double, column, field_of, missing_sql, present, present_sql, quoted, require_columns, require_numeric,
+    text_literal, type_class,
 )
 
 ROWS_PER_RANGE = 1_000_000
@@ -236,28 +237,27 @@ def first_values(
     names: Sequence[str],
     order_by: Sequence[str],
     k: int,
-    where: dict[str, Column] | None = None,
+    where: dict[str, str] | None = None,
 ) -> DataFrame:
     """First `k` non-missing values of each column in row order, as rows (column, entry).
 
     One top-k per column: every task keeps `k` rows of the column it scans, nothing is sorted whole.
-    `entry` holds the order key, the text and (for numeric columns) the value as double, so sorting
-    the entries of a column puts them in row order.
+    `where` gives another SQL condition per column than not being missing. `entry` holds the order
+    key, the text and (for numeric columns) the value as double, so sorting the entries of a column
+    puts them in row order.
     """
     require_columns(df, order_by)
+    at = ", ".join(f"{quoted(n)} AS k{i}" for i, n in enumerate(order_by))
     parts = []
     for name in names:
         field = field_of(df, name)
-        value = present(field)
-        rows = df.filter(value.isNotNull() if where is None else where[name])
-        top = rows.select(
-            F.struct(*[column(n).alias(f"k{i}") for i, n in enumerate(order_by)]).alias("at"),
-            value.alias("value"),
-        ).orderBy("at").limit(k)
-        is_number = type_class(field.dataType) == "numeric"
-        number = F.col("value") if is_number else F.lit(None)
-        entry = F.struct(
-            "at", F.col("value").cast("string").alias("text"), number.cast("double").alias("number")
+        wanted = f"NOT {missing_sql(field)}" if where is None else where[name]
+        number = "value" if type_class(field.dataType) == "numeric" else "NULL"
+        top = df.filter(wanted).selectExpr(f"struct({at}) AS at", f"{present_sql(field)} AS value")
+        parts.append(
+            top.orderBy("at").limit(k).selectExpr(
+                f"{text_literal(name)} AS column",
+                f"struct(at, CAST(value AS STRING) AS text, CAST({number} AS DOUBLE) AS number) AS entry",
+            )
         )
-        parts.append(top.select(F.lit(name).alias("column"), entry.alias("entry")))
     return reduce(DataFrame.unionAll, parts)

@@ -11,11 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.functions.columns import as_double, require_numeric
+from tablewright.functions.columns import double_sql, number_literal, require_numeric
 
 # Rank error of the sketch is 1/ACCURACY of its input; the margin covers it on both sides.
 ACCURACY = 10_000
@@ -61,13 +60,17 @@ def _ranks(n: int, probability: float) -> tuple[int, int, float]:
     return lower, math.ceil(position), position
 
 
-def _within(value: Column, low: float | None, high: float | None) -> Column:
-    inside = value.isNotNull()
+def _within(value: str, low: float | None, high: float | None) -> str:
+    tests = [f"{value} IS NOT NULL"]
     if low is not None:
-        inside = inside & (value > F.lit(low))
+        tests.append(f"{value} > {number_literal(low)}")
     if high is not None:
-        inside = inside & (value < F.lit(high))
-    return inside
+        tests.append(f"{value} < {number_literal(high)}")
+    return f"({' AND '.join(tests)})"
+
+
+def _sketch_sql(value: str, probes: Sequence[float]) -> str:
+    return f"percentile_approx({value}, array({', '.join(map(number_literal, probes))}), {ACCURACY})"
 
 
 def _probes(centre: float) -> list[float]:
@@ -80,19 +83,16 @@ def exact_quantiles(
     """Linearly interpolated quantiles of the non-missing values of each numeric column."""
     if not wanted:
         return Quantiles()
-    values = {name: as_double(require_numeric(df, name)) for name in wanted}
-    narrow = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(wanted)])
-    columns = {name: F.col(f"v{i}") for i, name in enumerate(wanted)}
-
-    first = narrow.agg(
-        *[F.count(columns[name]).alias(f"n{i}") for i, name in enumerate(wanted)],
-        *[
-            F.percentile_approx(
-                columns[name], [p for q in wanted[name] for p in _probes(q)], ACCURACY
-            ).alias(f"s{i}")
-            for i, name in enumerate(wanted)
-        ],
-    ).first()
+    narrow = df.selectExpr(
+        *[f"{double_sql(require_numeric(df, name))} AS v{i}" for i, name in enumerate(wanted)]
+    )
+    columns = {name: f"v{i}" for i, name in enumerate(wanted)}
+
+    sketches = [
+        f"{_sketch_sql(columns[name], [p for q in wanted[name] for p in _probes(q)])} AS s{i}"
+        for i, name in enumerate(wanted)
+    ]
+    first = narrow.selectExpr(*[f"count(v{i}) AS n{i}" for i in range(len(wanted))], *sketches).first()
 
     result = Quantiles()
     statistics: dict[tuple[str, int], OrderStatistic] = {}
@@ -132,7 +132,7 @@ def exact_quantiles(
 
 def _verify(
     narrow: DataFrame,
-    columns: dict[str, Column],
+    columns: dict[str, str],
     open_: list[OrderStatistic],
     brackets: dict[tuple[str, int], tuple[float, float]],
 ) -> None:
@@ -140,15 +140,15 @@ def _verify(
     cases = sorted({(*s.interval, *brackets[(s.name, s.rank)]) for s in open_}, key=str)
     counts = []
     for i, (name, low, high, left, right) in enumerate(cases):
-        value = columns[name]
-        inside = _within(value, low, high)
+        value, inside = columns[name], _within(columns[name], low, high)
+        first, last = number_literal(left), number_literal(right)
         counts += [
-            F.count_if(inside & (value < left)).alias(f"below{i}"),
-            F.count_if(inside & (value == left)).alias(f"left{i}"),
-            F.count_if(inside & (value > left) & (value < right)).alias(f"inside{i}"),
-            F.count_if(inside & (value == right) & (value != left)).alias(f"right{i}"),
+            f"count_if({inside} AND {value} < {first}) AS below{i}",
+            f"count_if({inside} AND {value} = {first}) AS left{i}",
+            f"count_if({inside} AND {value} > {first} AND {value} < {last}) AS inside{i}",
+            f"count_if({inside} AND {value} = {last} AND {value} <> {first}) AS right{i}",
         ]
-    row = _inside_any(narrow, columns, open_).agg(*counts).first()
+    row = _inside_any(narrow, columns, open_).selectExpr(*counts).first()
     index = {case: i for i, case in enumerate(cases)}
     for s in open_:
         left, right = brackets[(s.name, s.rank)]
@@ -168,18 +168,16 @@ def _verify(
             s.low, s.below, s.inside = right, s.below + passed, s.inside - passed
 
 
-def _inside_any(narrow: DataFrame, columns: dict[str, Column], open_: list[OrderStatistic]) -> DataFrame:
+def _inside_any(narrow: DataFrame, columns: dict[str, str], open_: list[OrderStatistic]) -> DataFrame:
     if any(s.low is None and s.high is None for s in open_):
         return narrow
     intervals = sorted({s.interval for s in open_}, key=str)
-    return narrow.filter(
-        reduce(lambda a, b: a | b, [_within(columns[n], low, high) for n, low, high in intervals])
-    )
+    return narrow.filter(" OR ".join(_within(columns[name], low, high) for name, low, high in intervals))
 
 
 def _sketch(
     narrow: DataFrame,
-    columns: dict[str, Column],
+    columns: dict[str, str],
     open_: list[OrderStatistic],
     brackets: dict[tuple[str, int], tuple[float, float]],
 ) -> None:
@@ -191,15 +189,15 @@ def _sketch(
     for i, (interval, members) in enumerate(by_interval.items()):
         value = columns[interval[0]]
         probes = [p for s in members for p in _probes((s.rank - s.below + 0.5) / s.inside)]
-        inside = F.when(_within(value, *interval[1:]), value)
-        sketches.append(F.percentile_approx(inside, probes, ACCURACY).alias(f"s{i}"))
-    row = _inside_any(narrow, columns, open_).agg(*sketches).first()
+        inside = f"IF({_within(value, *interval[1:])}, {value}, NULL)"
+        sketches.append(f"{_sketch_sql(inside, probes)} AS s{i}")
+    row = _inside_any(narrow, columns, open_).selectExpr(*sketches).first()
     for i, members in enumerate(by_interval.values()):
         for j, s in enumerate(members):
             brackets[(s.name, s.rank)] = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
 
 
-def _finish(narrow: DataFrame, columns: dict[str, Column], left: list[OrderStatistic]) -> None:
+def _finish(narrow: DataFrame, columns: dict[str, str], left: list[OrderStatistic]) -> None:
     """Read the remaining statistics off the value counts of their (bounded) intervals."""
     if not left:
         return
@@ -207,28 +205,21 @@ def _finish(narrow: DataFrame, columns: dict[str, Column], left: list[OrderStati
     ranks = [
         sorted({s.rank - s.below for s in left if s.interval == interval}) for interval in intervals
     ]
-    candidates = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    _within(columns[name], low, high),
-                    F.struct(F.lit(i).alias("interval"), columns[name].alias("value")),
-                )
-                for i, (name, low, high) in enumerate(intervals)
-            ]
-        )
+    candidates = ", ".join(
+        f"IF({_within(columns[name], low, high)}, struct({i} AS interval, {columns[name]} AS value), NULL)"
+        for i, (name, low, high) in enumerate(intervals)
     )
     by_interval = Window.partitionBy("interval").orderBy("value")
     running = (
         _inside_any(narrow, columns, left)
-        .select(F.inline(candidates))
+        .selectExpr(f"inline(array_compact(array({candidates})))")
         .groupBy("interval", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(by_interval))
     )
-    wanted = F.get(F.array(*[F.array(*[F.lit(r) for r in rs]) for rs in ranks]), F.col("interval"))
+    wanted = ", ".join(f"array({', '.join(map(str, rs))})" for rs in ranks)
     hits = running.filter(
-        F.exists(wanted, lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")))
+        f"exists(array({wanted})[interval], rank -> rank >= upto - n AND rank < upto)"
     ).collect()
     index = {interval: i for i, interval in enumerate(intervals)}
     for s in left:

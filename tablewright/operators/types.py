@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from tablewright.functions import parsing
-from tablewright.functions.columns import INTEGRAL, column, field_of, percentage, present
+from tablewright.functions.columns import INTEGRAL, field_of, percentage_sql, present_sql, quoted
 from tablewright.operators.cardinality import distinct_counts
 from tablewright.operators.facts import FieldFacts, Facts
+from tablewright.operators.ordering import with_position
+from tablewright.operators.profile import memory_total
 from tablewright.operators.tables import local_table
 
 # Integer types from the narrowest, with their ranges.
@@ -36,15 +38,14 @@ class TypeChoice:
     def changed(self) -> bool:
         return self.to != self.field.dataType
 
-    def apply(self) -> Column:
-        value = present(self.field)
+    def sql(self) -> str:
+        name = quoted(self.field.name)
         if not self.changed:
-            return column(self.field.name)
+            return name
         if self.layout is not None:
-            return parsing.timestamp_from_text(value, self.layout)
-        if isinstance(self.field.dataType, T.StringType):
-            return value.try_cast(self.to)
-        return value.cast(self.to)
+            return parsing.timestamp_from_text(name, self.layout)
+        cast = "try_cast" if isinstance(self.field.dataType, T.StringType) else "CAST"
+        return f"{cast}({present_sql(self.field)} AS {self.to.simpleString()})"
 
 
 def choose_types(df: DataFrame, facts: Facts | None = None) -> list[TypeChoice]:
@@ -52,8 +53,8 @@ def choose_types(df: DataFrame, facts: Facts | None = None) -> list[TypeChoice]:
     wanted = ["missing", "whole_min", "whole_max", "float_misfits", "numbers", "integers", "date_like"]
     wanted += [f"layout_{i}" for i in range(len(parsing.DATE_LAYOUTS))]
 
-    def row(c: FieldFacts) -> dict[str, Column]:
-        return {"ordinal": F.lit(c.ordinal), "rows": c.rows} | {k: c(k).cast("bigint") for k in wanted}
+    def row(c: FieldFacts) -> dict[str, str]:
+        return {"ordinal": str(c.ordinal), "rows": "rows"} | {k: f"CAST({c(k)} AS BIGINT)" for k in wanted}
 
     table = (facts or Facts.of(df, only=wanted)).table(row)
     found = {r["ordinal"]: r for r in table.collect()}
@@ -84,7 +85,7 @@ def _choose(field: T.StructField, seen: Row) -> TypeChoice:
 
 def optimize_dtypes(df: DataFrame, choices: list[TypeChoice] | None = None) -> DataFrame:
     choices = choose_types(df) if choices is None else choices
-    return df.select(*[choice.apply().alias(choice.field.name) for choice in choices])
+    return df.selectExpr(*[f"{c.sql()} AS {quoted(c.field.name)}" for c in choices])
 
 
 def type_changes(df: DataFrame, choices: list[TypeChoice] | None = None) -> DataFrame:
@@ -100,14 +101,11 @@ def type_changes(df: DataFrame, choices: list[TypeChoice] | None = None) -> Data
 
 def type_change_bytes(df: DataFrame, choices: list[TypeChoice] | None = None) -> DataFrame:
     """Estimated bytes of the table before and after the change of types."""
-    from tablewright.operators.profile import memory_total
-
     after = memory_total(optimize_dtypes(df, choices)).agg(F.max("est_bytes").alias("b")).scalar()
-    before = memory_total(df).select(F.col("est_bytes").alias("bytes_before"), after.alias("bytes_after"))
-    saved = F.col("bytes_before") - F.col("bytes_after")
-    return before.select(
-        "bytes_before", "bytes_after", saved.alias("bytes_saved"),
-        percentage(saved, F.col("bytes_before"), 2).alias("saved_pct"),
+    both = memory_total(df).select(F.col("est_bytes").alias("bytes_before"), after.alias("bytes_after"))
+    return both.selectExpr(
+        "bytes_before", "bytes_after", "bytes_before - bytes_after AS bytes_saved",
+        f"{percentage_sql('(bytes_before - bytes_after)', 'bytes_before', 2)} AS saved_pct",
     )
 
 
@@ -115,16 +113,11 @@ def dictionary_advice(df: DataFrame) -> DataFrame:
     """Which text columns repeat enough for a dictionary (under 5% distinct, or under 50 values)."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     counts = distinct_counts(df, text)
-    low = (F.col("unique_values") < F.col("rows") * DICTIONARY_RATIO) | (
-        F.col("unique_values") < DICTIONARY_VALUES
-    )
-    return counts.select("column", "unique_values", low.alias("dictionary_encode"))
+    low = f"unique_values < rows * {DICTIONARY_RATIO}D OR unique_values < {DICTIONARY_VALUES}"
+    return counts.selectExpr("column", "unique_values", f"{low} AS dictionary_encode")
 
 
 def dictionary(df: DataFrame, name: str) -> DataFrame:
     """(code, value) with codes from 0 in value order; meant for columns that the advice names."""
-    value = present(field_of(df, name))
-    values = df.select(value.alias("value")).filter("value is not null").distinct()
-    from tablewright.operators.ordering import with_position
-
+    values = df.selectExpr(f"{present_sql(field_of(df, name))} AS value").filter("value IS NOT NULL").distinct()
     return with_position(values, ["value"], "code").select("code", "value")

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tablewright.functions.columns import as_double, field_of, missing, percentage, present, type_class
+from tablewright.functions.columns import (
+    double_sql, field_of, missing_sql, percentage_sql, present_sql, text_literal, type_class,
+)
 from tablewright.operators import cardinality, charts, correlation, duplicates, outliers, profile
-from tablewright.operators.facts import Facts
+from tablewright.operators.facts import Facts, inline_rows
 from tablewright.plans import score
 
 # Rows shown in the dashboard and the comparison.
@@ -58,25 +60,21 @@ def cleaning_metrics(original: DataFrame, cleaned: DataFrame) -> DataFrame:
     """
     def measures(df: DataFrame, side: str) -> DataFrame:
         facts = Facts.of(df, only=("missing", "octets"))
-        base = facts.table(lambda c: {"rows": c.rows, "missing": c("missing"), "bytes": c.bytes}).agg(
-            F.max("rows").alias("rows"), F.sum("missing").alias("missing"), F.sum("bytes").alias("bytes")
+        sums = facts.table(lambda c: {"rows": "rows", "missing": c("missing"), "bytes": c.bytes}).selectExpr(
+            "max(rows) AS rows", "sum(missing) AS missing", "sum(bytes) AS bytes"
         )
-        values = [("rows", F.col("rows")), ("columns", F.lit(len(df.columns))),
-                  ("est_bytes", F.col("bytes")), ("missing_cells", F.col("missing"))]
-        pairs = F.array(
-            *[F.struct(F.lit(n).alias("metric"), v.cast("bigint").alias(side)) for n, v in values]
-        )
-        return base.select(F.inline(pairs))
+        values = {
+            "rows": "rows", "columns": f"{len(df.columns)}L", "est_bytes": "bytes", "missing_cells": "missing",
+        }
+        return sums.selectExpr(inline_rows([{"metric": f"'{m}'", side: sql} for m, sql in values.items()]))
 
     before, after = measures(original, "before"), measures(cleaned, "after")
     if set(original.columns) == set(cleaned.columns):
-        surplus = F.col("n_surplus_rows")
-        before = before.unionAll(
-            duplicates.duplicate_counts(original).select(F.lit("duplicates"), surplus)
-        )
-        after = after.unionAll(duplicates.duplicate_counts(cleaned).select(F.lit("duplicates"), surplus))
-    return before.join(after, "metric").select(
-        "metric", "before", "after", (F.col("after") - F.col("before")).alias("change")
+        before = before.unionAll(duplicates.duplicate_counts(original).selectExpr("'duplicates'", "n_surplus_rows"))
+        after = after.unionAll(duplicates.duplicate_counts(cleaned).selectExpr("'duplicates'", "n_surplus_rows"))
+    # Five rows on either side.
+    return before.join(F.broadcast(after), "metric").selectExpr(
+        "metric", "before", "after", "after - before AS change"
     )
 
 
@@ -114,18 +112,17 @@ def compare_column(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
 
     def measures(df: DataFrame, side: str) -> DataFrame:
         field = field_of(df, name)
-        detail = F.round(F.avg(as_double(field)), 2) if is_number else F.count_distinct(present(field))
-        row = df.agg(
-            F.count(present(field)).alias("n"), F.count_if(missing(field)).alias("missing"), detail.alias("detail")
+        detail = f"round(avg({double_sql(field)}), 2)" if is_number else f"count(DISTINCT {present_sql(field)})"
+        row = df.selectExpr(
+            f"CAST(count({present_sql(field)}) AS DOUBLE) AS n",
+            f"CAST(count_if({missing_sql(field)}) AS DOUBLE) AS missing", f"CAST({detail} AS DOUBLE) AS detail",
         )
-        values = [("count", "n"), ("missing", "missing"), ("mean" if is_number else "unique", "detail")]
-        pairs = F.array(
-            *[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias(side)) for m, c in values]
-        )
-        return row.select(F.inline(pairs))
+        values = {"count": "n", "missing": "missing", "mean" if is_number else "unique": "detail"}
+        return row.selectExpr(inline_rows([{"metric": f"'{m}'", side: sql} for m, sql in values.items()]))
 
-    joined = measures(before, "before").join(measures(after, "after"), "metric")
-    return joined.select("metric", "before", "after", F.round(F.col("after") - F.col("before"), 2).alias("delta"))
+    # Three rows on either side.
+    joined = measures(before, "before").join(F.broadcast(measures(after, "after")), "metric")
+    return joined.selectExpr("metric", "before", "after", "round(after - before, 2) AS delta")
 
 
 def compare_distribution(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
@@ -150,31 +147,24 @@ def dashboard(df: DataFrame) -> DataFrame:
     facts = Facts.of(df, only=("missing", "rows_with_missing")).collected()
     bounds = outliers.fences(df)
     repeated = duplicates.duplicate_counts(df)
-    rows = facts.table(lambda c: {"rows": c.rows}).agg(F.max("rows").alias("rows"))
     by_column = facts.table(
-        lambda c: {"place": F.lit(c.ordinal), "item": F.lit(c.name), "n": c("missing"),
-                   "value": percentage(c("missing"), c.rows, 2)}
+        lambda c: {"place": str(c.ordinal), "item": c.name, "n": c("missing"),
+                   "value": percentage_sql(c("missing"), "rows", 2)}
     )
     counts = outliers.detect_outliers_iqr(df, bounds=bounds)
-    order = F.array(*[F.lit(f.name) for f in df.schema.fields])
-    placed = counts.select("column", "outliers_iqr", F.array_position(order, F.col("column")).alias("place"))
-    most = placed.agg(F.max("outliers_iqr").alias("most")).scalar()
-    listed = placed.filter(F.col("outliers_iqr") > 0).unionAll(
+    names = ", ".join(text_literal(n) for n in df.columns)
+    placed = counts.selectExpr("column", "outliers_iqr", f"array_position(array({names}), column) AS place")
+    most = placed.selectExpr("max(outliers_iqr) AS most").scalar()
+    listed = placed.filter("outliers_iqr > 0").unionAll(
         placed.filter(most == 0).orderBy("place").limit(DASHBOARD_OUTLIERS)
     )
-    panels: list[tuple[str, DataFrame, Column | str, Column | str]] = [
-        ("size", rows, F.lit("rows"), F.col("rows")),
-        ("size", rows, F.lit("columns"), F.lit(len(df.columns))),
-        ("missing", profile.missing_totals(df, facts), F.lit("total"), F.col("missing_pct")),
-        ("missing", by_column.orderBy(F.desc("n"), "place").limit(DASHBOARD_COLUMNS), F.col("item"), F.col("value")),
-        ("types", profile.type_distribution(df), F.col("dtype"), F.col("columns_count")),
-        ("outliers", listed, F.col("column"), F.col("outliers_iqr")),
-        ("score", score.usability_score(df, facts, repeated, bounds), F.lit("score"), F.col("score")),
+    panels = [
+        facts.totals(panel="'size'", item="'rows'", value="CAST(rows AS DOUBLE)"),
+        facts.totals(panel="'size'", item="'columns'", value=f"{len(df.columns)}D"),
+        profile.missing_totals(df, facts).selectExpr("'missing'", "'total'", "missing_pct"),
+        by_column.orderBy(F.desc("n"), "place").limit(DASHBOARD_COLUMNS).selectExpr("'missing'", "item", "value"),
+        profile.type_distribution(df).selectExpr("'types'", "dtype", "CAST(columns_count AS DOUBLE)"),
+        listed.selectExpr("'outliers'", "column", "CAST(outliers_iqr AS DOUBLE)"),
+        score.usability_score(df, facts, repeated, bounds).selectExpr("'score'", "'score'", "CAST(score AS DOUBLE)"),
     ]
-    return reduce(
-        DataFrame.unionAll,
-        [
-            table.select(F.lit(panel).alias("panel"), item.alias("item"), value.cast("double").alias("value"))
-            for panel, table, item, value in panels
-        ],
-    )
+    return reduce(DataFrame.unionAll, panels)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.functions.columns import numeric_columns, percentage
+from tablewright.functions.columns import numeric_columns, percentage_sql, text_literal
 from tablewright.operators.cardinality import distinct_counts
 from tablewright.operators.correlation import pair_correlations
 from tablewright.operators.duplicates import duplicate_counts
-from tablewright.operators.facts import Facts
+from tablewright.operators.facts import FieldFacts, Facts
 from tablewright.operators.outliers import Fence, detect_outliers_iqr, fences, outlier_bounds
 from tablewright.operators.profile import memory_saving_total, missing_totals
 
@@ -47,25 +48,20 @@ def score_components(
     """One row: rows, missing percent, duplicate percent (all members) and mean outlier percent."""
     duplicates = duplicate_counts(df) if duplicates is None else duplicates
     outliers = detect_outliers_iqr(df, bounds=bounds)
-    average = outliers.agg(F.coalesce(F.avg("outliers_iqr_pct"), F.lit(0.0)).alias("pct")).scalar()
-    repeated = duplicates.agg(F.max("n_duplicate_rows").alias("n")).scalar()
-    rows = F.try_divide(F.col("total_cells"), F.lit(len(df.columns))).cast("bigint")
+    average = outliers.selectExpr("coalesce(avg(outliers_iqr_pct), 0D) AS pct").scalar()
+    repeated = duplicates.select("n_duplicate_rows").scalar()
+    rows = f"(total_cells DIV {max(len(df.columns), 1)})"
     return missing_totals(df, facts).select(
-        rows.alias("rows"), "missing_pct",
-        percentage(repeated, rows, 4).alias("duplicate_pct"), average.alias("avg_outlier_pct"),
+        F.expr(f"{rows} AS rows"), "missing_pct",
+        repeated.alias("n_duplicate_rows"), average.alias("avg_outlier_pct"),
+    ).selectExpr(
+        "rows", "missing_pct", f"{percentage_sql('n_duplicate_rows', 'rows', 4)} AS duplicate_pct", "avg_outlier_pct"
     )
 
 
-def graded(score: Column) -> tuple[Column, Column, Column]:
-    """Grade letter, its description and the display band of a score."""
-    letter, text = F.lit(LOWEST_GRADE[0]), F.lit(LOWEST_GRADE[1])
-    for lowest, grade, description in reversed(GRADES):
-        letter = F.when(score >= lowest, grade).otherwise(letter)
-        text = F.when(score >= lowest, description).otherwise(text)
-    band = F.lit(LOWEST_BAND)
-    for lowest, name in reversed(BANDS):
-        band = F.when(score >= lowest, name).otherwise(band)
-    return letter, text, band
+def _case(score: str, steps: Sequence[tuple[int, str]], otherwise: str) -> str:
+    cases = " ".join(f"WHEN {score} >= {lowest} THEN '{name}'" for lowest, name in steps)
+    return f"CASE {cases} ELSE '{otherwise}' END"
 
 
 def usability_score(
@@ -75,26 +71,27 @@ def usability_score(
     bounds: dict[str, Fence] | None = None,
 ) -> DataFrame:
     """Score from 0 to 100 (0 for an empty table) with its components, grade and band."""
-    penalties = (
-        F.least(F.col("missing_pct") * MISSING_WEIGHT, F.lit(MISSING_CAP))
-        + F.least(F.col("duplicate_pct") * DUPLICATE_WEIGHT, F.lit(DUPLICATE_CAP))
-        + F.least(F.col("avg_outlier_pct") * OUTLIER_WEIGHT, F.lit(OUTLIER_CAP))
-    )
-    score = F.when(F.col("rows") == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.bround(F.lit(100.0) - penalties, 0), F.lit(0.0))
+    penalties = " - ".join(
+        f"least({part} * {weight}D, {cap}D)"
+        for part, weight, cap in (
+            ("missing_pct", MISSING_WEIGHT, MISSING_CAP),
+            ("duplicate_pct", DUPLICATE_WEIGHT, DUPLICATE_CAP),
+            ("avg_outlier_pct", OUTLIER_WEIGHT, OUTLIER_CAP),
+        )
     )
-    scored = score_components(df, facts, duplicates, bounds).withColumn("score", score.cast("int"))
-    letter, text, band = graded(F.col("score"))
-    return scored.select(
-        "score", "missing_pct", "duplicate_pct", "avg_outlier_pct",
-        letter.alias("grade"), text.alias("description"), band.alias("band"),
+    score = f"CAST(IF(rows = 0, 0D, greatest(bround(100D - {penalties}, 0), 0D)) AS INT) AS score"
+    return (
+        score_components(df, facts, duplicates, bounds)
+        .selectExpr("*", score)
+        .selectExpr(
+            "score", "missing_pct", "duplicate_pct", "avg_outlier_pct",
+            f"{_case('score', [(low, letter) for low, letter, _ in GRADES], LOWEST_GRADE[0])} AS grade",
+            f"{_case('score', [(low, text) for low, _, text in GRADES], LOWEST_GRADE[1])} AS description",
+            f"{_case('score', BANDS, LOWEST_BAND)} AS band",
+        )
     )
 
 
-def _first_rows(table: DataFrame, order: str, k: int) -> DataFrame:
-    return table.orderBy(order).limit(k)
-
-
 def recommendations(
     df: DataFrame,
     facts: Facts | None = None,
@@ -106,36 +103,33 @@ def recommendations(
     duplicates = duplicate_counts(df) if duplicates is None else duplicates
     with_nulls = facts.table(
         lambda c: {
-            "place": F.lit(c.ordinal), "column": F.lit(c.name), "missing": c("missing"),
-            "value": percentage(c("missing"), c.rows, 4),
+            "place": str(c.ordinal), "column": c.name, "missing": c("missing"),
+            "value": percentage_sql(c("missing"), "rows", 4),
         }
     )
     rule = (
-        F.when(F.col("value") > DROP_ABOVE, "high_missing_drop_column")
-        .when(F.col("value") > IMPUTE_ABOVE, "moderate_missing_impute")
-        .otherwise("low_missing_safe_to_impute")
+        f"CASE WHEN value > {DROP_ABOVE}D THEN 'high_missing_drop_column' "
+        f"WHEN value > {IMPUTE_ABOVE}D THEN 'moderate_missing_impute' ELSE 'low_missing_safe_to_impute' END"
     )
+    # One row per column at most; only the first few columns with missing values are listed.
+    listed = with_nulls.filter("missing > 0").orderBy("place").limit(MISSING_LISTED)
     parts = [
-        _first_rows(with_nulls.filter("missing > 0"), "place", MISSING_LISTED).select(
-            "place", rule.alias("rule"), "column", "value"
-        ),
-        duplicates.filter("n_surplus_rows > 0").select(
-            F.lit(100_000).alias("place"), F.lit("remove_duplicates").alias("rule"),
-            F.lit(None).cast("string").alias("column"), F.col("n_surplus_rows").cast("double").alias("value"),
+        listed.selectExpr("place", f"{rule} AS rule", "column", "value"),
+        duplicates.filter("n_surplus_rows > 0").selectExpr(
+            "100000", "'remove_duplicates'", "CAST(NULL AS STRING)", "CAST(n_surplus_rows AS DOUBLE)"
         ),
-        memory_saving_total(df, facts).filter(F.col("saving_pct") > SAVING_ABOVE).select(
-            F.lit(200_000).alias("place"), F.lit("optimize_types").alias("rule"),
-            F.lit(None).cast("string").alias("column"), F.col("saving_pct").alias("value"),
+        memory_saving_total(df, facts).filter(f"saving_pct > {SAVING_ABOVE}D").selectExpr(
+            "200000", "'optimize_types'", "CAST(NULL AS STRING)", "saving_pct"
         ),
     ]
     checked = numeric_columns(df)[:NUMERIC_CHECKED]
     if checked:
         bounds = {n: f for n, f in (bounds or fences(df, checked)).items() if n in checked}
-        place = F.array_position(F.array(*[F.lit(n) for n in checked]), F.col("column")).cast("int")
+        names = ", ".join(text_literal(n) for n in checked)
         parts.append(
-            outlier_bounds(df, checked, bounds).filter(F.col("outlier_pct") > OUTLIERS_ABOVE * 100).select(
-                (F.lit(300_000) + place).alias("place"), F.lit("cap_or_remove_outliers").alias("rule"),
-                "column", F.col("outlier_pct").alias("value"),
+            outlier_bounds(df, checked, bounds).filter(f"outlier_pct > {OUTLIERS_ABOVE * 100}D").selectExpr(
+                f"CAST(300000 + array_position(array({names}), column) AS INT)",
+                "'cap_or_remove_outliers'", "column", "outlier_pct",
             )
         )
     advice = reduce(DataFrame.unionAll, parts)
@@ -144,49 +138,50 @@ def recommendations(
 
 
 def threshold_flags(df: DataFrame, facts: Facts | None = None, duplicates: DataFrame | None = None) -> DataFrame:
-    """(subject, flag, value, threshold) for every profile value beyond its threshold."""
+    """(column, flag, value, threshold) for every profile value beyond its threshold."""
     facts = facts or Facts.of(df, only=("missing", "skewness", "kurtosis")).collected()
     duplicates = duplicate_counts(df) if duplicates is None else duplicates
-    counts = distinct_counts(df)
-    unrounded = F.try_divide(F.col("unique_values"), F.col("rows"))
-    pairs = pair_correlations(df)
-    rows = facts.table(lambda c: {"rows": c.rows}).agg(F.max("rows").alias("rows")).scalar()
-    surplus = duplicates.select(
-        F.lit(None).cast("string").alias("column"), F.try_divide(F.col("n_surplus_rows"), rows).alias("value")
-    )
-    shares = facts.table(
-        lambda c: {"column": F.lit(c.name), "value": F.try_divide(c("missing"), c.rows)}
-    )
-    shapes = facts.table(
-        lambda c: {"column": F.lit(c.name), "skewness": F.abs(c("skewness")), "kurtosis": F.abs(c("kurtosis"))},
-        where=lambda c: c.kind == "numeric",
-    )
-    ratios = counts.select("column", unrounded.alias("value"))
-    sizes = counts.select("column", F.col("unique_values").cast("double").alias("value"))
-    strengths = pairs.select(F.concat_ws("~", "col_a", "col_b").alias("column"), F.abs("r").alias("value"))
-
-    def flagged(table: DataFrame, flag: str, beyond: Column, threshold: float) -> DataFrame:
-        return table.filter(beyond).select(
-            "column", F.lit(flag).alias("flag"), F.round("value", 4).alias("value"),
-            F.lit(float(threshold)).alias("threshold"),
+
+    def rules(value: str, *tests: tuple[str, str, float]) -> str:
+        """SQL array of (flag, value, threshold), null where the test fails."""
+        return ", ".join(
+            f"IF({value} {test} {limit}D, struct('{flag}' AS flag, round({value}, 4) AS value, "
+            f"{float(limit)}D AS threshold), NULL)"
+            for flag, test, limit in tests
         )
 
-    value = F.col("value")
+    def flagged(table: DataFrame, column: str, checks: str) -> DataFrame:
+        return table.selectExpr(f"{column} AS column", f"inline(array_compact(array({checks})))")
+
+    def column_checks(c: FieldFacts) -> dict[str, str]:
+        return {
+            "column": c.name,
+            "rows": "rows",
+            "missing_share": f"try_divide({c('missing')}, rows)",
+            "skewness": f"abs(CAST({c('skewness')} AS DOUBLE))",
+            "kurtosis": f"abs(CAST({c('kurtosis')} AS DOUBLE))",
+        }
+
+    shapes = facts.table(column_checks)
+    counts = distinct_counts(df).selectExpr(
+        "column", "CAST(unique_values AS DOUBLE) AS unique_values", "try_divide(unique_values, rows) AS ratio"
+    )
+    strengths = pair_correlations(df).selectExpr("concat_ws('~', col_a, col_b) AS pair", "abs(r) AS r")
+    rows = facts.totals(rows="rows").scalar()
+    surplus = duplicates.select(F.try_divide("n_surplus_rows", rows).alias("surplus_share"))
     parts = [
-        flagged(shares, "high_missing", value > FLAG_MISSING, FLAG_MISSING),
-        flagged(ratios, "high_cardinality", value > FLAG_HIGH_CARDINALITY, FLAG_HIGH_CARDINALITY),
-        flagged(ratios, "low_cardinality", value < FLAG_LOW_CARDINALITY, FLAG_LOW_CARDINALITY),
-        flagged(ratios, "id_like", value >= FLAG_ID_LIKE, FLAG_ID_LIKE),
-        flagged(sizes, "few_values", value <= FLAG_FEW_VALUES, FLAG_FEW_VALUES),
-        flagged(surplus, "duplicates", value > FLAG_DUPLICATES, FLAG_DUPLICATES),
-        flagged(strengths, "correlated", value > FLAG_CORRELATION, FLAG_CORRELATION),
-        flagged(strengths, "closely_correlated", value > FLAG_CLOSE_PAIR, FLAG_CLOSE_PAIR),
+        flagged(shapes, "column", ", ".join((
+            rules("missing_share", ("high_missing", ">", FLAG_MISSING)),
+            rules("skewness", ("skewed", ">", FLAG_SKEWNESS)),
+            rules("kurtosis", ("heavy_tails", ">", FLAG_KURTOSIS)),
+        ))),
+        flagged(counts, "column", ", ".join((
+            rules("ratio", ("high_cardinality", ">", FLAG_HIGH_CARDINALITY),
+                  ("low_cardinality", "<", FLAG_LOW_CARDINALITY), ("id_like", ">=", FLAG_ID_LIKE)),
+            rules("unique_values", ("few_values", "<=", FLAG_FEW_VALUES)),
+        ))),
+        flagged(strengths, "pair", rules("r", ("correlated", ">", FLAG_CORRELATION),
+                                         ("closely_correlated", ">", FLAG_CLOSE_PAIR))),
+        flagged(surplus, "CAST(NULL AS STRING)", rules("surplus_share", ("duplicates", ">", FLAG_DUPLICATES))),
     ]
-    if shapes is not None:
-        skew = shapes.select("column", F.col("skewness").alias("value"))
-        tails = shapes.select("column", F.col("kurtosis").alias("value"))
-        parts += [
-            flagged(skew, "skewed", value > FLAG_SKEWNESS, FLAG_SKEWNESS),
-            flagged(tails, "heavy_tails", value > FLAG_KURTOSIS, FLAG_KURTOSIS),
-        ]
     return reduce(DataFrame.unionAll, parts)

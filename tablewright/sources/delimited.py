@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions import parsing
-from tablewright.functions.columns import column
+from tablewright.functions.columns import column, quoted, text_literal
 from tablewright.operators.facts import Facts
 
 # Encodings and separators in the order they are tried, and the size of the prefix read.
@@ -176,15 +176,15 @@ def read_as_text(
 
 def nulls_from_tokens(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Texts that stand for a missing value become null."""
-    tokens = [*NULL_TOKENS, *extra]
-    return df.select(
-        *[
-            F.when(~column(f.name).isin(tokens), column(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType) and f.name != CORRUPT
-            else column(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    tokens = ", ".join(text_literal(token) for token in (*NULL_TOKENS, *extra))
+
+    def kept(field: T.StructField) -> str:
+        name = quoted(field.name)
+        if not isinstance(field.dataType, T.StringType) or field.name == CORRUPT:
+            return name
+        return f"IF({name} IN ({tokens}), NULL, {name}) AS {name}"
+
+    return df.selectExpr(*[kept(field) for field in df.schema.fields])
 
 
 def inferred_types(df: DataFrame) -> dict[str, T.DataType]:
@@ -195,7 +195,7 @@ def inferred_types(df: DataFrame) -> dict[str, T.DataType]:
     facts = Facts.of(df, names, ("missing", "numbers", "integers", "booleans"))
     rows = facts.table(
         lambda c: {
-            "column": F.lit(c.name), "filled": c.filled, "numbers": c("numbers"),
+            "column": c.name, "filled": c.filled, "numbers": c("numbers"),
             "integers": c("integers"), "booleans": c("booleans"),
         }
     ).collect()
@@ -215,15 +215,15 @@ def inferred_types(df: DataFrame) -> dict[str, T.DataType]:
 def with_inferred_types(df: DataFrame, types: dict[str, T.DataType] | None = None) -> DataFrame:
     types = inferred_types(df) if types is None else types
 
-    def typed(name: str) -> Column:
-        kind = types.get(name)
+    def typed(name: str) -> str:
+        kind, value = types.get(name, T.StringType()), quoted(name)
         if isinstance(kind, T.BooleanType):
-            return parsing.boolean_from_text(column(name)).alias(name)
-        if kind is not None and not isinstance(kind, T.StringType):
-            return column(name).try_cast(kind).alias(name)
-        return column(name)
+            value = parsing.boolean_from_text(value)
+        elif not isinstance(kind, T.StringType):
+            value = f"try_cast({value} AS {kind.simpleString()})"
+        return f"{value} AS {quoted(name)}"
 
-    return df.select(*[typed(name) for name in df.columns])
+    return df.selectExpr(*[typed(name) for name in df.columns])
 
 
 def is_accepted(record: Column, separator: str, width: int) -> Column:

@@ -149,8 +149,8 @@ def test_memory_text_and_saving(spark):
     saving = by_column(profile.memory_saving(df))
     assert saving["x"]["saving_bytes"] == 1200.0 and saving["s"]["saving_bytes"] == 600.0
     sizes = spark.createDataFrame([(500,), (2048,), (3 * 1024**3,)], "n bigint")
-    from tablewright.functions.display import format_bytes
-    assert [r[0] for r in sizes.select(format_bytes(F.col("n"))).collect()] == ["500.0 B", "2.0 KB", "3.0 GB"]
+    from tablewright.functions.display import bytes_sql
+    assert [r[0] for r in sizes.selectExpr(bytes_sql("n")).collect()] == ["500.0 B", "2.0 KB", "3.0 GB"]
 
 
 def test_type_distribution(spark):
