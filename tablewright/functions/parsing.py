@@ -8,12 +8,12 @@ from tablewright.functions.columns import text_literal
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
-# Date layouts, each with the pattern that recognises it at the start of a text.
+# Date layouts, and the shape of the first ten characters (each digit as 0) of a text in it.
 DATE_LAYOUTS = (
-    (r"^\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
-    (r"^\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}", "MM-dd-yyyy"),
-    (r"^\d{4}/\d{2}/\d{2}", "yyyy/MM/dd"),
+    ("0000-00-00", "yyyy-MM-dd"),
+    ("00/00/0000", "MM/dd/yyyy"),
+    ("00-00-0000", "MM-dd-yyyy"),
+    ("0000/00/00", "yyyy/MM/dd"),
 )
 
 # Shares of recognised values above which a text column is taken as dates.
@@ -30,20 +30,30 @@ def integer_from_text(value: str) -> str:
     return f"IF({value} RLIKE {text_literal(INTEGER_PATTERN)}, try_cast({value} AS BIGINT), NULL)"
 
 
-def looks_like_date(value: str, layouts: range = range(len(DATE_LAYOUTS))) -> str:
-    either = "|".join(DATE_LAYOUTS[i][0] for i in layouts)
-    return f"trim({value}) RLIKE {text_literal(either)}"
+def date_shape(value: str) -> str:
+    return f"translate(left(trim({value}), 10), '123456789', '000000000')"
+
+
+def has_layout(shape: str, layouts: range = range(len(DATE_LAYOUTS))) -> str:
+    return f"{shape} IN ({', '.join(text_literal(DATE_LAYOUTS[i][0]) for i in layouts)})"
+
+
+def _parsed(value: str, layout: int) -> str:
+    pattern = DATE_LAYOUTS[layout][1] + "[ HH:mm:ss]['T'HH:mm:ss]"
+    return f"try_to_timestamp(trim({value}), {text_literal(pattern)})"
 
 
 def timestamp_from_text(value: str, layout: int) -> str:
     """Text to timestamp_ntz by one layout, with or without a time of day; null if it does not fit."""
-    pattern = DATE_LAYOUTS[layout][1] + "[ HH:mm:ss]['T'HH:mm:ss]"
-    parsed = f"CAST(try_to_timestamp(trim({value}), {text_literal(pattern)}) AS TIMESTAMP_NTZ)"
-    return f"IF({looks_like_date(value, range(layout, layout + 1))}, {parsed}, NULL)"
+    fits = has_layout(date_shape(value), range(layout, layout + 1))
+    return f"CAST(IF({fits}, {_parsed(value, layout)}, NULL) AS TIMESTAMP_NTZ)"
 
 
 def timestamp_from_any_layout(value: str) -> str:
-    return f"coalesce({', '.join(timestamp_from_text(value, i) for i in range(len(DATE_LAYOUTS)))})"
+    cases = " ".join(
+        f"WHEN {text_literal(shape)} THEN {_parsed(value, i)}" for i, (shape, _) in enumerate(DATE_LAYOUTS)
+    )
+    return f"CAST(CASE {date_shape(value)} {cases} END AS TIMESTAMP_NTZ)"
 
 
 def boolean_from_text(value: str) -> str:

@@ -8,7 +8,7 @@ from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.functions.columns import double_sql, field_of, numeric_columns, text_literal
+from tablewright.functions.columns import double_sql, field_of, number_literal, numeric_columns, text_literal
 from tablewright.operators.facts import inline_rows
 from tablewright.operators.tables import empty_table
 
@@ -22,19 +22,29 @@ STRONG = 0.7
 def _pairs(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """(col_a, col_b, r) for the given pairs of positions in `names`; r is null if a side is constant.
 
-    A first pass finds the columns without missing values that are not constant: between those, `corr`
-    is one aggregate. Other pairs mask each side by the other, and a constant side gives null.
+    A first pass collects counts, ranges and means (one row). Between columns that are complete and
+    not constant, r then needs plain sums of products around the means. Other pairs mask each side by
+    the other, where a constant side gives null.
     """
     if not pairs:
         return empty_table(df.sparkSession, "col_a string, col_b string, r double")
     numbers = df.selectExpr(*[f"{double_sql(field_of(df, n))} AS v{i}" for i, n in enumerate(names)])
-    plain = numbers.selectExpr(
-        *[f"coalesce(count(v{i}) = count(1) AND min(v{i}) < max(v{i}), false) AS v{i}" for i in range(len(names))]
+    seen = numbers.selectExpr(
+        *[
+            f"struct(count(v{i}) = count(1) AND min(v{i}) < max(v{i}) AS plain, avg(v{i}) AS mean) AS v{i}"
+            for i in range(len(names))
+        ]
     ).first()
+    centred = numbers.selectExpr(
+        *[
+            f"v{i} - {number_literal(seen[i]['mean'])} AS v{i}" if seen[i]["plain"] else f"v{i}"
+            for i in range(len(names))
+        ]
+    )
 
     def correlation(a: int, b: int) -> str:
-        if plain[a] and plain[b]:
-            return f"corr(v{a}, v{b})"
+        if seen[a]["plain"] and seen[b]["plain"]:
+            return f"sum(v{a} * v{b}) / sqrt(sum(v{a} * v{a}) * sum(v{b} * v{b}))"
         spread_a = f"stddev_pop(IF(v{b} IS NULL, NULL, v{a}))"
         spread_b = f"stddev_pop(IF(v{a} IS NULL, NULL, v{b}))"
         return f"covar_pop(v{a}, v{b}) / nullif({spread_a} * {spread_b}, 0D)"
@@ -47,7 +57,7 @@ def _pairs(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]
             for a, b in chunk
         ]
         aggregates = [f"{correlation(a, b)} AS r{a}_{b}" for a, b in chunk]
-        parts.append(numbers.selectExpr(*aggregates).selectExpr(inline_rows(rows)))
+        parts.append(centred.selectExpr(*aggregates).selectExpr(inline_rows(rows)))
     return reduce(DataFrame.unionAll, parts)
 
 

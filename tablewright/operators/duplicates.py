@@ -11,7 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.functions.columns import column, nan_to_null, require_columns, type_class
+from tablewright.functions.columns import (
+    INTEGRAL, column, field_of, nan_to_null, quoted, require_columns, type_class,
+)
 
 # A key with at least 1/HOT_KEYS of all rows is hot, so there are at most HOT_KEYS hot keys.
 HOT_KEYS = 1000
@@ -50,8 +52,13 @@ def _matching(rows: DataFrame, keys: Sequence[str], sizes: DataFrame, total: Col
     return in_hot.unionAll(in_cold)
 
 
-def _row_count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+def _sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _total(sizes: DataFrame) -> Column:
+    """All rows, from the group sizes: shares their shuffle instead of reading the table again."""
+    return sizes.agg(F.sum("n").alias("rows")).scalar()
 
 
 def repeated_groups(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -64,9 +71,9 @@ def repeated_groups(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     rows = nan_to_null(df, keys).select(*[column(k) for k in keys])
     if _is_wide(df, keys):
         hashed = rows.withColumn("_hash", F.xxhash64(*[column(k) for k in keys]))
-        suspects = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = _matching(hashed, ["_hash"], suspects, _row_count(df)).drop("_hash")
-    return rows.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = _sizes(hashed, ["_hash"])
+        rows = _matching(hashed, ["_hash"], sizes.filter("n > 1"), _total(sizes)).drop("_hash")
+    return _sizes(rows, keys).filter("n > 1")
 
 
 def duplicate_counts(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -81,7 +88,8 @@ def duplicate_counts(df: DataFrame, subset: Sequence[str] | None = None) -> Data
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Every row that has an equal row on the keys."""
     keys = _keys(df, subset)
-    return _matching(nan_to_null(df, keys), keys, repeated_groups(df, subset), _row_count(df))
+    total = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    return _matching(nan_to_null(df, keys), keys, repeated_groups(df, subset), total)
 
 
 def duplicate_sample(df: DataFrame, subset: Sequence[str], order_by: Sequence[str], k: int = 5) -> DataFrame:
@@ -107,14 +115,41 @@ def remove_duplicates(
     clean = nan_to_null(df, keys)
     if keep is not False and whole_row:
         return clean.dropDuplicates()
-    row = F.struct(*[column(c) for c in df.columns])
     groups = clean.groupBy(*[column(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     if keep is False:
-        alone = groups.agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("_row"))
-        return alone.filter("_n = 1").select("_row.*")
+        members = [F.count(F.lit(1)).alias("_n"), *_picked(clean, "any_value({})")]
+        return groups.agg(*members).filter("_n = 1").selectExpr(*_unpacked(clean))
     if not order_by:
         raise ValueError("keeping the first or last row of a subset needs order_by")
     require_columns(df, order_by)
-    order = F.struct(*[column(c) for c in order_by])
-    pick = F.min_by if keep == "first" else F.max_by
-    return groups.agg(pick(row, order).alias("_row")).select("_row.*")
+    pick = "min_by" if keep == "first" else "max_by"
+    return groups.agg(*_picked(clean, f"{pick}({{}}, {_order_sql(df, order_by)})")).selectExpr(*_unpacked(clean))
+
+
+def _order_sql(df: DataFrame, order_by: Sequence[str]) -> str:
+    """An order without nulls (min_by and max_by skip those): nulls come first.
+
+    A single whole-number key stays a number, which keeps the aggregate hash-based.
+    """
+    if len(order_by) == 1 and isinstance(field_of(df, order_by[0]).dataType, INTEGRAL):
+        return f"coalesce(CAST({quoted(order_by[0])} AS BIGINT), CAST('{-(2**63)}' AS BIGINT))"
+    return f"struct({', '.join(map(quoted, order_by))})"
+
+
+def _hash_aggregated(df: DataFrame) -> bool:
+    """Whether all columns have a fixed width, so that aggregates of them need no sort."""
+    return not any(type_class(f.dataType) in ("text", "other") for f in df.schema.fields)
+
+
+def _picked(df: DataFrame, pick: str) -> list[Column]:
+    """One row of a group: column by column if that stays hash-aggregated, else as one struct."""
+    names = [quoted(c) for c in df.columns]
+    if _hash_aggregated(df):
+        return [F.expr(f"{pick.format(name)} AS _c{i}") for i, name in enumerate(names)]
+    return [F.expr(f"{pick.format('struct(' + ', '.join(names) + ')')} AS _row")]
+
+
+def _unpacked(df: DataFrame) -> list[str]:
+    if _hash_aggregated(df):
+        return [f"_c{i} AS {quoted(c)}" for i, c in enumerate(df.columns)]
+    return ["_row.*"]

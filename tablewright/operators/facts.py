@@ -33,8 +33,22 @@ FIXED_WIDTH = {
 TEXT_OFFSET = 4
 
 
-def _number_facts(field: T.StructField) -> dict[str, str]:
-    value = double_sql(field)
+def _prepared(field: T.StructField, ordinal: int) -> list[str]:
+    """Values that several facts of a column share, computed once per row (unused ones are pruned)."""
+    value = quoted(field.name)
+    kind = type_class(field.dataType)
+    if kind == "numeric":
+        return [f"{double_sql(field)} AS _value{ordinal}"]
+    if kind == "text":
+        return [
+            f"{parsing.date_shape(value)} AS _shape{ordinal}",
+            f"{parsing.timestamp_from_any_layout(value)} AS _time{ordinal}",
+        ]
+    return []
+
+
+def _number_facts(field: T.StructField, ordinal: int) -> dict[str, str]:
+    value = f"_value{ordinal}"
     n = f"CAST(count({value}) AS DOUBLE)"
     constant = f"min({value}) = max({value})"
     skewness = f"skewness({value}) * sqrt({n} * ({n} - 1)) / ({n} - 2)"
@@ -60,45 +74,45 @@ def _number_facts(field: T.StructField) -> dict[str, str]:
     return facts
 
 
-def _text_facts(field: T.StructField) -> dict[str, str]:
-    value = quoted(field.name)
+def _text_facts(field: T.StructField, ordinal: int) -> dict[str, str]:
+    value, shape, time = quoted(field.name), f"_shape{ordinal}", f"_time{ordinal}"
     facts = {
         "octets": f"coalesce(sum(octet_length({value})), 0)",
         "numbers": f"count({parsing.number_from_text(value)})",
         "integers": f"count({parsing.integer_from_text(value)})",
         "booleans": f"count({parsing.boolean_from_text(value)})",
-        "dates": f"count({parsing.timestamp_from_any_layout(value)})",
-        "date_like": f"count_if({parsing.looks_like_date(value)})",
-        "date_like_dashed": f"count_if({parsing.looks_like_date(value, range(3))})",
+        "dates": f"count({time})",
+        "date_like": f"count_if({parsing.has_layout(shape)})",
+        "date_like_dashed": f"count_if({parsing.has_layout(shape, range(3))})",
     }
     for i in range(len(parsing.DATE_LAYOUTS)):
-        facts[f"layout_{i}"] = f"count({parsing.timestamp_from_text(value, i)})"
+        facts[f"layout_{i}"] = f"count_if({parsing.has_layout(shape, range(i, i + 1))} AND {time} IS NOT NULL)"
     return facts
 
 
-def _other_facts(field: T.StructField) -> dict[str, str]:
+def _other_facts(field: T.StructField, ordinal: int) -> dict[str, str]:
     # Nested values have no fixed width; their JSON text stands in for it.
     value = quoted(field.name)
     sized = value if isinstance(field.dataType, T.BinaryType) else f"to_json(struct({value}))"
     return {"octets": f"coalesce(sum(octet_length({sized})), 0)"}
 
 
-def _datetime_facts(field: T.StructField) -> dict[str, str]:
+def _datetime_facts(field: T.StructField, ordinal: int) -> dict[str, str]:
     return {"first": f"min({quoted(field.name)})", "last": f"max({quoted(field.name)})"}
 
 
-FACTS_BY_CLASS: dict[str, Callable[[T.StructField], dict[str, str]]] = {
+FACTS_BY_CLASS: dict[str, Callable[[T.StructField, int], dict[str, str]]] = {
     "numeric": _number_facts,
     "text": _text_facts,
     "datetime": _datetime_facts,
-    "boolean": lambda field: {},
+    "boolean": lambda field, ordinal: {},
     "other": _other_facts,
 }
 
 
-def _facts_of_field(field: T.StructField, only: frozenset[str] | None) -> dict[str, str]:
+def _facts_of_field(field: T.StructField, ordinal: int, only: frozenset[str] | None) -> dict[str, str]:
     facts = {"missing": f"count_if({missing_sql(field)})"}
-    facts |= FACTS_BY_CLASS[type_class(field.dataType)](field)
+    facts |= FACTS_BY_CLASS[type_class(field.dataType)](field, ordinal)
     return {name: sql for name, sql in facts.items() if only is None or name in only}
 
 
@@ -168,11 +182,13 @@ class Facts:
             if start == 0 and fields and (kinds is None or "rows_with_missing" in kinds):
                 any_missing = " OR ".join(missing_sql(f) for _, f in fields)
                 aggregates.append(f"count_if({any_missing}) AS rows_with_missing")
+            prepared = ["*"]
             for ordinal, field in fields[start : start + COLUMNS_PER_PASS]:
-                facts = _facts_of_field(field, kinds)
+                prepared += _prepared(field, ordinal)
+                facts = _facts_of_field(field, ordinal, kinds)
                 entries.append(FieldFacts(field, ordinal, frozenset(facts)))
                 aggregates += [f"{sql} AS c{ordinal}_{fact}" for fact, sql in facts.items()]
-            passes.append((tuple(entries), df.selectExpr(*aggregates)))
+            passes.append((tuple(entries), df.selectExpr(*prepared).selectExpr(*aggregates)))
         return cls(tuple(f for _, f in fields), tuple(passes))
 
     def collected(self) -> "Facts":
