@@ -37,7 +37,7 @@ BOUNDARIES = [EVENTS_N, AFTER_1, AFTER_2, AFTER_3, AFTER_4, AFTER_5]
 
 
 def cleaned(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.events_n, steps.apply_steps(t.events_n, STEPS, ["event_id"])
+    return t.events_n, steps.apply_steps(t.events_n, STEPS, ["event_id"], read_again=True)
 
 
 @query(

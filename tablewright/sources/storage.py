@@ -4,23 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@cache
+def _folder_of_this_process() -> str:
+    return tempfile.mkdtemp(prefix="tablewright-")
+
+
+def has_shared_folder(spark: SparkSession) -> bool:
+    return bool(spark.conf.get(CHECKPOINT_DIR, None))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; on a local master without it, a folder of this run."""
+    """`spark.checkpoint.dir` of the session; only a local master may do without it."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tablewright-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    return _folder_of_this_process()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """The table written once to the shared folder and read from there.
+
+    Ends a long lineage: whatever reads the result, or reads it again after a lost executor, starts
+    from files with pruning and pushdown, not from the steps that made them.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+    return spark.read.parquet(path).toDF(*df.columns)
