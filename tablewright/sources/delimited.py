@@ -11,7 +11,7 @@ import csv
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablewright.functions import parsing
 from tablewright.functions.columns import column, quoted, text_literal
@@ -120,6 +120,77 @@ def has_quoted_newlines(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return not lines.filter(quotes % 2 == 1).isEmpty()
 
 
+def _text_schema(width: int) -> T.StructType:
+    fields = [T.StructField(f"_{i}", T.StringType()) for i in range(width)]
+    return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def _options(text_format: TextFormat) -> dict[str, str]:
+    return {
+        "sep": text_format.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT, "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+
+
+# Where a line stands: its file, the start of its split in the file, and its place in the scan.
+LINE_POSITION = (
+    "struct(_metadata.file_path AS file, _metadata.file_block_start AS block, "
+    "monotonically_increasing_id() AS line)"
+)
+
+
+def _scanned(spark: SparkSession, path: str | Sequence[str], text_format: TextFormat) -> DataFrame:
+    """One record per line, parsed by the scan."""
+    # A pruned parser does not see the length of a row, so it would mark nothing.
+    scan = spark.read.option("columnPruning", False).options(**_options(text_format)).csv(
+        path if isinstance(path, str) else list(path),
+        schema=_text_schema(len(text_format.header)), header=True, enforceSchema=True,
+        encoding="UTF-8" if text_format.encoding in UNICODE else LATIN,
+    )
+    return scan.selectExpr("*", f"{LINE_POSITION} AS {FILE_POSITION}")
+
+
+def _joined_lines(spark: SparkSession, path: str | Sequence[str], text_format: TextFormat) -> DataFrame:
+    """Records that may span lines, put together from the lines of a splittable scan.
+
+    A line begins a record if the quotes before it in its file are even. Within a split that is a
+    running count; a table with one row per split carries the count and the open record into the
+    next split. So no file is read by a single task, and only the lines of one record meet.
+    """
+    text = "value" if text_format.encoding in UNICODE else f"decode(CAST(value AS BINARY), '{LATIN}')"
+    lines = (
+        spark.read.text(path if isinstance(path, str) else list(path))
+        .selectExpr(f"{text} AS text", f"{LINE_POSITION} AS at")
+        .selectExpr("text", "at", "at.file AS file", "at.block AS block",
+                    "length(text) - length(replace(text, '\"', '')) AS quotes")
+    )
+    in_split = Window.partitionBy("file", "block").orderBy("at")
+    counted = lines.withColumn("upto", F.sum("quotes").over(in_split))
+    per_split = lines.groupBy("file", "block").agg(F.sum("quotes").alias("split_quotes"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_split.select("file", "block", F.coalesce(F.sum("split_quotes").over(earlier), F.lit(0)).alias("carry"))
+    begun = counted.join(carried, ["file", "block"]).withColumn(
+        "start", F.expr("IF((carry + upto - quotes) % 2 = 0, at, NULL)")
+    )
+    last_start = begun.groupBy("file", "block").agg(F.max("start").alias("split_start"))
+    open_record = last_start.select(
+        "file", "block", F.last("split_start", ignorenulls=True).over(earlier).alias("open_start")
+    )
+    running = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = begun.withColumn("own_start", F.last("start", ignorenulls=True).over(running))
+    records = (
+        placed.join(open_record, ["file", "block"])
+        .groupBy(F.expr("coalesce(own_start, open_start) AS record"))
+        .agg(F.expr("array_join(transform(sort_array(collect_list(struct(at, text))), l -> l.text), '\n') AS text"))
+    )
+    heads = lines.groupBy("file").agg(F.min("at").alias("record"))
+    body = records.join(heads.select("record"), "record", "left_anti").filter("trim(text) <> ''")
+    unmarked = F.regexp_replace("text", "^\ufeff", "")
+    row = F.from_csv(unmarked, F.lit(_text_schema(len(text_format.header)).simpleString()), _options(text_format))
+    return body.select(row.alias("row"), F.col("record").alias(FILE_POSITION)).select("row.*", FILE_POSITION)
+
+
 def read_as_text(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -129,39 +200,18 @@ def read_as_text(
 ) -> DataFrame:
     """All columns as text, with rows of the wrong length marked in `_corrupt_record`.
 
-    `multiline="auto"` looks for quoted line breaks first; only files that have them are read
-    unsplit. `with_position` adds a struct that sorts rows in file order.
+    `multiline="auto"` looks for quoted line breaks first. `with_position` adds a struct that sorts
+    rows in file order.
     """
     text_format = text_format or sniff(spark, path)
     if text_format is None:
         raise ValueError(f"no text to read at {path!r}")
     if multiline == "auto":
         multiline = has_quoted_newlines(spark, path)
-    schema = T.StructType(
-        [T.StructField(f"_{i}", T.StringType()) for i in range(len(text_format.header))]
-        + [T.StructField(CORRUPT, T.StringType())]
-    )
-    unicode = text_format.encoding in UNICODE
-    # A pruned parser does not see the length of a row, so it would mark nothing.
-    scan = spark.read.option("columnPruning", False).csv(
-        path if isinstance(path, str) else list(path),
-        schema=schema, header=True, sep=text_format.separator, quote='"', escape='"',
-        encoding="UTF-8" if unicode else LATIN, multiLine=bool(multiline),
-        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    if with_position:
-        scan = scan.withColumn(
-            FILE_POSITION,
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ),
-        )
+    rows = (_joined_lines if multiline else _scanned)(spark, path, text_format)
 
     def decoded(value: Column) -> Column:
-        if unicode or text_format.encoding == "latin-1":
+        if text_format.encoding in (*UNICODE, "latin-1"):
             return value
         return F.translate(value, *_upper_half(text_format.encoding))
 
@@ -171,7 +221,7 @@ def read_as_text(
     columns.append(decoded(marked).alias(CORRUPT))
     if with_position:
         columns.append(F.col(FILE_POSITION))
-    return scan.select(*columns)
+    return rows.select(*columns)
 
 
 def nulls_from_tokens(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -116,3 +116,31 @@ def test_sample(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_records_across_lines_files_and_splits(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part in range(3):
+        body = "".join(
+            f'{part * 1000 + i},"first {i}\nsecond ""{i}""\n\nlast, {i}",{"x" if i % 2 else ""}\n' for i in range(400)
+        )
+        (folder / f"{part}.csv").write_text("id,note,flag\n" + body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        table, rejected = delimited.read_delimited(spark, str(folder), with_position=True)
+        rows = table.orderBy(delimited.FILE_POSITION).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["id"] for r in rows] == [p * 1000 + i for p in range(3) for i in range(400)]
+    assert all(r["note"] == f'first {r["id"] % 1000}\nsecond "{r["id"] % 1000}"\n\nlast, {r["id"] % 1000}' for r in rows)
+    assert all(r["flag"] == ("x" if r["id"] % 2 else None) for r in rows)
+    assert rejected.count() == 0
+
+
+def test_quoted_newlines_in_a_single_byte_encoding_with_bad_rows(spark, tmp_path):
+    path = write(tmp_path / "in.csv", 'n;t\n1;"سلام\nدنيا"\n2;x;y\n3\n', "cp1256")
+    table, rejected = delimited.read_delimited(spark, path)
+    assert [tuple(r) for r in table.orderBy("n").collect()] == [(1, "سلام\nدنيا"), (3, None)]
+    assert [r[0] for r in rejected.collect()] == ["2;x;y"]
