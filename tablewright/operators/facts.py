@@ -19,8 +19,9 @@ from tablewright.functions.columns import (
     INTEGRAL, double_sql, missing_sql, quoted, text_literal, type_class,
 )
 
-# Columns per aggregate: keeps generated code small on very wide tables.
-COLUMNS_PER_PASS = 60
+# Aggregates per pass. More of them outgrow what the JVM compiles well; a further pass reads only the
+# columns it needs, so a wide table is still read once in all.
+AGGREGATES_PER_PASS = 64
 
 # Tolerance within which a double may be stored as a float.
 FLOAT_TOLERANCE = 1e-6
@@ -163,6 +164,22 @@ def inline_rows(rows: Sequence[dict[str, str]]) -> str:
     return f"inline(array({', '.join(named_struct(row) for row in rows)}))"
 
 
+FieldWithFacts = tuple[int, T.StructField, dict[str, str]]
+
+
+def _grouped(fields: Sequence[FieldWithFacts]) -> list[list[FieldWithFacts]]:
+    """Consecutive fields, cut where their aggregates exceed what one pass should hold."""
+    groups: list[list[FieldWithFacts]] = [[]]
+    held = 0
+    for item in fields:
+        if groups[-1] and held + len(item[2]) > AGGREGATES_PER_PASS:
+            groups.append([])
+            held = 0
+        groups[-1].append(item)
+        held += len(item[2])
+    return groups
+
+
 @dataclass(frozen=True)
 class Facts:
     fields: tuple[T.StructField, ...]
@@ -177,15 +194,13 @@ class Facts:
         wanted = None if names is None else set(names)
         fields = [(i, f) for i, f in enumerate(df.schema.fields) if wanted is None or f.name in wanted]
         passes = []
-        for start in range(0, max(len(fields), 1), COLUMNS_PER_PASS):
-            entries, aggregates = [], ["count(1) AS rows"]
-            if start == 0 and fields and (kinds is None or "rows_with_missing" in kinds):
+        for group in _grouped([(o, f, _facts_of_field(f, o, kinds)) for o, f in fields]):
+            entries, prepared, aggregates = [], ["*"], ["count(1) AS rows"]
+            if not passes and fields and (kinds is None or "rows_with_missing" in kinds):
                 any_missing = " OR ".join(missing_sql(f) for _, f in fields)
                 aggregates.append(f"count_if({any_missing}) AS rows_with_missing")
-            prepared = ["*"]
-            for ordinal, field in fields[start : start + COLUMNS_PER_PASS]:
+            for ordinal, field, facts in group:
                 prepared += _prepared(field, ordinal)
-                facts = _facts_of_field(field, ordinal, kinds)
                 entries.append(FieldFacts(field, ordinal, frozenset(facts)))
                 aggregates += [f"{sql} AS c{ordinal}_{fact}" for fact, sql in facts.items()]
             passes.append((tuple(entries), df.selectExpr(*prepared).selectExpr(*aggregates)))

@@ -3,7 +3,7 @@
 Spark's `percentile` gathers every distinct value of a column in one task. Here each wanted order
 statistic is bracketed by a mergeable sketch (`percentile_approx`), the brackets are verified by
 exact counts, and only the values strictly inside a bracket are looked at again. A round keeps
-about 1/2000 of the values, so 10^12 rows need two rounds. The driver receives one row per round.
+about 1/4000 of the values, so 10^12 rows need three rounds. The driver receives one row per round.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ ACCURACY = 10_000
 MARGIN = 1.2 / ACCURACY
 
 # A bracket with at most this many values is finished by grouping and ordering its values.
-BRACKET_LIMIT = 200_000
+BRACKET_LIMIT = 20_000
 
 
 @dataclass

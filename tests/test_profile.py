@@ -95,8 +95,9 @@ def test_approximate_cardinality_is_close(spark):
 def test_wide_tables_use_several_passes(spark, monkeypatch):
     df = spark.range(100).selectExpr(*[f"IF(id % {i + 2} = 0, NULL, id) AS c{i}" for i in range(9)])
     whole = rows(profile.missing_totals(df)), by_column(profile.memory_by_column(df)), rows(profile.missing_by_column(df))
-    monkeypatch.setattr(facts, "COLUMNS_PER_PASS", 4)
+    monkeypatch.setattr(facts, "AGGREGATES_PER_PASS", 40)
     assert len(facts.Facts.of(df).passes) == 3
+    monkeypatch.setattr(facts, "AGGREGATES_PER_PASS", 3)
     parts = rows(profile.missing_totals(df)), by_column(profile.memory_by_column(df)), rows(profile.missing_by_column(df))
     assert whole == parts
 
