@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -24,34 +25,33 @@ DEFAULT_CONSTANT = "Unknown"
 NEW_CATEGORY = "Missing"
 
 
-def most_frequent(df: DataFrame, name: str) -> Any:
-    """Most frequent value, smallest on ties; None without any value. Reads one row."""
-    value = present(field_of(df, name))
-    top = (
-        df.select(value.alias("value")).filter("value is not null")
-        .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), F.asc("value")).first()
-    )
-    return None if top is None else top["value"]
+def most_frequent(df: DataFrame, name: str) -> Column:
+    """Most frequent value, smallest on ties, null without any value; found now, as one row.
+
+    The row stays a Spark table, so the value keeps its exact type.
+    """
+    values = df.select(present(field_of(df, name)).alias("value")).filter("value IS NOT NULL")
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), F.asc("value")).limit(1).select("value")
+    return df.sparkSession.createDataFrame(top.toArrow(), top.schema).scalar()
 
 
 def _replace(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[value.alias(name) if c == name else column(c) for c in df.columns])
 
 
-def _fill(df: DataFrame, field: T.StructField, value: Any) -> DataFrame:
-    """Fill with a constant that the column's type can hold exactly."""
-    if value is None:
-        return _replace(df, field.name, present(field))
-    return _replace(df, field.name, F.coalesce(present(field), _exact_literal(field, value)))
-
-
 def _exact_literal(field: T.StructField, value: Any) -> Column:
-    if isinstance(field.dataType, INTEGRAL) and int(value) != value:
-        raise ValueError(f"{value!r} cannot be stored in column '{field.name}' ({field.dataType.simpleString()})")
-    if type_class(field.dataType) == "text":
-        value = str(value)
-    return F.lit(value).cast(field.dataType)
+    """A constant in the column's type; ValueError if the type cannot hold it exactly."""
+    kind = type_class(field.dataType)
+    if kind == "text":
+        return F.lit(str(value)).cast(field.dataType)
+    if kind == "datetime":
+        return F.lit(str(value)).cast(field.dataType)
+    number = kind == "numeric" and isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+    whole = not isinstance(field.dataType, INTEGRAL) or (number and value == int(value))
+    if (number and whole) or (kind == "boolean" and isinstance(value, bool)):
+        return F.lit(value).cast(field.dataType)
+    raise ValueError(f"{value!r} cannot be stored in column '{field.name}' ({field.dataType.simpleString()})")
 
 
 def _drop(df: DataFrame, field: T.StructField) -> DataFrame:
@@ -71,11 +71,12 @@ def fill_median(df: DataFrame, name: str) -> DataFrame:
 
 
 def fill_mode(df: DataFrame, name: str) -> DataFrame:
-    return _fill(df, field_of(df, name), most_frequent(df, name))
+    return _replace(df, name, F.coalesce(present(field_of(df, name)), most_frequent(df, name)))
 
 
 def fill_constant(df: DataFrame, name: str, value: Any) -> DataFrame:
-    return _fill(df, field_of(df, name), value)
+    field = field_of(df, name)
+    return _replace(df, name, F.coalesce(present(field), _exact_literal(field, value)))
 
 
 def drop_missing(df: DataFrame, name: str) -> DataFrame:

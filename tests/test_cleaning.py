@@ -36,6 +36,24 @@ def test_types_after_fills(spark):
         missing.handle_missing_numeric(whole, "x", "constant", 1.5)
 
 
+def test_modes_and_constants_keep_exact_types(spark):
+    df = spark.sql(
+        "SELECT id, IF(id = 3, NULL, TIMESTAMP_NTZ '2024-03-31 02:30:00.000001') AS t, "
+        "IF(id = 3, NULL, CAST(1.10 AS DECIMAL(5,2))) AS d, IF(id = 3, NULL, DATE '2024-02-29') AS day, "
+        "IF(id = 3, NULL, true) AS b FROM range(4)"
+    )
+    for name in ("t", "d", "day", "b"):
+        out = missing.handle_missing_categorical(df, name, "mode")
+        assert out.schema == df.schema or out.schema[name].dataType == df.schema[name].dataType
+        assert len(set(values(out, name))) == 1
+    filled = missing.handle_missing_categorical(df, "t", "constant", "2020-01-01 00:00:00")
+    assert str(values(filled, "t")[3]) == "2020-01-01 00:00:00"
+    assert values(missing.handle_missing_categorical(df, "b", "constant", False), "b")[3] is False
+    for name in ("b", "d"):
+        with pytest.raises(ValueError):
+            missing.handle_missing_categorical(df, name, "new_category")
+
+
 def test_all_missing(spark):
     df = spark.createDataFrame([(0, None), (1, None)], "id int, x double")
     for method in ("mean", "median", "mode", "forward_fill", "backward_fill", "interpolate"):

@@ -60,8 +60,10 @@ def test_dates_strings_and_nulls_as_keys(spark):
         "IF(id = 17, NULL, date_add(DATE '2024-01-01', CAST(id AS INT))) AS day",
         "IF(id % 4 = 0, id, NULL) AS x", "concat('k', lpad(id, 4, '0')) AS name",
         "timestampadd(MINUTE, id, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS ts",
+        "timestampadd(MINUTE, id, TIMESTAMP '2024-03-31 00:00:00') AS zoned",
+        "CAST(id AS DECIMAL(12, 3)) / 8 AS amount", "sqrt(id) AS root",
     )
-    for key in ("day", "name", "ts"):
+    for key in ("day", "name", "ts", "zoned", "amount", "root"):
         out = ordering.with_position(rows, [key], "pos", 50)
         wanted = rows.selectExpr(key, f"row_number() OVER (ORDER BY {key}) - 1 AS pos")
         assert out.select(key, "pos").exceptAll(wanted.selectExpr(key, "CAST(pos AS BIGINT) AS pos")).isEmpty()
