@@ -8,14 +8,18 @@ from tablewright.functions.columns import text_literal
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
-# Date layouts, and the shape of the first ten characters (each digit as 0) of a text in it.
+# Date layouts as the shape of a text's first ten characters (each digit as 0), with the
+# places where year, month and day start.
 DATE_LAYOUTS = (
-    ("0000-00-00", "yyyy-MM-dd"),
-    ("00/00/0000", "MM/dd/yyyy"),
-    ("00-00-0000", "MM-dd-yyyy"),
-    ("0000/00/00", "yyyy/MM/dd"),
+    ("0000-00-00", 1, 6, 9),
+    ("00/00/0000", 7, 1, 4),
+    ("00-00-0000", 7, 1, 4),
+    ("0000/00/00", 1, 6, 9),
 )
 
+# Shapes of what may follow the date.
+TIME_SHAPES = ("", " 00:00:00", "T00:00:00")
+
 # Shares of recognised values above which a text column is taken as dates.
 DATETIME_SHARE = 0.8
 
@@ -30,8 +34,12 @@ def integer_from_text(value: str) -> str:
     return f"IF({value} RLIKE {text_literal(INTEGER_PATTERN)}, try_cast({value} AS BIGINT), NULL)"
 
 
+def _shape(text: str) -> str:
+    return f"translate({text}, '123456789', '000000000')"
+
+
 def date_shape(value: str) -> str:
-    return f"translate(left(trim({value}), 10), '123456789', '000000000')"
+    return _shape(f"left(trim({value}), 10)")
 
 
 def has_layout(shape: str, layouts: range = range(len(DATE_LAYOUTS))) -> str:
@@ -39,21 +47,32 @@ def has_layout(shape: str, layouts: range = range(len(DATE_LAYOUTS))) -> str:
 
 
 def _parsed(value: str, layout: int) -> str:
-    pattern = DATE_LAYOUTS[layout][1] + "[ HH:mm:ss]['T'HH:mm:ss]"
-    return f"try_to_timestamp(trim({value}), {text_literal(pattern)})"
+    """The text put in year-month-day order and read without any time zone; null for an impossible date."""
+    _, year, month, day = DATE_LAYOUTS[layout]
+    text = f"trim({value})"
+    parts = f"substr({text}, {year}, 4), '-', substr({text}, {month}, 2), '-', substr({text}, {day}, 2)"
+    return f"try_cast(concat({parts}, substr({text}, 11)) AS TIMESTAMP_NTZ)"
+
+
+def _ends_in_time_or_date(value: str) -> str:
+    text = f"trim({value})"
+    shapes = ", ".join(map(text_literal, TIME_SHAPES))
+    return f"(length({text}) = 10 OR {_shape(f'substr({text}, 11)')} IN ({shapes}))"
 
 
 def timestamp_from_text(value: str, layout: int) -> str:
     """Text to timestamp_ntz by one layout, with or without a time of day; null if it does not fit."""
     fits = has_layout(date_shape(value), range(layout, layout + 1))
-    return f"CAST(IF({fits}, {_parsed(value, layout)}, NULL) AS TIMESTAMP_NTZ)"
+    return f"IF({fits} AND {_ends_in_time_or_date(value)}, {_parsed(value, layout)}, NULL)"
 
 
-def timestamp_from_any_layout(value: str) -> str:
+def timestamp_from_any_layout(value: str, shape: str | None = None) -> str:
+    """Text to timestamp_ntz by whichever layout it has; `shape` names a ready `date_shape` of it."""
+    shape = shape or date_shape(value)
     cases = " ".join(
-        f"WHEN {text_literal(shape)} THEN {_parsed(value, i)}" for i, (shape, _) in enumerate(DATE_LAYOUTS)
+        f"WHEN {shape} = {text_literal(layout[0])} THEN {_parsed(value, i)}" for i, layout in enumerate(DATE_LAYOUTS)
     )
-    return f"CAST(CASE {date_shape(value)} {cases} END AS TIMESTAMP_NTZ)"
+    return f"IF({has_layout(shape)} AND {_ends_in_time_or_date(value)}, CASE {cases} END, NULL)"
 
 
 def boolean_from_text(value: str) -> str:

@@ -43,7 +43,7 @@ def _prepared(field: T.StructField, ordinal: int) -> list[str]:
     if kind == "text":
         return [
             f"{parsing.date_shape(value)} AS _shape{ordinal}",
-            f"{parsing.timestamp_from_any_layout(value)} AS _time{ordinal}",
+            f"{parsing.timestamp_from_any_layout(value, f'_shape{ordinal}')} AS _time{ordinal}",
         ]
     return []
 

@@ -175,6 +175,20 @@ def test_text_to_numbers_and_dates(spark):
     assert lost["day"] == 1
 
 
+def test_date_layouts(spark):
+    from tablewright.functions import parsing
+
+    samples = {
+        "2024-01-02": "2024-01-02 00:00:00", " 01/02/2024 ": "2024-01-02 00:00:00", "2024/12/31": "2024-12-31 00:00:00",
+        "12-31-2024 23:59:58": "2024-12-31 23:59:58", "2024-03-31T02:30:00": "2024-03-31 02:30:00",
+        "2024-02-30": None, "13/01/2024": None, "2024-01-02 10:11": None, "2024-01-02x": None, "2024-01-02 25:00:00": None,
+        "20240102": None, "1": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in samples], "s string")
+    rows = df.selectExpr("s", f"CAST({parsing.timestamp_from_any_layout('s')} AS STRING) AS t").collect()
+    assert {r["s"]: r["t"] for r in rows} == samples
+
+
 def test_dominant_date_layout_wins(spark):
     layouts = ["01/02/2024"] * 17 + ["2024-01-02"] * 3
     df = spark.createDataFrame([(v,) for v in layouts], "day string")
