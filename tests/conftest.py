@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tablewright-tests")
@@ -19,7 +19,6 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         # Stack capture for every Column call costs milliseconds each while queries are built.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

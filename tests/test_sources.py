@@ -114,8 +114,17 @@ def test_sample(spark):
     assert sample_customers(spark, 5000).count() == 5100
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_shared_folder(spark, monkeypatch):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert storage.has_shared_folder(spark) == bool(named)
+    assert storage.shared_folder(spark) == (named or storage._folder_of_this_process())
+
+
+def test_stored_tables_keep_names_types_and_rows(spark):
+    df = spark.sql("SELECT id AS `a b`, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS `c.d`, IF(id = 1, NULL, 'x') AS e FROM range(3)")
+    kept = storage.stored(df)
+    assert kept.columns == df.columns and [f.dataType for f in kept.schema] == [f.dataType for f in df.schema]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
 
 
 def test_records_across_lines_files_and_splits(spark, tmp_path):
