@@ -36,10 +36,13 @@ def chunked(rows: DataFrame) -> DataFrame:
         "*", F.expr(f"transform(lines, x -> cast(conv(substr(md5(x), 1, {LINE_HASH_HEX}), 16, 10) AS long))").alias("hashes")
     )
     cuts = hashed.select("rid", "id", "lines", F.expr(CUTS).alias("cuts"))
-    return cuts.select("rid", "id", "lines", "cuts", F.posexplode("cuts").alias("k", "at")).select(
-        "rid", "id", "at", F.expr(LENGTH).alias("n_lines"),
-        F.expr(f"array_join(slice(lines, at + 1, {LENGTH}), '\n')").alias("chunk"),
+    # Chunks are put together before they become rows, so that no row carries the lines of its whole document.
+    chunks = F.expr(
+        f"transform(cuts, (at, k) -> struct(at, {LENGTH} AS n_lines, array_join(slice(lines, at + 1, {LENGTH}), '\n') AS chunk))"
     )
+    # Each text has a chunk, so the outer form gives the same rows; the other form has Spark put a test of the array,
+    # with all that makes it, into a filter at the scan.
+    return cuts.select("rid", "id", chunks.alias("chunks")).select("rid", "id", F.inline_outer("chunks"))
 
 
 def repeated_chunks(chunks: DataFrame, scratch: Scratch) -> DataFrame:
