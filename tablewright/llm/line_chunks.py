@@ -52,14 +52,15 @@ def repeated_chunks(chunks: DataFrame, scratch: Scratch) -> DataFrame:
     )
     again = scratch.write(proposed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     # Only chunks whose hash repeats travel with their text; grouping by the text itself compares bytes.
-    repeated = proposed.join(again, "h", "left_semi")
+    # Merge joins at every size: what is sent follows the input, and hot chunks are split at run time.
+    repeated = scratch.write(proposed.join(again.hint("merge"), "h", "left_semi"), "repeated")
     first = scratch.write(
         repeated.groupBy("h", "chunk").agg(F.min(F.struct("id", "at", "rid")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").drop("n"),
         "first",
     )
     return (
-        repeated.join(first, ["h", "chunk"])
+        repeated.join(first.hint("merge"), ["h", "chunk"])
         .where(F.struct("id", "at", "rid") != F.col("first"))
         .select("rid", "id", "at", "n_lines")
     )
@@ -81,7 +82,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             F.flatten(F.collect_list(F.expr("sequence(at, at + n_lines - 1)"))).alias("gone")
         )
         found = scratch.keep(found).toDF(key, rid, gone)
-    out = tagged.join(found, [key, rid], "left").withColumn(lines, F.split(quoted(text_col), "\n", -1))
+    out = tagged.join(found.hint("merge"), [key, rid], "left").withColumn(lines, F.split(quoted(text_col), "\n", -1))
     kept = F.expr(
         f"array_join(transform(array_except(sequence(0, size(`{lines}`) - 1), `{gone}`), i -> `{lines}`[i]), '\n')"
     )
