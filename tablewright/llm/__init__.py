@@ -9,6 +9,6 @@ from tablewright.llm.base import REGISTRY
 # Functions of this package travel to the executors by value: they need no installation there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from tablewright.llm import decontaminate, embedding_graph, language, line_chunks, minhash, quality, sentencepiece_sampling, substring, suffix_array  # noqa: E402
+from tablewright.llm import decontaminate, embedding_graph, language, line_chunks, minhash, quality, sentencepiece_sampling, substring, suffix_array, warc  # noqa: E402
 
-__all__ = ["REGISTRY", "decontaminate", "embedding_graph", "language", "line_chunks", "minhash", "quality", "sentencepiece_sampling", "substring", "suffix_array"]
+__all__ = ["REGISTRY", "decontaminate", "embedding_graph", "language", "line_chunks", "minhash", "quality", "sentencepiece_sampling", "substring", "suffix_array", "warc"]

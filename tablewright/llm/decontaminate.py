@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.llm.base import keyed, query, table
 from tablewright.llm.kernels import sequence_hashes, slices, texts_of, word_edges, word_hashes
@@ -250,6 +250,32 @@ def find_contamination(
     )
 
 
+def holds_item(text: Column, ids: tuple, texts: tuple) -> Column:
+    """Whether a text holds a window that is nearly one of a block of items."""
+
+    @F.arrow_udf("boolean")
+    def holds(values: pa.Array) -> pa.Array:
+        prepared, (data, offsets) = _prepared(ids, texts), texts_of(values)
+        found = np.zeros(len(values), bool)
+        for a, b in slices(offsets):
+            part = data[offsets[a] : offsets[b]]
+            starts, ends, first = word_edges(part, offsets[a : b + 1] - offsets[a])
+            hashes = word_hashes(part, starts, ends, fold=True)
+            for k in prepared.touched(hashes, first):
+                found[a + k] = bool(prepared.search(hashes[first[k] : first[k + 1]]))
+        return pa.array(found)
+
+    return holds(text)
+
+
+def contaminated_column(text: Column, items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> Column:
+    """Whether a text holds a window that is nearly an item; decided row by row, without a shuffle."""
+    out = F.lit(False)
+    for block in item_blocks(items, item_id_col, item_text_col):
+        out = out | holds_item(text, tuple(x for x, _ in block), tuple(x for _, x in block))
+    return out
+
+
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document and benchmark item found in it; documents that are not listed are clean."""

@@ -139,8 +139,9 @@ def score_text_column(text: Column, model: Model) -> Column:
 def fit_on(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Model from the texts of `df` whose id has a label."""
     taught = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    texts = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(taught, "id")
-    return fit(texts.select("label", statistics_column(F.col("text")).alias("x")), "x", "label")
+    # Measured before the join, so that a few numbers per text are shuffled and not the texts.
+    measured = df.select(quoted(id_col).alias("id"), statistics_column(quoted(text_col)).alias("x"))
+    return fit(measured.join(taught, "id"), "x", "label")
 
 
 def score_quality(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
