@@ -9,8 +9,8 @@ segmented alike in every run, partition and order, and differently from other ro
 No piece holds certain neighbour bytes (a letter before a space, say): there the lattice falls apart into
 units that are independent. Equal units share one forward pass, per batch of text; units of one length are done together.
 
-A piece's weight is exp(theta * log-probability); vocabularies of the merge kind store ranks instead, which
-are taken as Zipf ranks: log-probability -log(rank + 2).
+A piece's weight is exp(theta * log-probability); vocabularies of the merge kind store ranks instead, whose
+order is taken for Zipf ranks: log-probability -log(rank + 2).
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; the mark U+2581 in a text
 becomes bytes, so it is not mistaken for a space; a null key counts as key 0. Repeated rows are segmented
@@ -75,10 +75,11 @@ def load_vocabulary(path: str = MODEL, theta: float = THETA) -> Vocabulary:
         if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i) or processor.is_byte(i))
     ]
     byte_ids = np.array([processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
-    ranks = np.sort(-scores[plain])
-    if np.array_equal(ranks, np.arange(len(plain))):
-        logs = -np.log(-scores + 2)
-        logs[byte_ids] = -np.log(len(plain) + 2)
+    if (scores[plain] == np.round(scores[plain])).all():  # the merge kind: whole numbers, the order of merges
+        ranks = np.empty(size)
+        ranks[plain] = np.argsort(np.argsort(-scores[plain], kind="stable"))
+        ranks[byte_ids] = len(plain)
+        logs = -np.log(np.where(np.isin(np.arange(size), [*plain, *byte_ids]), ranks, 0) + 2)
     else:
         logs = scores.copy()
         logs[byte_ids] = scores[plain].min()
