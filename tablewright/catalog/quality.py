@@ -11,11 +11,16 @@ from tablewright.catalog.base import (
     EVENTS_N, EVENTS_N_COLUMNS, Tables, column_bytes, fences_sql, numbers, pct, query, union,
 )
 from tablewright.catalog.profile import SAVINGS, TOTAL_MISSING, _iqr
+from tablewright.operators.correlation import pair_correlations, strong_pairs
+from tablewright.operators.duplicates import duplicate_counts
 from tablewright.plans import reports, score, steps
 
 EVENT_NUMBERS = numbers(EVENTS_N_COLUMNS)
 N_COLUMNS = len(EVENTS_N_COLUMNS)
 
+# The published limits of the advice.
+PUBLISHED = {"missing_listed": score.MISSING_LISTED, "numeric_checked": score.NUMERIC_CHECKED}
+
 STEPS = [
     {"operation": "handle_missing_numeric", "column": "value_n", "parameters": {"method": "median"}},
     {"operation": "handle_missing_categorical", "column": "type_n", "parameters": {"method": "forward_fill"}},
@@ -72,12 +77,12 @@ def renamed_steps(t: Tables) -> DataFrame:
 @query(
     "l3_preview_step",
     f"""SELECT event_id, round(coalesce(value_n, (SELECT avg(value_n) FROM {EVENTS_N})), 6) AS value_n
-    FROM {EVENTS_N} ORDER BY event_id LIMIT 50""",
+    FROM {EVENTS_N}""",
 )
 def preview_step(t: Tables) -> DataFrame:
     step = {"operation": "handle_missing_numeric", "column": "value_n", "parameters": {"method": "mean"}}
     after, _ = steps.preview_step(t.events_n.select("event_id", "value_n"), step)
-    return after.orderBy("event_id").limit(50)
+    return after
 
 
 @query(
@@ -249,7 +254,7 @@ def _outlier_rule(name: str, place: int, source: str) -> str:
     + ")",
 )
 def recommendations(t: Tables) -> DataFrame:
-    return score.recommendations(t.events_n)
+    return score.recommendations(t.events_n, **PUBLISHED)
 
 
 @query(
@@ -265,7 +270,7 @@ def recommendations(t: Tables) -> DataFrame:
     + ")",
 )
 def recommendations_labels(t: Tables) -> DataFrame:
-    return score.recommendations(labels(t))
+    return score.recommendations(labels(t), **PUBLISHED)
 
 
 def _flag(subject: str, flag: str, value: str, test: str, threshold: float, source: str) -> str:
@@ -320,3 +325,53 @@ def threshold_flags(t: Tables) -> DataFrame:
 )
 def dashboard(t: Tables) -> DataFrame:
     return reports.dashboard(t.events_n)
+
+
+@query(
+    "d1_duplicate_counts_named_n",
+    """SELECT coalesce(sum(c), 0)::BIGINT AS n_duplicate_rows, coalesce(sum(c - 1), 0)::BIGINT AS n_surplus_rows,
+    count(*) AS n_groups FROM (SELECT count(*) AS c FROM events GROUP BY user_id, event_type HAVING count(*) > 1)""",
+)
+def duplicate_counts_named_n(t: Tables) -> DataFrame:
+    """Keys whose names are those that counting uses itself."""
+    return duplicate_counts(t.events.selectExpr("user_id AS n", "event_type AS _hash", "value AS rows"), ["n", "_hash"])
+
+
+@query(
+    "u4_recommendations_all_columns",
+    "SELECT row_number() OVER (ORDER BY place) AS rank, rule, \"column\", value FROM ("
+    + " UNION ALL ".join(
+        [_missing_rule(n, i, EVENTS_N) for i, n in enumerate(EVENTS_N_COLUMNS)]
+        + [f"""SELECT 100000, 'remove_duplicates', NULL, s::DOUBLE FROM
+            (SELECT sum(n - 1) AS s FROM (SELECT count(*) AS n FROM {EVENTS_N} GROUP BY {", ".join(EVENTS_N_COLUMNS)})) WHERE s > 0"""]
+        + [f"""SELECT 200000, 'optimize_types', NULL, p FROM (SELECT
+            round(100.0 * floor(sum(saving_bytes)) / sum(est_bytes), 2)::DOUBLE AS p FROM ({SAVINGS})) WHERE p > 10"""]
+        + [_outlier_rule(n, 300000 + i, EVENTS_N) for i, n in enumerate(EVENT_NUMBERS)]
+    )
+    + ")",
+)
+def recommendations_all_columns(t: Tables) -> DataFrame:
+    return score.recommendations(t.events_n)
+
+
+@query(
+    "p12_correlation_extremes",
+    """SELECT 'small' AS col_a, 'large' AS col_b, round(corr(l_quantity, l_extendedprice), 4)::DOUBLE AS r FROM lineitem""",
+)
+def correlation_extremes(t: Tables) -> DataFrame:
+    """Scales whose squares leave the range of doubles."""
+    rows = t.lineitem.selectExpr("CAST(l_quantity AS DOUBLE) * 1e-170D AS small", "CAST(l_extendedprice AS DOUBLE) * 1e155D AS large")
+    return pair_correlations(rows).selectExpr("col_a", "col_b", "round(r, 4) AS r")
+
+
+@query(
+    "p13_strong_pairs_infinite",
+    """SELECT 'quantity' AS col_a, 'marked' AS col_b, round(corr(l_quantity, l_quantity + 20 * l_tax), 3)::DOUBLE AS r,
+    'Strong Positive' AS strength FROM lineitem""",
+)
+def strong_pairs_infinite(t: Tables) -> DataFrame:
+    """A column with one infinite value has no correlation."""
+    return strong_pairs(t.lineitem.selectExpr(
+        "CAST(l_quantity AS DOUBLE) AS quantity", "CAST(l_quantity + 20 * l_tax AS DOUBLE) AS marked",
+        "IF(l_orderkey = 1, CAST('infinity' AS DOUBLE), CAST(l_quantity AS DOUBLE)) AS endless",
+    ))

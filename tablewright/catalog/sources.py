@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.catalog.base import EVENTS_N, EVENTS_N_COLUMNS, Tables, pct, query, union
 from tablewright.functions.display import display_strings
+from tablewright.operators import ordering
 from tablewright.operators.ordering import POSITION
 from tablewright.operators.tables import local_table
 from tablewright.plans.steps import apply_steps
@@ -40,6 +41,70 @@ def read_back_newlines(t: Tables) -> DataFrame:
     return delimited.read_delimited(t.spark, path)[0]
 
 
+# Every third note ends in an inch mark, every fifth begins with one inside quotes and holds a line break.
+NOTE = {
+    "spark": "CASE WHEN event_id % 5 = 0 THEN concat('\"', event_type, '\\n', event_id, '\"') "
+             "WHEN event_id % 3 = 0 THEN concat(event_id, '\"') ELSE event_type END",
+    "duck": "CASE WHEN event_id % 5 = 0 THEN '\"' || event_type || chr(10) || event_id || '\"' "
+            "WHEN event_id % 3 = 0 THEN event_id || '\"' ELSE event_type END",
+}
+
+
+def _with_header(t: Tables, lines: DataFrame, header: str, label: str) -> str:
+    """Lines (line, place) as text files that each begin with the header."""
+    path = new_path(t.spark, label)
+    heads = lines.select(F.spark_partition_id().alias("part")).distinct().selectExpr(f"'{header}' AS line", "-1L AS place", "part")
+    body = lines.withColumn("part", F.spark_partition_id())
+    parts = heads.unionByName(body).repartition(8, "part").sortWithinPartitions("part", "place")
+    parts.select("part", "line").write.partitionBy("part").text(path)
+    return f"{path}/*"
+
+
+@query("s1_read_stray_quotes", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id || '\" pipe' ELSE event_type END AS note, props FROM events")
+def read_back_stray_quotes(t: Tables) -> DataFrame:
+    """Inch marks inside unquoted fields open nothing."""
+    note = "IF(event_id % 3 = 0, concat(event_id, '\" pipe'), event_type)"
+    quoted_props = "concat('\"', replace(props, '\"', '\"\"'), '\"')"
+    lines = t.events.repartition(3).selectExpr(f"concat_ws(',', event_id, {note}, {quoted_props}) AS line", "event_id AS place")
+    table, rejected = delimited.read_delimited(t.spark, _with_header(t, lines, "event_id,note,props", "stray"))
+    assert rejected.isEmpty()
+    return table
+
+
+@query("s1_read_mixed_quotes", f"SELECT event_id, {NOTE['duck']} AS note, event_type AS kind FROM events")
+def read_back_mixed_quotes(t: Tables) -> DataFrame:
+    """Inch marks in unquoted fields next to quoted fields with line breaks and quotes, over several files."""
+    note = NOTE["spark"]
+    written = f"IF(event_id % 5 = 0, concat('\"', replace({note}, '\"', '\"\"'), '\"'), {note})"
+    lines = t.events.repartition(3).selectExpr(f"concat_ws(';', event_id, {written}, event_type) AS line", "event_id AS place")
+    table, rejected = delimited.read_delimited(t.spark, _with_header(t, lines, "event_id;note;kind", "mixed"))
+    assert rejected.isEmpty()
+    return table
+
+
+@query("s1_read_late_encoding", "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'caf' || chr(233) ELSE o_orderstatus END AS note FROM orders")
+def read_back_late_encoding(t: Tables) -> DataFrame:
+    """A single byte above 127 in the last line decides the encoding of all files."""
+    last = t.orders.agg(F.max("o_orderkey")).first()[0]
+    path = new_path(t.spark, "late")
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") == last, "café").otherwise(F.col("o_orderstatus")).alias("note"))
+    sinks.write_delimited(rows, path, encoding="ISO-8859-1")
+    table, _ = delimited.read_delimited(t.spark, path)
+    # The first encoding that fits reads this byte as a letter of its own; what counts is that no byte is lost.
+    return table.withColumn("note", F.replace("note", F.lit(bytes([0xE9]).decode("windows-1256")), F.lit("é")))
+
+
+@query("s1_read_header_order", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def read_back_header_order(t: Tables) -> DataFrame:
+    """Two files that name the same columns in different orders."""
+    path = new_path(t.spark, "orders")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    sinks.write_delimited(rows.filter("o_orderkey % 2 = 0"), f"{path}/even")
+    sinks.write_delimited(rows.filter("o_orderkey % 2 <> 0").select("o_orderstatus", "o_orderkey", "o_custkey"), f"{path}/odd")
+    table, _ = delimited.read_delimited(t.spark, [f"{path}/even", f"{path}/odd"])
+    return table.select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
 @query(
     "s2_null_tokens",
     "SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type "
@@ -87,16 +152,13 @@ def infer_types(t: Tables) -> DataFrame:
 )
 def malformed_rows(t: Tables) -> DataFrame:
     """Rows divisible by 7 lack two fields, others divisible by 10 have one too many."""
-    path = new_path(t.spark, "ragged")
     line = (
         "CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey AS STRING) "
         "ELSE concat_ws('|', p_partkey, p_name, p_size, IF(p_partkey % 10 = 0, 'extra', NULL)) END"
     )
     whole = delimited.TextFormat("utf-8", "|", ("p_partkey", "p_name", "p_size"))
-    header = t.spark.range(1).selectExpr("'p_partkey|p_name|p_size' AS line", "-1L AS place")
-    lines = header.unionAll(t.part.selectExpr(f"{line} AS line", "p_partkey AS place"))
-    # One file, so that the header is its first line.
-    lines.coalesce(1).sortWithinPartitions("place").select("line").write.text(path)
+    lines = t.part.repartition(3).selectExpr(f"{line} AS line", "p_partkey AS place")
+    path = _with_header(t, lines, "p_partkey|p_name|p_size", "ragged")
     assert delimited.sniff(t.spark, path) == whole
     table, rejected = delimited.read_delimited(t.spark, path)
     return table.withColumn("rejected", F.lit(rejected.count()))
@@ -146,7 +208,7 @@ def write_run_directory(t: Tables) -> DataFrame:
 
 @query("s11_preview_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
 def preview_rows(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(20)
+    return ordering.preview_rows(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 20)
 
 
 @query(

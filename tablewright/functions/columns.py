@@ -36,24 +36,42 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """The table with columns named f0, f1, ... so that internal names cannot meet the user's."""
+    return df.toDF(*[f"f{i}" for i in range(len(df.columns))])
+
+
+def positions(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """What `by_position` calls the named columns."""
+    return [f"f{df.columns.index(name)}" for name in names]
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores behind it until no column has it, in whatever case."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def field_of(df: DataFrame, name: str) -> T.StructField:
     for field in df.schema.fields:
         if field.name == name:
             return field
-    raise KeyError(f"Column '{name}' does not exist in the table")
+    raise KeyError(f"no column is called {name!r}")
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     known = set(df.columns)
     unknown = [name for name in names if name not in known]
     if unknown:
-        raise KeyError(f"Columns not found in the table: {unknown}")
+        raise KeyError(f"no columns are called {unknown}; there are {sorted(known)}")
 
 
 def require_numeric(df: DataFrame, name: str) -> T.StructField:
     field = field_of(df, name)
     if type_class(field.dataType) != "numeric":
-        raise ValueError(f"Column '{name}' must be numeric")
+        raise ValueError(f"{name!r} holds {field.dataType.simpleString()}, but numbers are asked for")
     return field
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tablewright.functions.columns import text_literal
 
 # Text forms accepted as numbers and as whole numbers.
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 # Date layouts as the shape of a text's first ten characters (each digit as 0), with the

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,32 +18,42 @@ MATRIX_BINS = 1000
 
 
 def bin_count(df: DataFrame, name: str) -> int:
-    """Distinct values, but at least 10 and at most 50.
-
-    A sketch tells columns with far more than 50 values; only others are counted exactly.
-    """
+    """Distinct values, but at least 10 and at most 50; no more than 51 of them are looked at."""
     value = double_sql(require_numeric(df, name))
-    if df.selectExpr(f"approx_count_distinct({value})").first()[0] > 2 * MAX_BINS:
-        return MAX_BINS
-    distinct = df.selectExpr(f"count(DISTINCT {value})").first()[0]
-    return min(MAX_BINS, max(MIN_BINS, distinct))
+    few = df.selectExpr(f"{value} AS value").filter("value IS NOT NULL").distinct().limit(MAX_BINS + 1).count()
+    return min(MAX_BINS, max(MIN_BINS, few))
 
 
 def histogram(df: DataFrame, name: str, bins: int | None = None) -> DataFrame:
-    """Equal-width bins over [min, max] that hold values; the maximum belongs to the last bin."""
+    """Equal-width bins over the finite [min, max] that hold values; the maximum belongs to the last bin.
+
+    Infinite values have bins of their own, number -1 and `bins`, with themselves as edges.
+    """
     value = as_double(require_numeric(df, name))
     bins = bin_count(df, name) if bins is None else bins
-    low, high = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
-    if low is None:
-        return df.sparkSession.createDataFrame([], "bin int, bin_low double, bin_high double, n bigint")
-    width = (high - low) / bins if high > low else 1.0
-    position = F.floor((value - F.lit(low)) / F.lit(width)).cast("int")
+    finite = F.when(F.abs(value) < F.lit(float("inf")), value)
+    low, high = df.agg(F.min(finite).alias("low"), F.max(finite).alias("high")).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
+    # The range itself may be more than a double holds; then both ends are scaled first.
+    width = (high / bins - low / bins) if high > low else 1.0
+    if math.isinf(high - low):
+        position = F.floor(finite / F.lit(width) - F.lit(low / width))
+    else:
+        width = (high - low) / bins if high > low else 1.0
+        position = F.floor((finite - F.lit(low)) / F.lit(width))
+    position = (
+        F.when(value == F.lit(float("inf")), F.lit(bins)).when(value == F.lit(float("-inf")), F.lit(-1))
+        .when(finite.isNotNull(), F.least(position, F.lit(bins - 1)).cast("int"))
+    )
     counts = (
-        df.select(F.least(position, F.lit(bins - 1)).alias("bin")).filter("bin is not null")
+        df.select(position.cast("int").alias("bin")).filter("bin is not null")
         .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     )
     edge: Column = F.lit(low) + F.col("bin") * F.lit(width)
-    return counts.select("bin", edge.alias("bin_low"), (edge + F.lit(width)).alias("bin_high"), "n")
+    outside = F.when(F.col("bin") == bins, F.lit(float("inf"))).when(F.col("bin") == -1, F.lit(float("-inf")))
+    return counts.select(
+        "bin", F.coalesce(outside, edge).alias("bin_low"), F.coalesce(outside, edge + F.lit(width)).alias("bin_high"), "n"
+    )
 
 
 def category_bars(df: DataFrame, name: str, k: int = BARS) -> DataFrame:
@@ -50,8 +61,8 @@ def category_bars(df: DataFrame, name: str, k: int = BARS) -> DataFrame:
 
 
 def density(df: DataFrame, name: str, bins: int | None = None) -> DataFrame:
-    """Histogram counts scaled to a density with total area 1."""
-    counts = histogram(df, name, bins)
+    """Histogram counts of the finite values scaled to a density with total area 1."""
+    counts = histogram(df, name, bins).filter("abs(bin_low) < double('infinity')")
     total = counts.agg(F.sum("n").alias("n")).scalar()
     width = F.col("bin_high") - F.col("bin_low")
     return counts.select("bin", "bin_low", "bin_high", (F.col("n") / (total * width)).alias("density"))

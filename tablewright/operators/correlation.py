@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
@@ -19,8 +20,19 @@ PAIRS_PER_PASS = 100
 STRONG = 0.7
 
 
+def _scaled(name: str, largest: float | None) -> str:
+    """The value over a power of two near the largest one; a column with infinite values stays as it is."""
+    if not largest or math.isinf(largest):
+        return name
+    # In two steps: the power itself may be out of range.
+    half = math.frexp(largest)[1] // 2
+    rest = math.frexp(largest)[1] - half
+    return f"{name} * {number_literal(2.0 ** -half)} * {number_literal(2.0 ** -rest)}"
+
+
 def _pairs(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """(col_a, col_b, r) for the given pairs of positions in `names`; r is null if a side is constant.
+    """(col_a, col_b, r) for the given pairs of positions in `names`; r is null if a side is constant or
+    holds infinite values.
 
     A first pass collects counts, ranges and means (one row). Between columns that are complete and
     not constant, r then needs plain sums of products around the means. Other pairs mask each side by
@@ -29,25 +41,32 @@ def _pairs(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]
     if not pairs:
         return empty_table(df.sparkSession, "col_a string, col_b string, r double")
     numbers = df.selectExpr(*[f"{double_sql(field_of(df, n))} AS v{i}" for i, n in enumerate(names)])
-    seen = numbers.selectExpr(
+    # Scaled by the largest absolute value first, so that neither squares nor means leave the range of doubles.
+    largest = numbers.selectExpr(*[f"max(abs(v{i})) AS v{i}" for i in range(len(names))]).first()
+    scaled = numbers.selectExpr(*[f"{_scaled(f'v{i}', largest[i])} AS v{i}" for i in range(len(names))])
+    seen = scaled.selectExpr(
         *[
-            f"struct(count(v{i}) = count(1) AND min(v{i}) < max(v{i}) AS plain, avg(v{i}) AS mean) AS v{i}"
+            f"struct(count(v{i}) = count(1) AND min(v{i}) < max(v{i}) AS plain, avg(v{i}) AS mean, "
+            f"stddev_pop(v{i}) AS spread) AS v{i}"
             for i in range(len(names))
         ]
     ).first()
-    centred = numbers.selectExpr(
+    centred = scaled.selectExpr(
         *[
-            f"v{i} - {number_literal(seen[i]['mean'])} AS v{i}" if seen[i]["plain"] else f"v{i}"
+            f"(v{i} - {number_literal(seen[i]['mean'])}) / {number_literal(seen[i]['spread'])} AS v{i}"
+            if seen[i]["plain"] and seen[i]["spread"] else f"v{i}"
             for i in range(len(names))
         ]
     )
 
     def correlation(a: int, b: int) -> str:
         if seen[a]["plain"] and seen[b]["plain"]:
-            return f"sum(v{a} * v{b}) / sqrt(sum(v{a} * v{a}) * sum(v{b} * v{b}))"
-        spread_a = f"stddev_pop(IF(v{b} IS NULL, NULL, v{a}))"
-        spread_b = f"stddev_pop(IF(v{a} IS NULL, NULL, v{b}))"
-        return f"covar_pop(v{a}, v{b}) / nullif({spread_a} * {spread_b}, 0D)"
+            r = f"try_divide(sum(v{a} * v{b}), sqrt(sum(v{a} * v{a}) * sum(v{b} * v{b})))"
+        else:
+            spread_a = f"stddev_pop(IF(v{b} IS NULL, NULL, v{a}))"
+            spread_b = f"stddev_pop(IF(v{a} IS NULL, NULL, v{b}))"
+            r = f"try_divide(covar_pop(v{a}, v{b}), {spread_a} * {spread_b})"
+        return f"nanvl({r}, CAST(NULL AS DOUBLE))"
 
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import (
-    INTEGRAL, column, field_of, nan_to_null, quoted, require_columns, type_class,
+    INTEGRAL, by_position, column, field_of, free_name, nan_to_null, positions, quoted, require_columns, type_class,
 )
 
 # A key with at least 1/HOT_KEYS of all rows is hot, so there are at most HOT_KEYS hot keys.
@@ -23,7 +23,7 @@ def _keys(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
     if subset is None:
         return list(df.columns)
     if not isinstance(subset, (list, tuple)):
-        raise TypeError("subset must be a list or tuple of column names")
+        raise TypeError(f"give the subset as a list of column names, not as {type(subset).__name__}")
     require_columns(df, subset)
     return list(subset)
 
@@ -61,24 +61,34 @@ def _total(sizes: DataFrame) -> Column:
     return sizes.agg(F.sum("n").alias("rows")).scalar()
 
 
+def _repeated(rows: DataFrame, keys: Sequence[str], wide: bool) -> DataFrame:
+    """Keys of a table named by position that occur more than once, with their row counts `n`."""
+    rows = rows.select(*keys)
+    if wide:
+        hashed = rows.withColumn("_hash", F.xxhash64(*keys))
+        sizes = _sizes(hashed, ["_hash"])
+        rows = _matching(hashed, ["_hash"], sizes.filter("n > 1"), _total(sizes)).drop("_hash")
+    return _sizes(rows, keys).filter("n > 1")
+
+
+def _repeated_of(df: DataFrame, subset: Sequence[str] | None) -> tuple[list[str], DataFrame]:
+    keys = _keys(df, subset)
+    return keys, _repeated(by_position(nan_to_null(df, keys)), positions(df, keys), _is_wide(df, keys))
+
+
 def repeated_groups(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Keys that occur more than once, with their row counts `n`.
+    """Keys that occur more than once, with their row counts `n` (`n_` if a key is called so).
 
     Long keys are grouped by hash first: only rows whose hash occurs twice are compared in full,
     so unique rows cost eight bytes each in the shuffle.
     """
-    keys = _keys(df, subset)
-    rows = nan_to_null(df, keys).select(*[column(k) for k in keys])
-    if _is_wide(df, keys):
-        hashed = rows.withColumn("_hash", F.xxhash64(*[column(k) for k in keys]))
-        sizes = _sizes(hashed, ["_hash"])
-        rows = _matching(hashed, ["_hash"], sizes.filter("n > 1"), _total(sizes)).drop("_hash")
-    return _sizes(rows, keys).filter("n > 1")
+    keys, groups = _repeated_of(df, subset)
+    return groups.toDF(*keys, free_name("n", keys))
 
 
 def duplicate_counts(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Rows in groups of more than one, rows beyond the first of each group, and such groups."""
-    return repeated_groups(df, subset).agg(
+    return _repeated_of(df, subset)[1].agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_duplicate_rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_surplus_rows"),
         F.count(F.lit(1)).alias("n_groups"),
@@ -87,9 +97,9 @@ def duplicate_counts(df: DataFrame, subset: Sequence[str] | None = None) -> Data
 
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Every row that has an equal row on the keys."""
-    keys = _keys(df, subset)
+    keys, groups = _repeated_of(df, subset)
     total = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    return _matching(nan_to_null(df, keys), keys, repeated_groups(df, subset), total)
+    return _matching(by_position(nan_to_null(df, keys)), positions(df, keys), groups, total).toDF(*df.columns)
 
 
 def duplicate_sample(df: DataFrame, subset: Sequence[str], order_by: Sequence[str], k: int = 5) -> DataFrame:
@@ -109,7 +119,7 @@ def remove_duplicates(
     Whole-row duplicates are identical, so only a subset of columns needs `order_by`.
     """
     if keep is not False and keep not in ("first", "last"):
-        raise ValueError("keep must be one of {'first', 'last', False}")
+        raise ValueError(f"keep={keep!r} is not known; say 'first', 'last' or False")
     keys = _keys(df, subset)
     whole_row = set(keys) == set(df.columns)
     clean = nan_to_null(df, keys)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.functions import parsing
 from tablewright.functions.columns import (
-    INTEGRAL, double_sql, missing_sql, quoted, text_literal, type_class,
+    INTEGRAL, by_position, double_sql, missing_sql, quoted, text_literal, type_class,
 )
 
 # Aggregates per pass. More of them outgrow what the JVM compiles well; a further pass reads only the
@@ -193,17 +193,18 @@ class Facts:
         kinds = None if only is None else frozenset(only)
         wanted = None if names is None else set(names)
         fields = [(i, f) for i, f in enumerate(df.schema.fields) if wanted is None or f.name in wanted]
+        plain = by_position(df)
         passes = []
-        for group in _grouped([(o, f, _facts_of_field(f, o, kinds)) for o, f in fields]):
+        for group in _grouped([(o, f, _facts_of_field(plain.schema[o], o, kinds)) for o, f in fields]):
             entries, prepared, aggregates = [], ["*"], ["count(1) AS rows"]
             if not passes and fields and (kinds is None or "rows_with_missing" in kinds):
-                any_missing = " OR ".join(missing_sql(f) for _, f in fields)
+                any_missing = " OR ".join(missing_sql(plain.schema[o]) for o, _ in fields)
                 aggregates.append(f"count_if({any_missing}) AS rows_with_missing")
             for ordinal, field, facts in group:
-                prepared += _prepared(field, ordinal)
+                prepared += _prepared(plain.schema[ordinal], ordinal)
                 entries.append(FieldFacts(field, ordinal, frozenset(facts)))
                 aggregates += [f"{sql} AS c{ordinal}_{fact}" for fact, sql in facts.items()]
-            passes.append((tuple(entries), df.selectExpr(*prepared).selectExpr(*aggregates)))
+            passes.append((tuple(entries), plain.selectExpr(*prepared).selectExpr(*aggregates)))
         return cls(tuple(f for _, f in fields), tuple(passes))
 
     def collected(self) -> "Facts":

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import (
-    as_double, column, field_of, missing_sql, present, present_sql, quoted, require_columns, require_numeric,
+    as_double, by_position, column, field_of, missing_sql, positions, present, present_sql, quoted, require_columns, require_numeric,
     text_literal, type_class,
 )
 
@@ -87,6 +87,14 @@ def with_position(
     df: DataFrame, order_by: Sequence[str], name: str = POSITION, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of the (unique) key."""
+    require_columns(df, order_by)
+    plain = by_position(df)
+    placed = _with_position(plain, positions(df, order_by), POSITION, rows_per_range)
+    kept = [plain_name for plain_name, c in zip(plain.columns, df.columns) if c != name]
+    return placed.select(*kept, POSITION).toDF(*[c for c in df.columns if c != name], name)
+
+
+def _with_position(df: DataFrame, order_by: Sequence[str], name: str, rows_per_range: int) -> DataFrame:
     ranged = with_ranges(df, order_by, rows_per_range)
     if ranged is None:
         position = F.row_number().over(_window(order_by, ranged=False)).cast("bigint") - 1
@@ -116,15 +124,16 @@ def _edge(order_by: Sequence[str], value: Column, last: bool) -> Column:
 def _filled(
     df: DataFrame, name: str, order_by: Sequence[str], backwards: bool, rows_per_range: int
 ) -> DataFrame:
-    field = field_of(df, name)
+    field_of(df, name)
     require_columns(df, order_by)
     if name in order_by:
-        raise ValueError(f"Column '{name}' cannot be filled in its own order")
-    value = present(field)
+        raise ValueError(f"{name!r} orders the rows, so it cannot be filled by that order")
+    names, df, name, order_by = df.columns, by_position(df), *positions(df, [name]), positions(df, order_by)
+    value = present(field_of(df, name))
     ranged = with_ranges(df, order_by, rows_per_range)
 
     def replaced(table: DataFrame, treated: Column) -> DataFrame:
-        return table.select(*[treated.alias(name) if c == name else column(c) for c in df.columns])
+        return table.select(*[treated.alias(name) if c == name else column(c) for c in df.columns]).toDF(*names)
 
     if ranged is None:
         return replaced(df, F.last(value, ignorenulls=True).over(_running(_window(order_by, backwards, False))))
@@ -162,10 +171,12 @@ def interpolate(
 
     With fewer than two values the column stays as it is. The result is double.
     """
-    field = require_numeric(df, name)
+    require_numeric(df, name)
+    require_columns(df, order_by)
     if name in order_by:
-        raise ValueError(f"Column '{name}' cannot be filled in its own order")
-    value = as_double(field)
+        raise ValueError(f"{name!r} orders the rows, so it cannot be filled by that order")
+    names, df, name, order_by = df.columns, by_position(df), *positions(df, [name]), positions(df, order_by)
+    value = as_double(field_of(df, name))
     ranged = with_ranges(df, order_by, rows_per_range)
     many = ranged is not None
     known = F.when(value.isNotNull(), F.struct(F.col("_at").alias("at"), value.alias("value")))
@@ -194,7 +205,7 @@ def interpolate(
         .when(after.isNull(), before["value"])
         .otherwise(between)
     )
-    return joined.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns])
+    return joined.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns]).toDF(*names)
 
 
 def _neighbours_across(placed: DataFrame, value: Column) -> DataFrame:
@@ -232,6 +243,12 @@ def _neighbour(side: str) -> Column:
     return F.coalesce(F.when(here.isNotNull(), moved), F.col(f"_carry_{side}"))
 
 
+def preview_rows(df: DataFrame, order_by: Sequence[str], k: int = 20) -> DataFrame:
+    """The first `k` rows in row order; every task keeps `k` rows of what it scans."""
+    require_columns(df, order_by)
+    return df.orderBy(*[column(name) for name in order_by]).limit(k)
+
+
 def first_values(
     df: DataFrame,
     names: Sequence[str],

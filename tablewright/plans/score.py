@@ -97,8 +97,14 @@ def recommendations(
     facts: Facts | None = None,
     duplicates: DataFrame | None = None,
     bounds: dict[str, Fence] | None = None,
+    missing_listed: int | None = None,
+    numeric_checked: int | None = None,
 ) -> DataFrame:
-    """Ranked advice (rank, rule, column, value): missing data, duplicates, types, outliers."""
+    """Ranked advice (rank, rule, column, value): missing data, duplicates, types, outliers.
+
+    All columns are looked at; `missing_listed` and `numeric_checked` limit the first and the last kind
+    to that many columns (MISSING_LISTED and NUMERIC_CHECKED are the published limits).
+    """
     facts = facts or Facts.of(df, only=("missing", "octets", "whole_min", "whole_max")).collected()
     duplicates = duplicate_counts(df) if duplicates is None else duplicates
     with_nulls = facts.table(
@@ -111,8 +117,10 @@ def recommendations(
         f"CASE WHEN value > {DROP_ABOVE}D THEN 'high_missing_drop_column' "
         f"WHEN value > {IMPUTE_ABOVE}D THEN 'moderate_missing_impute' ELSE 'low_missing_safe_to_impute' END"
     )
-    # One row per column at most; only the first few columns with missing values are listed.
-    listed = with_nulls.filter("missing > 0").orderBy("place").limit(MISSING_LISTED)
+    # One row per column at most.
+    listed = with_nulls.filter("missing > 0")
+    if missing_listed is not None:
+        listed = listed.orderBy("place").limit(missing_listed)
     parts = [
         listed.selectExpr("place", f"{rule} AS rule", "column", "value"),
         duplicates.filter("n_surplus_rows > 0").selectExpr(
@@ -122,7 +130,7 @@ def recommendations(
             "200000", "'optimize_types'", "CAST(NULL AS STRING)", "saving_pct"
         ),
     ]
-    checked = numeric_columns(df)[:NUMERIC_CHECKED]
+    checked = numeric_columns(df)[:numeric_checked]
     if checked:
         bounds = {n: f for n, f in (bounds or fences(df, checked)).items() if n in checked}
         names = ", ".join(text_literal(n) for n in checked)

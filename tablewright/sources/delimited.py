@@ -1,15 +1,17 @@
 """Delimited text of unknown encoding, separator and types.
 
-Encoding, separator and header come from the first lines of one file; the data is scanned by Spark,
-first as text and then, after one aggregate pass over all values, with the types that fit.
+The encoding is the first one that all lines of all files can be read in, the header is read from every
+file, and the separator is sniffed from the first lines and only kept if the headers split by it. Files whose
+headers name the same columns in another order are mapped by name; others are refused. The data is scanned
+by Spark, first as text and then, after one aggregate pass over all values, with the types that fit.
 """
 
 from __future__ import annotations
 
-import codecs
 import csv
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -17,11 +19,13 @@ from tablewright.functions import parsing
 from tablewright.functions.columns import column, quoted, text_literal
 from tablewright.operators.facts import Facts
 
-# Encodings and separators in the order they are tried, and the size of the prefix read.
+# Encodings and separators in the order they are tried.
 ENCODINGS = ("utf-8", "utf-8-sig", "windows-1256", "cp1256", "cp1252", "latin-1")
 SEPARATORS = (",", ";", "\t", "|")
-PREFIX_BYTES = 50_000
-PREFIX_LINES = 1000
+
+# Lines whose look proposes a separator, and different headers that the files of one table may have.
+SNIFFED_LINES = 1000
+MOST_HEADERS = 100
 
 # Texts read as missing.
 NULL_TOKENS = (
@@ -47,24 +51,34 @@ class TextFormat:
     header: tuple[str, ...]
 
 
-def _prefix(spark: SparkSession, path: str | Sequence[str]) -> bytes:
-    """The first lines of one file, undecoded; the text source does not check the encoding."""
-    files = sorted(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles())
-    if not files:
-        return b""
-    first = spark.read.text(files[0]).select(
-        F.substring(F.col("value").cast("binary"), 1, PREFIX_BYTES).alias("line")
-    )
-    lines = [bytes(row["line"]) for row in first.limit(PREFIX_LINES).collect()]
-    return b"\n".join(lines)[:PREFIX_BYTES]
+def _paths(path: str | Sequence[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
 
 
-def _decoded(prefix: bytes, encoding: str) -> str | None:
-    """The prefix as text, or None if it breaks the encoding; a character cut at the end is ignored."""
-    try:
-        return codecs.getincrementaldecoder(encoding)("strict").decode(prefix, final=False)
-    except UnicodeDecodeError:
-        return None
+def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """value, at (file, block, line): undecoded lines of a splittable scan."""
+    return spark.read.text(_paths(path)).selectExpr("value", f"{LINE_POSITION} AS at")
+
+
+def _readable(spark: SparkSession, path: str | Sequence[str], encoding: str) -> bool:
+    """Whether every line of every file can be read in the encoding."""
+    lines = spark.read.text(_paths(path))
+    if encoding in UNICODE:
+        return lines.filter("NOT is_valid_utf8(CAST(value AS STRING))").isEmpty()
+    undefined = []
+    for code in range(128, 256):
+        try:
+            bytes([code]).decode(encoding)
+        except UnicodeDecodeError:
+            undefined.append(chr(code))
+    if not undefined:
+        return True
+    return lines.filter(F.expr(f"decode(CAST(value AS BINARY), '{LATIN}')").rlike(f"[{''.join(undefined)}]")).isEmpty()
+
+
+def _decoded(raw: bytes, encoding: str) -> str:
+    """Text of a line; the first line of a file may begin with a mark of its encoding."""
+    return raw.decode(encoding, "replace").removeprefix("\ufeff").rstrip("\r")
 
 
 def _separator(text: str) -> str:
@@ -82,28 +96,51 @@ def _unique_header(names: Sequence[str]) -> tuple[str, ...]:
     for i, raw in enumerate(names):
         base = raw if raw.strip() else f"Unnamed: {i}"
         name, suffix = base, 0
-        while name in taken:
+        while name.lower() in taken:  # Spark does not tell names apart by case
             suffix += 1
             name = f"{base}.{suffix}"
-        taken.add(name)
+        taken.add(name.lower())
         out.append(name)
     return tuple(out)
 
 
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[bytes, list[str]]]:
+    """Different first lines of the files, each with its files, in order of the first file."""
+    first = _lines(spark, path).groupBy("at.file").agg(F.min_by(F.col("value").cast("binary"), "at").alias("head"))
+    found = first.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).limit(MOST_HEADERS + 1).collect()
+    if len(found) > MOST_HEADERS:
+        raise ValueError(f"the files at {path!r} begin with more than {MOST_HEADERS} different headers")
+    return sorted(((bytes(r["head"]), list(r["files"])) for r in found), key=lambda x: x[1][0])
+
+
+def formats(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[TextFormat, list[str]]]:
+    """Format of each group of files that share a header; empty if there is no text."""
+    headers = [(head, files) for head, files in _headers(spark, path)]
+    if not headers:
+        return []
+    encoding = next(e for e in ENCODINGS if _readable(spark, path, e))
+    look = [r["line"] for r in _lines(spark, headers[0][1][0]).selectExpr("CAST(value AS BINARY) AS line").limit(SNIFFED_LINES).collect()]
+    text = "\n".join(_decoded(bytes(line), encoding) for line in look)
+    if not text.strip():
+        return []
+    proposed = _separator(text)
+    out: list[tuple[TextFormat, list[str]]] = []
+    for separator in (proposed, *[x for x in SEPARATORS if x != proposed]):
+        out = [
+            (TextFormat(encoding, separator, _unique_header(next(csv.reader([_decoded(head, encoding)], delimiter=separator), []))), files)
+            for head, files in headers
+        ]
+        names = {frozenset(f.header) for f, _ in out}
+        if len(names) == 1:
+            return out
+    listed = "; ".join(f"{files[0]}: {_decoded(head, encoding)}" for head, files in headers[:3])
+    raise ValueError(f"the files at {path!r} do not have the same columns ({listed}); read them one by one")
+
+
 def sniff(spark: SparkSession, path: str | Sequence[str]) -> TextFormat | None:
-    """Encoding, separator and header of the text; None if it is empty."""
-    prefix = _prefix(spark, path)
-    if not prefix.strip():
-        return None
-    for encoding in ENCODINGS:
-        text = _decoded(prefix, encoding)
-        if text is None:
-            continue
-        text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-        separator = _separator(text)
-        header = next(csv.reader(text.split("\n"), delimiter=separator), [])
-        return TextFormat(encoding, separator, _unique_header(header))
-    return None
+    """Encoding, separator and header of the text (of its first file); None if it is empty."""
+    found = formats(spark, path)
+    return found[0][0] if found else None
 
 
 def _upper_half(encoding: str) -> tuple[str, str]:
@@ -113,11 +150,21 @@ def _upper_half(encoding: str) -> tuple[str, str]:
     return "".join(a for a, _ in kept), "".join(b for _, b in kept)
 
 
-def has_quoted_newlines(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether a record spans lines: some line then holds an odd number of double quotes."""
-    lines = spark.read.text(path if isinstance(path, str) else list(path))
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+def _opens(line: str, separator: str) -> str:
+    """SQL: whether a line that begins with a new field ends inside quotes.
+
+    A quote opens only at the start of a field; elsewhere in an unquoted field it is text, as is whatever
+    follows a closing quote up to the separator. All loops are possessive, so a line is read once.
+    """
+    sep = "\\t" if separator == "\t" else "\\" + separator
+    quoted_field = '"(?:[^"]|"")*+'
+    field = f'(?:{quoted_field}"[^{sep}]*+|[^"{sep}][^{sep}]*+)?+'
+    return f"rlike({line}, {text_literal(f'^(?:{field}{sep})*+{quoted_field}$')})"
+
+
+def has_quoted_newlines(spark: SparkSession, path: str | Sequence[str], separator: str = ",") -> bool:
+    """Whether a record spans lines: some line that begins a record then ends inside quotes."""
+    return not spark.read.text(_paths(path)).filter(_opens("value", separator)).isEmpty()
 
 
 def _text_schema(width: int) -> T.StructType:
@@ -154,24 +201,39 @@ def _scanned(spark: SparkSession, path: str | Sequence[str], text_format: TextFo
 def _joined_lines(spark: SparkSession, path: str | Sequence[str], text_format: TextFormat) -> DataFrame:
     """Records that may span lines, put together from the lines of a splittable scan.
 
-    A line begins a record if the quotes before it in its file are even. Within a split that is a
-    running count; a table with one row per split carries the count and the open record into the
-    next split. So no file is read by a single task, and only the lines of one record meet.
+    Each line is a map of two states: it ends inside quotes or not, if it begins a field or inside quotes.
+    Such a map sets the state, turns it or leaves it, so the state before a line is the last state set
+    before it, turned as often as lines since turn it. Within a split that is a running count; a table
+    with one row per split carries the state and the open record into the next split. So no file is read by a
+    single task, and only the lines of one record meet.
     """
     text = "value" if text_format.encoding in UNICODE else f"decode(CAST(value AS BINARY), '{LATIN}')"
     lines = (
-        spark.read.text(path if isinstance(path, str) else list(path))
+        spark.read.text(_paths(path))
         .selectExpr(f"{text} AS text", f"{LINE_POSITION} AS at")
         .selectExpr("text", "at", "at.file AS file", "at.block AS block",
-                    "length(text) - length(replace(text, '\"', '')) AS quotes")
+                    f"{_opens('text', text_format.separator)} AS fresh",
+                    f"{_opens("concat('\"', text)", text_format.separator)} AS inside")
+        .selectExpr("text", "at", "file", "block", "IF(fresh = inside, CAST(fresh AS INT), NULL) AS sets",
+                    "IF(fresh AND NOT inside, 1, 0) AS turns")
     )
     in_split = Window.partitionBy("file", "block").orderBy("at")
-    counted = lines.withColumn("upto", F.sum("quotes").over(in_split))
-    per_split = lines.groupBy("file", "block").agg(F.sum("quotes").alias("split_quotes"))
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    counted = lines.withColumn("turned", F.coalesce(F.sum("turns").over(before), F.lit(0))).withColumn(
+        "set", F.last(F.expr("IF(sets IS NULL, NULL, struct(sets AS state, turned))"), ignorenulls=True).over(before)
+    )
+    per_split = lines.groupBy("file", "block").agg(F.sum("turns").alias("turns"), F.max(F.expr("IF(sets IS NULL, NULL, struct(at, sets))")).alias("last"))
+    since = lines.join(per_split.selectExpr("file", "block", "last.at AS last_at"), ["file", "block"]).filter("last_at IS NOT NULL AND at > last_at").groupBy(
+        "file", "block").agg(F.sum("turns").alias("after"))
+    whole = per_split.join(since, ["file", "block"], "left").selectExpr(
+        "file", "block", "IF(last IS NULL, turns, 0) AS turns", "IF(last IS NULL, NULL, (last.sets + coalesce(after, 0)) % 2) AS sets"
+    )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_split.select("file", "block", F.coalesce(F.sum("split_quotes").over(earlier), F.lit(0)).alias("carry"))
+    carried = whole.withColumn("turned", F.coalesce(F.sum("turns").over(earlier), F.lit(0))).withColumn(
+        "set", F.last(F.expr("IF(sets IS NULL, NULL, struct(sets AS state, turned))"), ignorenulls=True).over(earlier)
+    ).selectExpr("file", "block", "IF(set IS NULL, turned, set.state + turned - set.turned) % 2 AS carry")
     begun = counted.join(carried, ["file", "block"]).withColumn(
-        "start", F.expr("IF((carry + upto - quotes) % 2 = 0, at, NULL)")
+        "start", F.expr("IF(IF(set IS NULL, carry + turned, set.state + turned - set.turned) % 2 = 0, at, NULL)")
     )
     last_start = begun.groupBy("file", "block").agg(F.max("start").alias("split_start"))
     open_record = last_start.select(
@@ -200,14 +262,19 @@ def read_as_text(
 ) -> DataFrame:
     """All columns as text, with rows of the wrong length marked in `_corrupt_record`.
 
-    `multiline="auto"` looks for quoted line breaks first. `with_position` adds a struct that sorts
-    rows in file order.
+    Without `text_format` each group of files with a header of its own is read by it, and columns are put
+    together by name. `multiline="auto"` looks for quoted line breaks first. `with_position` adds a struct
+    that sorts rows in file order.
     """
-    text_format = text_format or sniff(spark, path)
     if text_format is None:
-        raise ValueError(f"no text to read at {path!r}")
+        found = formats(spark, path)
+        if not found:
+            raise ValueError(f"no text to read at {path!r}")
+        if len(found) == 1:
+            return read_as_text(spark, path, found[0][0], multiline, with_position)
+        return reduce(DataFrame.unionByName, [read_as_text(spark, files, f, multiline, with_position) for f, files in found])
     if multiline == "auto":
-        multiline = has_quoted_newlines(spark, path)
+        multiline = has_quoted_newlines(spark, path, text_format.separator)
     rows = (_joined_lines if multiline else _scanned)(spark, path, text_format)
 
     def decoded(value: Column) -> Column:
@@ -278,7 +345,9 @@ def with_inferred_types(df: DataFrame, types: dict[str, T.DataType] | None = Non
 
 def is_accepted(record: Column, separator: str, width: int) -> Column:
     """Whole rows, and short rows (padded with nulls); rows with too many fields are not accepted."""
-    outside_quotes = F.regexp_replace(record, r'"[^"]*"', "")
+    # A quote opens only at the start of a field.
+    sep = "\\t" if separator == "\t" else "\\" + separator
+    outside_quotes = F.regexp_replace(record, f'(^|{sep})"(?:[^"]|"")*+"', "$1")
     separators = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(separator), F.lit("")))
     return record.isNull() | (separators + 1 < width)
 
@@ -291,8 +360,11 @@ def read_delimited(
     with_position: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The typed table and the rejected rows (as `_corrupt_record`) of delimited text."""
-    text_format = sniff(spark, path)
-    text = read_as_text(spark, path, text_format, multiline, with_position)
-    accepted = is_accepted(column(CORRUPT), text_format.separator, len(text_format.header))
+    found = formats(spark, path)
+    if not found:
+        raise ValueError(f"no text to read at {path!r}")
+    first = found[0][0]
+    text = read_as_text(spark, path, first if len(found) == 1 else None, multiline, with_position)
+    accepted = is_accepted(column(CORRUPT), first.separator, len(first.header))
     table = nulls_from_tokens(text.filter(accepted).drop(CORRUPT), extra_null_tokens)
     return with_inferred_types(table), text.filter(~accepted).select(CORRUPT)

@@ -153,3 +153,39 @@ def test_quoted_newlines_in_a_single_byte_encoding_with_bad_rows(spark, tmp_path
     table, rejected = delimited.read_delimited(spark, path)
     assert [tuple(r) for r in table.orderBy("n").collect()] == [(1, "سلام\nدنيا"), (3, None)]
     assert [r[0] for r in rejected.collect()] == ["2;x;y"]
+
+
+def test_quotes_inside_unquoted_fields(spark, tmp_path):
+    text = 'a,b,c\n1,5" pipe,x\n2,"two\nlines 3"" wide",y\n3,7",z\n4,"",w\n5,"q" tail,v\n'
+    table, rejected = delimited.read_delimited(spark, write(tmp_path / "in.csv", text))
+    assert rejected.count() == 0
+    assert [tuple(r) for r in table.orderBy("a").collect()][:4] == [
+        (1, '5" pipe', "x"), (2, 'two\nlines 3" wide', "y"), (3, '7"', "z"), (4, None, "w"),
+    ]
+    assert table.count() == 5
+
+
+def test_bytes_far_from_the_start_decide_the_encoding(spark, tmp_path):
+    path = write(tmp_path / "in.csv", "a,b\n" + "1,x\n" * 60_000 + "2,café\n", "latin-1")
+    table, _ = delimited.read_delimited(spark, path)
+    found = table.filter("a = 2").first()["b"]
+    assert "�" not in found and len(found) == 4
+
+
+def test_headers_of_all_files(spark, tmp_path):
+    write(tmp_path / "a.csv", "a,b\n1,x\n")
+    write(tmp_path / "b.csv", "b,a\ny,2\n")
+    table, _ = delimited.read_delimited(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in table.collect()) == [(1, "x"), (2, "y")]
+    write(tmp_path / "c.csv", "b,z\ny,2\n")
+    with pytest.raises(ValueError):
+        delimited.read_delimited(spark, str(tmp_path))
+
+
+def test_header_names_differ_by_more_than_case(spark, tmp_path):
+    assert delimited.read_delimited(spark, write(tmp_path / "in.csv", "a,A\n1,2\n"))[0].columns == ["a", "A.1"]
+
+
+def test_infinite_numbers_are_numbers(spark, tmp_path):
+    table, _ = delimited.read_delimited(spark, write(tmp_path / "in.csv", "a\n1.5\ninf\n-inf\n"))
+    assert dict(table.dtypes) == {"a": "double"}
