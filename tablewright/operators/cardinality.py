@@ -15,6 +15,9 @@ from tablewright.operators.tables import empty_table
 # partial aggregation before the shuffle, so a hot value travels once per task.
 COLUMNS_PER_PASS = 40
 
+# Bytes up to which a text is counted as it is; a digest has 64.
+WHOLE_TEXT = 32
+
 
 def _has_map(data_type: T.DataType) -> bool:
     if isinstance(data_type, T.ArrayType):
@@ -38,9 +41,13 @@ def distinct_counts(
     ]
 
     def count(field: T.StructField) -> str:
+        value = present_sql(field)
         if approximate:
-            return f"approx_count_distinct({present_sql(field)}, {rsd}D)"
-        return f"count(DISTINCT {present_sql(field)})"
+            return f"approx_count_distinct({value}, {rsd}D)"
+        if isinstance(field.dataType, T.StringType):
+            # Long texts travel as digests, which are longer than any text that travels itself.
+            value = f"IF(octet_length({value}) <= {WHOLE_TEXT}, {value}, sha2({value}, 256))"
+        return f"count(DISTINCT {value})"
 
     parts = []
     for start in range(0, len(fields), COLUMNS_PER_PASS):

@@ -22,3 +22,8 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def computed(table: DataFrame) -> DataFrame:
+    """A small table (a row or so per column) computed now, for callers that read it more than once."""
+    return table.sparkSession.createDataFrame(table.toArrow(), table.schema)

@@ -13,6 +13,7 @@ from tablewright.functions.columns import (
 )
 from tablewright.operators import cardinality, charts, correlation, duplicates, outliers, profile
 from tablewright.operators.facts import Facts, inline_rows
+from tablewright.operators.tables import computed
 from tablewright.plans import score
 
 # Rows shown in the dashboard and the comparison.
@@ -24,8 +25,8 @@ def analysis_report(df: DataFrame, order_by: Sequence[str] | None = None) -> dic
     """All profile tables. Counters, moments and fences are computed once and shared by the tables."""
     facts = Facts.of(df).collected()
     bounds = outliers.fences(df)
-    distinct = cardinality.distinct_counts(df)
-    repeated = duplicates.duplicate_counts(df)
+    distinct = computed(cardinality.distinct_counts(df))
+    repeated = computed(duplicates.duplicate_counts(df))
     examples = profile.example_values(df, list(order_by)) if order_by else None
     return {
         "basic_stats": profile.basic_stats(df, facts),

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablewright-tests-"))
         # Stack capture for every Column call costs milliseconds each while queries are built.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

@@ -251,3 +251,27 @@ def test_report_text(gaps):
     assert "| missing_cells | 1 | 0 | -1 |" in text_report and "handle_missing_numeric on `x`" in text_report
     fewer = reports.cleaning_metrics(gaps, cleaned.drop("x"))
     assert "duplicates" not in {r["metric"] for r in fewer.collect()}
+
+
+def test_audit_records_failed_steps(spark):
+    df = spark.sql("SELECT 1L AS id, 'x' AS word UNION ALL SELECT 2L, NULL")
+    spec = [
+        {"operation": "remove_outliers_iqr", "column": "word", "parameters": {}},
+        {"operation": "handle_missing_categorical", "column": "word", "parameters": {"method": "new_category"}},
+    ]
+    cleaned, audit = steps.apply_with_audit(df, spec, on_error="record")
+    rows = sorted((r["step"], r["status"], r["error"] is not None, r["missing_after"]) for r in audit.collect())
+    assert rows == [(1, "failed", True, 1), (2, "success", False, 0)]
+    assert cleaned.filter("word IS NULL").count() == 0
+    with pytest.raises(ValueError):
+        steps.apply_with_audit(df, spec)
+
+
+def test_chained_fills_read_the_source_a_fixed_number_of_times(spark):
+    df = spark.range(200).selectExpr("id", "IF(id % 3 = 0, NULL, id) AS a", "IF(id % 5 = 0, NULL, id) AS b")
+    fills = [{"operation": "handle_missing_numeric", "column": c, "parameters": {"method": "forward_fill"}} for c in "abab"]
+    scans = [
+        steps.apply_steps(df, fills[:n], order_by=["id"])._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+        for n in (2, 4)
+    ]
+    assert scans[0] == scans[1]

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tablewright.operators import quantiles
 from tablewright.operators.quantiles import exact_quantiles
 
 RNG = np.random.default_rng(5)
@@ -50,3 +51,11 @@ def test_nan_is_missing(spark):
 def test_text_is_rejected(spark):
     with pytest.raises(ValueError):
         exact_quantiles(spark.createDataFrame([("a",)], "x string"), {"x": [0.5]})
+
+
+def test_passes_have_few_columns_and_small_sketches(spark, monkeypatch):
+    df = spark.range(1000).selectExpr(*[f"CAST(id * {k + 1} AS DOUBLE) AS c{k}" for k in range(5)])
+    whole = exact_quantiles(df, {f"c{k}": [0.3] for k in range(5)})
+    monkeypatch.setattr(quantiles, "COLUMNS_PER_PASS", 2)
+    assert exact_quantiles(df, {f"c{k}": [0.3] for k in range(5)}) == whole
+    assert quantiles.ACCURACY * 24 < 5000
