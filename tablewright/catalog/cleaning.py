@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tablewright.catalog.base import EVENTS_N, EVENTS_N_COLUMNS, SMALL_RANGE, Tables, column_bytes, fences_sql, query, union
-from tablewright.operators import missing, outliers, types
+from tablewright.operators import missing, ordering, outliers, types
 from tablewright.operators.names import standardize_column_names
 from tablewright.plans.steps import clean_text_column
 
@@ -57,6 +57,17 @@ def forward_fill(t: Tables) -> DataFrame:
     return numeric(t, "value_run", "forward_fill", rows_per_range=SMALL_RANGE)
 
 
+@query(
+    "m4_forward_fill_by_user",
+    f"""SELECT event_id, last_value(value_n IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value_n FROM {EVENTS_N}""",
+)
+def forward_fill_by_user(t: Tables) -> DataFrame:
+    rows = t.events_n.select("event_id", "user_id", "value_n")
+    filled = ordering.forward_fill(rows, "value_n", ["event_id"], SMALL_RANGE, ["user_id"])
+    return filled.select("event_id", "value_n")
+
+
 @query("m5_backward_fill", _with("value_run", _carried("value_run", "DESC")))
 def backward_fill(t: Tables) -> DataFrame:
     return numeric(t, "value_run", "backward_fill", rows_per_range=SMALL_RANGE)

@@ -181,6 +181,25 @@ def step_audit(t: Tables) -> DataFrame:
     return steps.apply_with_audit(t.events_n, STEPS, ["event_id"])[1]
 
 
+FAILING = [
+    {"operation": "remove_outliers_iqr", "column": "event_type", "parameters": {}},
+    {"operation": "handle_missing_categorical", "column": "type_n", "parameters": {"method": "new_category"}},
+]
+
+
+@query(
+    "l9_failed_step",
+    f"""SELECT 1::BIGINT AS step, 'remove_outliers_iqr' AS operation, 'failed' AS status, count(*) AS rows_after,
+    {TOTAL_MISSING} AS missing_after, true AS explained FROM {EVENTS_N}
+    UNION ALL SELECT 2, 'handle_missing_categorical', 'success', count(*), {TOTAL_MISSING}, false
+    FROM (SELECT * REPLACE (coalesce(type_n, 'Missing') AS type_n) FROM {EVENTS_N})""",
+)
+def failed_step(t: Tables) -> DataFrame:
+    """Numbers are asked of a text column: the step fails, is recorded, and the next one goes on."""
+    audit = steps.apply_with_audit(t.events_n, FAILING, ["event_id"], on_error="record")[1]
+    return audit.selectExpr("step", "operation", "status", "rows_after", "missing_after", "error IS NOT NULL AS explained")
+
+
 def _score(source: str, columns: list[str], number_columns: list[str]) -> str:
     missing = " + ".join(f"count(*) - count({c})" for c in columns)
     keys = ", ".join(columns)

@@ -9,7 +9,7 @@ from tablewright.functions.display import display_strings
 from tablewright.operators import ordering
 from tablewright.operators.ordering import POSITION
 from tablewright.operators.tables import local_table
-from tablewright.plans.steps import apply_steps
+from tablewright.plans.steps import apply_steps, apply_with_audit
 from tablewright.sources import delimited, sinks
 from tablewright.sources.storage import new_path
 from tablewright.sources.validation import validation_findings
@@ -206,6 +206,17 @@ def write_run_directory(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{path}/profile/missing_by_column")
 
 
+@query("s9_write_run_cleaned", f"SELECT event_id, coalesce(type_n, 'Missing') AS type_n, value_n FROM {EVENTS_N}")
+def write_run_cleaned(t: Tables) -> DataFrame:
+    """The cleaned table of a run directory, whose audit has a row per step."""
+    steps = [{"operation": "handle_missing_categorical", "column": "type_n", "parameters": {"method": "new_category"}}]
+    path = new_path(t.spark, "run")
+    cleaned, audit = apply_with_audit(t.events_n, steps)
+    sinks.write_run(path, t.events_n, cleaned, steps, profile={}, audit=audit)
+    assert t.spark.read.parquet(f"{path}/audit").filter("missing_after < missing_before").count() == 1
+    return t.spark.read.parquet(f"{path}/cleaned").select("event_id", "type_n", "value_n")
+
+
 @query("s11_preview_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
 def preview_rows(t: Tables) -> DataFrame:
     return ordering.preview_rows(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 20)

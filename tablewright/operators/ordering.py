@@ -122,17 +122,26 @@ def _edge(order_by: Sequence[str], value: Column, last: bool) -> Column:
 
 
 def _filled(
-    df: DataFrame, name: str, order_by: Sequence[str], backwards: bool, rows_per_range: int
+    df: DataFrame, name: str, order_by: Sequence[str], backwards: bool, rows_per_range: int,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     field_of(df, name)
     require_columns(df, order_by)
     if name in order_by:
         raise ValueError(f"{name!r} orders the rows, so it cannot be filled by that order")
-    names, df, name, order_by = df.columns, by_position(df), *positions(df, [name]), positions(df, order_by)
+    require_columns(df, partition_by)
+    keys = positions(df, partition_by)
+    names, df, name, order_by = df.columns, by_position(df), *positions(df, [name]), keys + positions(df, order_by)
     value = present(field_of(df, name))
+    if keys:
+        # Groups follow one another in the order; a value goes on with its group's key and stops where that changes.
+        value = F.when(value.isNotNull(), F.struct(value.alias("value"), *[F.col(k) for k in keys]))
     ranged = with_ranges(df, order_by, rows_per_range)
 
     def replaced(table: DataFrame, treated: Column) -> DataFrame:
+        if keys:
+            same = reduce(lambda a, b: a & b, [treated[k].eqNullSafe(F.col(k)) for k in keys])
+            treated = F.when(same, treated["value"])
         return table.select(*[treated.alias(name) if c == name else column(c) for c in df.columns]).toDF(*names)
 
     if ranged is None:
@@ -147,21 +156,23 @@ def _filled(
 
 
 def forward_fill(
-    df: DataFrame, name: str, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, name: str, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Missing values take the last value before them; leading ones stay missing."""
-    return _filled(df, name, order_by, False, rows_per_range)
+    """Missing values take the last value before them (of the same `partition_by`); leading ones stay missing."""
+    return _filled(df, name, order_by, False, rows_per_range, partition_by)
 
 
 def backward_fill(
-    df: DataFrame, name: str, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, name: str, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Missing values take the next value after them; trailing ones stay missing.
 
     Runs as a forward fill in descending order: a frame that grows from its start is linear, while
     a frame that ends at the partition's end is evaluated again for every row.
     """
-    return _filled(df, name, order_by, True, rows_per_range)
+    return _filled(df, name, order_by, True, rows_per_range, partition_by)
 
 
 def interpolate(
