@@ -20,7 +20,6 @@ per (id, item) is left, the most similar window and then the first.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.llm.base import keyed, query, table
-from tablewright.llm.kernels import sequence_hashes, slices, texts_of, word_edges, word_hashes
+from tablewright.llm.kernels import remembered, sequence_hashes, slices, texts_of, word_edges, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -42,7 +41,7 @@ GROUP = 2048  # windows whose fingerprints are made at once
 FOUND = "id long, item long, similarity double, first_word long, n_words long"
 
 
-@lru_cache(maxsize=1)
+@remembered
 def near_codes() -> np.ndarray:
     """All block values with at most BLOCK_RADIUS bits set."""
     return np.array(
@@ -192,7 +191,7 @@ class Items:
                     best[k] = found
 
 
-@lru_cache(maxsize=2)
+@remembered
 def _prepared(ids: tuple, texts: tuple) -> Items:
     return Items(list(ids), list(texts))
 

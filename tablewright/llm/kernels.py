@@ -8,7 +8,6 @@ by block: memory follows the block, not the longest text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +38,31 @@ IS_SPACE = _is_space()
 LOWER = _lower_table()
 
 
-@lru_cache(maxsize=8)
+class remembered:  # noqa: N801  used as a decorator
+    """The last results of a function, by its arguments; they stay behind when the function goes to an executor."""
+
+    def __init__(self, function, most: int = 8):
+        self.function, self.most, self.known = function, most, {}
+
+    def __call__(self, *arguments):
+        if arguments not in self.known:
+            if len(self.known) >= self.most:
+                del self.known[next(iter(self.known))]
+            self.known[arguments] = self.function(*arguments)
+        return self.known[arguments]
+
+    def __reduce__(self):
+        return remembered, (self.function, self.most)
+
+
+@remembered
 def powers(base: int, count: int) -> np.ndarray:
     out = np.full(count, base & MASK, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-@lru_cache(maxsize=8)
+@remembered
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
