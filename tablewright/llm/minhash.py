@@ -33,6 +33,7 @@ from tablewright.llm.kernels import shingle_sets, slices, texts_of, word_edges,
 PERCENT = 75
 LOST = 9.0  # log-likelihood a similarity of 0.75 may lose against the best one
 BLOCK_ROWS = 1024
+ROWS_AT_ONCE = 2048
 CACHE_BYTES = 48 << 20
 
 
@@ -118,42 +119,51 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def bucket_links(band: int, side: np.ndarray, sizes: np.ndarray, regs: np.ndarray, texts: Texts, across: bool):
-    """Index pairs of verified links that join the members of one bucket (or of two blocks of it)."""
+def likely_pairs(group: np.ndarray, band: np.ndarray, side: np.ndarray, across: np.ndarray, sizes: np.ndarray, regs: np.ndarray):
+    """Row pairs of the same group that may be similar, and in how many registers they agree; rows are in order of groups.
+
+    Row k meets row k + 1 of its group, then row k + 2, and so on, for all groups at once.
+    """
     first, second, closeness = [], [], []
-    m = len(sizes)
     bands = regs[:, : setsketch.BANDS * setsketch.PER_BAND]
-    for i in range(m - 1):
-        # Before the likelihood: similar pairs agree in nearly three of four registers, none of them in under a half.
-        others = np.arange(i + 1, m)
-        if across:
-            others = others[side[others] != side[i]]
-        others = others[100 * np.minimum(sizes[others], sizes[i]) >= PERCENT * np.maximum(sizes[others], sizes[i])]
-        if not len(others):
-            continue
-        equal = (regs[others] == regs[i]).sum(axis=1)
-        others, equal = others[equal * 2 >= setsketch.REGISTERS], equal[equal * 2 >= setsketch.REGISTERS]
-        if len(others):
-            same = (bands[others] == bands[i]).reshape(len(others), setsketch.BANDS, setsketch.PER_BAND).all(axis=2)
-            here = same.argmax(axis=1) == band
-            first.append(np.full(here.sum(), i))
-            second.append(others[here])
+    for lag in range(1, int(np.bincount(group).max())):
+        a = np.flatnonzero(group[lag:] == group[:-lag])
+        b = a + lag
+        fits = ~across[a] | (side[a] != side[b])
+        fits &= 100 * np.minimum(sizes[a], sizes[b]) >= PERCENT * np.maximum(sizes[a], sizes[b])
+        a, b = a[fits], b[fits]
+        for lo in range(0, len(a), 4096):
+            x, y = a[lo : lo + 4096], b[lo : lo + 4096]
+            equal = (regs[x] == regs[y]).sum(axis=1)
+            # Similar pairs agree in nearly three of four registers, none of them in under a half.
+            near = equal * 2 >= setsketch.REGISTERS
+            x, y, equal = x[near], y[near], equal[near]
+            same = (bands[x] == bands[y]).reshape(len(x), setsketch.BANDS, setsketch.PER_BAND).all(axis=2)
+            here = same.argmax(axis=1) == band[x]
+            first.append(x[here])
+            second.append(y[here])
             closeness.append(equal[here])
     if not first:
-        return
+        none = np.zeros(0, np.int64)
+        return none, none, none
     a, b, equal = (np.concatenate(x) for x in (first, second, closeness))
-    above = np.concatenate([(regs[a[k : k + 4096]] > regs[b[k : k + 4096]]).sum(axis=1) for k in range(0, len(a), 4096)] or [a])
+    above = np.concatenate([(regs[a[k : k + 4096]] > regs[b[k : k + 4096]]).sum(axis=1) for k in range(0, len(a), 4096)] or [equal])
     _, lost = setsketch.similarity_evidence(above, setsketch.REGISTERS - equal - above, sizes[a], sizes[b], PERCENT / 100)
-    likely = np.flatnonzero(lost <= LOST)
-    leader = list(range(m))
+    likely = lost <= LOST
+    return a[likely], b[likely], equal[likely]
+
+
+def joining_links(a: np.ndarray, b: np.ndarray, equal: np.ndarray, sizes: np.ndarray, texts: Texts):
+    """Of the pairs, the verified ones that join what is not yet joined; the likeliest first."""
+    leader: dict[int, int] = {}
 
     def top(x: int) -> int:
-        while leader[x] != x:
+        while leader.setdefault(x, x) != x:
             leader[x] = leader[leader[x]]
             x = leader[x]
         return x
 
-    for k in likely[np.argsort(-equal[likely], kind="stable")].tolist():
+    for k in np.argsort(-equal, kind="stable").tolist():
         i, j = int(a[k]), int(b[k])
         if top(i) == top(j):
             continue
@@ -170,31 +180,36 @@ def verified_links(members: DataFrame, partitions: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def solve():
-            group = pa.Table.from_batches(held).combine_chunks()
-            key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
-            regs = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, setsketch.REGISTERS)
-            ids = group.column("node").to_numpy()
-            found = list(
-                bucket_links(
-                    key >> 48, group.column("side").to_numpy(), group.column("n").to_numpy(), regs,
-                    Texts(group.column("packed").to_pylist()), i != j,
-                )
-            )
+            rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            return pa.record_batch([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], names=["a", "b"])
+            key, i, j, side, nodes, sizes = (rows.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "n"))
+            change = np.concatenate(([False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, setsketch.REGISTERS)
+            a, b, equal = likely_pairs(np.cumsum(change), key >> 48, side, i != j, sizes, regs)
+            found = list(joining_links(a, b, equal, sizes, Texts(rows.column("packed").to_pylist())))
+            return pa.record_batch(
+                [pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())],
+                names=["a", "b"],
+            )
 
-        last = None
+        # Whole groups are solved together, as soon as there are ROWS_AT_ONCE rows.
+        last, size = None, 0
         for batch in batches:
             marks = [batch.column(c).to_numpy() for c in (0, 1, 2)]
             change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in marks], axis=0)) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
-                if hi == lo:
-                    continue
-                group = tuple(int(x[lo]) for x in marks)
-                if group != last and held:
-                    yield solve()
+            begin = 0
+            for at in [0, *change.tolist()]:
+                group = tuple(int(x[at]) for x in marks) if batch.num_rows else last
+                if group != last and size + at - begin >= ROWS_AT_ONCE:
+                    if at > begin:
+                        held.append(batch.slice(begin, at - begin))
+                    if held:
+                        yield solve()
+                    begin, size = at, 0
                 last = group
-                held.append(batch.slice(lo, hi - lo))
+            if batch.num_rows > begin:
+                held.append(batch.slice(begin))
+                size += batch.num_rows - begin
         if held:
             yield solve()
 
