@@ -39,12 +39,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each document, and whether they decode to its text."""
-    vocabulary = sentencepiece_sampling.load_vocabulary()
-    out = sentencepiece_sampling.sample_pieces(docs, vocabulary)
-    decoded = sentencepiece_sampling.decode_column(F.col("piece_ids"), vocabulary)
+    out = sentencepiece_sampling.sample_pieces(docs, sentencepiece_sampling.load_vocabulary(), check=True)
     return out.select(
-        "doc_id", "lang", "source", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"),
-        decoded.eqNullSafe(F.col("text")).alias("lossless"), "piece_ids",
+        "doc_id", "lang", "source", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless", "piece_ids",
     )
 
 

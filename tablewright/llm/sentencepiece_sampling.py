@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,9 +34,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 1.0
 MARK = "▁"
 LONGEST_UNIT = 32  # bytes; longer units are done one by one, in logarithms
-UNITS_AT_ONCE = 8192
+CELLS_AT_ONCE = 1 << 20  # (unit, end, length) cells of a lattice held at once
 TABLE_BITS = 19
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -267,9 +268,10 @@ def _encode(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, vocabulary:
                 drawn += [(some[x], s, p) for x, s, p in draw(ids, chances, np.zeros(len(some), np.int64), seed[some], size)]
             continue
         order = np.argsort(which, kind="stable")
-        edge = np.searchsorted(which[order], np.arange(0, len(first) + UNITS_AT_ONCE, UNITS_AT_ONCE))
-        for n, at in enumerate(range(0, len(first), UNITS_AT_ONCE)):
-            some = first[at : at + UNITS_AT_ONCE]
+        at_once = max(1, CELLS_AT_ONCE // ((size + 1) * min(size, vocabulary.longest)))
+        edge = np.searchsorted(which[order], np.arange(0, len(first) + at_once, at_once))
+        for n, at in enumerate(range(0, len(first), at_once)):
+            some = first[at : at + at_once]
             ids, chances = choices(
                 vocabulary, raw[starts[units[some]][:, None] + np.arange(size)[None, :]], vocabulary.longest
             )
@@ -288,16 +290,23 @@ def _encode(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, vocabulary:
 
 def decode(ids: pa.ListArray, vocabulary: Vocabulary) -> pa.Array:
     """Text of each list of piece ids."""
-    bounds = ids.offsets.to_numpy()
-    pieces = ids.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
-    sizes = (vocabulary.begin[1:] - vocabulary.begin[:-1])[pieces]
-    until = np.concatenate(([0], np.cumsum(sizes)))
-    raw = vocabulary.data[np.arange(int(until[-1])) + np.repeat(vocabulary.begin[:-1][pieces] - until[:-1], sizes)].tobytes()
-    edges = until[bounds - bounds[0]].tolist()
-    nulls = ids.is_null().to_pylist()
-    return pa.array(
-        [None if none else raw[a + 1 : b].decode() for a, b, none in zip(edges[:-1], edges[1:], nulls)], pa.string()
-    )
+    bounds, pieces = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    nulls, sizes, out = ids.is_null().to_pylist(), vocabulary.begin[1:] - vocabulary.begin[:-1], []
+    for a, b in slices(bounds.astype(np.int64), BATCH_BYTES // 4):
+        some = pieces[bounds[a] : bounds[b]]
+        until = np.concatenate(([0], np.cumsum(sizes[some])))
+        place = np.arange(int(until[-1])) + np.repeat(vocabulary.begin[:-1][some] - until[:-1], sizes[some])
+        raw = vocabulary.data[place].tobytes()
+        edges = until[bounds[a : b + 1] - bounds[a]].tolist()
+        out += [None if nulls[a + k] else raw[x + 1 : y].decode() for k, (x, y) in enumerate(zip(edges[:-1], edges[1:]))]
+    return pa.array(out, pa.string())
+
+
+def checked(keys: np.ndarray, texts: pa.Array, vocabulary: Vocabulary) -> pa.StructArray:
+    """Sampled piece ids of each text, and whether they decode to it."""
+    ids = encode(keys, texts, vocabulary)
+    same = pc.equal(decode(ids, vocabulary), texts.cast(pa.string()))
+    return pa.StructArray.from_arrays([ids, pc.if_else(texts.is_null(), ids.is_null(), same)], ["ids", "lossless"])
 
 
 def encode_column(key: Column, text: Column, vocabulary: Vocabulary) -> Column:
@@ -308,6 +317,16 @@ def encode_column(key: Column, text: Column, vocabulary: Vocabulary) -> Column:
     return encoded(key.cast("long"), text)
 
 
+def checked_column(key: Column, text: Column, vocabulary: Vocabulary) -> Column:
+    """Struct of piece ids and whether they decode to the text: both from one pass."""
+
+    @F.arrow_udf("ids array<int>, lossless boolean")
+    def encoded(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        return checked(keys.fill_null(0).to_numpy(zero_copy_only=False), texts, vocabulary)
+
+    return encoded(key.cast("long"), text)
+
+
 def decode_column(ids: Column, vocabulary: Vocabulary) -> Column:
     @F.arrow_udf("string")
     def decoded(values: pa.Array) -> pa.Array:
@@ -316,18 +335,24 @@ def decode_column(ids: Column, vocabulary: Vocabulary) -> Column:
     return decoded(ids)
 
 
-def sample_pieces(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` with piece_ids (array of int), sampled by the row's id."""
-    return df.withColumn(free_name("piece_ids", df.columns), encode_column(quoted(id_col), quoted(text_col), vocabulary))
+def sample_pieces(
+    df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", check: bool = False
+) -> DataFrame:
+    """`df` with piece_ids (array of int), sampled by the row's id; with `check` also lossless."""
+    if not check:
+        return df.withColumn(free_name("piece_ids", df.columns), encode_column(quoted(id_col), quoted(text_col), vocabulary))
+    made = free_name("_made", df.columns)
+    out = df.withColumn(made, checked_column(quoted(id_col), quoted(text_col), vocabulary))
+    out = out.withColumn(free_name("piece_ids", df.columns), F.col(made)["ids"])
+    return out.withColumn(free_name("lossless", df.columns), F.col(made)["lossless"]).drop(made)
 
 
 @query("op1_sentencepiece_sampling")
 def op1_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = load_vocabulary()
-    encoded = sample_pieces(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
-    return encoded.select(
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return sample_pieces(documents, load_vocabulary(), check=True).select(
         "doc_id",
         F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
         F.sha2(F.concat_ws(" ", F.col("piece_ids").cast("array<string>")), 256).alias("pieces_sha256"),
-        decode_column(F.col("piece_ids"), vocabulary).eqNullSafe(F.col("text")).alias("lossless"),
+        "lossless",
     )

@@ -70,6 +70,8 @@ def test_sampling_is_lossless_and_follows_the_key(spark, odd, nothing):
     assert sentencepiece_sampling.encode(keys + 1, values, vocabulary).to_pylist() != first.to_pylist()
     out = sentencepiece_sampling.sample_pieces(odd, vocabulary)
     assert out.columns == [*odd.columns, "piece_ids"] and out.count() == odd.count()
+    checked = sentencepiece_sampling.sample_pieces(odd, vocabulary, check=True)
+    assert checked.columns == [*odd.columns, "piece_ids", "lossless"] and checked.where("NOT lossless").count() == 0
     assert out.where("text IS NULL AND piece_ids IS NOT NULL").count() == 0
     assert sentencepiece_sampling.sample_pieces(nothing, vocabulary).count() == 0
 
