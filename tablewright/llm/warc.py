@@ -1,13 +1,13 @@
 """WARC archives of pages, and a Merkle fixity audit of their replicas.
 
 Pages become WARC response records, ordered by id within volumes of `VOLUME_IDS` ids. A leaf of the tree hashes a
-record's digest with its offset range in the volume; a node hashes its up to 16 children in order with the range
+record's digest with its offset range in the volume; a node hashes its up to 256 children in order with the range
 they span, up to one root. Two replicas are compared from the root down: of each level only the children of
 nodes that differ are looked at, so an intact replica costs one comparison and a damaged one the branches
 that lead to the damage. What is left are places; they are told apart by record: altered, missing, added, or
 moved (same bytes, other offset, as behind a lost record).
 
-Everything is joins and small groups: a node has at most 16 children, a volume window holds digests, not pages.
+Everything is joins and small groups: a node has at most 256 children, a volume window holds digests, not pages.
 A volume of more than `VOLUME_RECORDS` records (ids that repeat with different pages) is cut into parts by digest.
 
 Defined cases: a null url or page counts as empty; equal records of one id are one record; rows without an id are
@@ -22,7 +22,7 @@ from tablewright.llm.base import Scratch, query, quoted, table
 
 VOLUME_IDS = 512
 VOLUME_RECORDS = 4096
-FAN_BITS = 4
+FAN_BITS = 8
 PART_BITS, RECORD_BITS = 10, 20
 DATE = "1970-01-01T00:00:00Z"
 BREAK = "\r\n"
@@ -96,18 +96,19 @@ def leaves(rows: DataFrame) -> DataFrame:
 
 def tree(manifest: DataFrame, scratch: Scratch, name: str) -> list[DataFrame]:
     """Levels of (node, hash), leaves first, up to a single root; a level is written before the next is made."""
+    low, high = manifest.agg(F.min("place"), F.max("place")).first()
     level = manifest.select(
         F.col("place").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"),
         F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256).alias("hash"),
     )
     levels = [scratch.write(level, f"{name}-0")]
-    while levels[-1].agg(F.min("node") != F.max("node")).first()[0]:
-        below = levels[-1]
-        ends = below.agg(F.min("node"), F.max("node")).first()
-        close = ends[0] >> FAN_BITS == ends[1] >> FAN_BITS or (ends[0] >> FAN_BITS, ends[1] >> FAN_BITS) == tuple(ends)
-        parent = F.lit(0).cast("long") if close else F.shiftright("node", FAN_BITS)
+    while low != high:
+        if (low, high) == (-1, 0):  # shifting leaves these two apart
+            low, high, parent = 0, 0, F.lit(0).cast("long")
+        else:
+            low, high, parent = low >> FAN_BITS, high >> FAN_BITS, F.shiftright("node", FAN_BITS)
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        level = below.groupBy(parent.alias("node")).agg(
+        level = levels[-1].groupBy(parent.alias("node")).agg(
             children.alias("children"), F.min("start").alias("start"), F.max("stop").alias("stop")
         )
         level = level.select(
