@@ -10,7 +10,9 @@ exact weighted shingle similarity: sum of minima over sum of maxima of counts ti
 of few items weigh more.
 
 One pass over the documents, without a shuffle. Items are a stated query set: they go to the tasks in blocks of
-at most `ITEMS_PER_BLOCK` and `BYTES_PER_BLOCK`, one pass per block, so what is sent never outgrows a bound.
+at most `ITEMS_PER_BLOCK` and `BYTES_PER_BLOCK`, one pass per block. Weights do not depend on the blocks: an
+aggregate counts the items of each shingle over the whole benchmark, and every task gets one table of the shingles
+that two and more items hold, 10 bytes each; all others weigh the same. The table grows with the benchmark.
 
 Defined cases: null and empty texts and items without words match nothing; items of the same words match alike
 and are reported each; rows without an id are left out; rows that share an id report for that id, and one row
@@ -24,10 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.llm.base import keyed, query, table
-from tablewright.llm.kernels import remembered, sequence_hashes, slices, texts_of, word_edges, word_hashes
+from tablewright.llm.kernels import remembered, sequence_hashes, signed, slices, texts_of, word_edges, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -58,29 +61,39 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def item_shingles(texts: pa.Array) -> list[tuple[int, np.ndarray]]:
+    """Number of words and shingle hashes of each text; without words it has none."""
+    data, offsets = texts_of(texts)
+    starts, ends, first = word_edges(data, offsets)
+    hashes = word_hashes(data, starts, ends, fold=True)
+    words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
+    return [(len(w), sequence_hashes(w, min(SHINGLE, len(w))) if len(w) else w) for w in words]
+
+
+def shingle_weights(n_items: int, shingles: np.ndarray, holders: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Weight of a shingle of one item or none, and the shingles of more items in order with their weights."""
+    order = np.argsort(shingles)
+    counts, which = np.unique(holders[order], return_inverse=True)
+    weights = np.array([round(WEIGHT_UNIT * (1 + np.log(n_items / n))) for n in counts.tolist()], np.uint16)
+    return round(WEIGHT_UNIT * (1 + np.log(max(n_items, 1)))), shingles[order], weights[which]
+
+
 class Items:
-    """A block of items: words, weighted shingles, fingerprints and the multi-index."""
-
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        data, offsets = texts_of(pa.array(texts, pa.string()))
-        starts, ends, first = word_edges(data, offsets)
-        hashes = word_hashes(data, starts, ends, fold=True)
-        self.ids, self.sizes, self.shingles = [], [], []
-        for k, item in enumerate(ids):
-            words = hashes[first[k] : first[k + 1]]
-            if len(words):
-                self.ids.append(item)
-                self.sizes.append(len(words))
-                self.shingles.append(sequence_hashes(words, min(SHINGLE, len(words))))
-        self.sizes = np.array(self.sizes, np.int64)
-        holders = Counter(int(s) for x in self.shingles for s in set(x.tolist()))
-        self.known = np.array(sorted(holders), np.uint64)
+    """A block of items: words, weighted shingles, fingerprints and the multi-index.
+
+    `weights` are the `shingle_weights` of all items that are searched for; without them these items are all.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str | None], weights: tuple[int, np.ndarray, np.ndarray] | None = None):
+        found = [(item, n, x) for item, (n, x) in zip(ids, item_shingles(pa.array(texts, pa.string()))) if n]
+        self.ids, self.shingles = [item for item, _, _ in found], [x for _, _, x in found]
+        self.sizes = np.array([n for _, n, _ in found], np.int64)
+        self.known, holders = np.unique(
+            np.concatenate([np.unique(x) for x in self.shingles] or [np.zeros(0, np.uint64)]), return_counts=True
+        )
         self.screen = np.zeros(1 << 18, bool)
         self.screen[(self.known >> np.uint64(46)).astype(np.int64)] = True
-        self.most = round(WEIGHT_UNIT * (1 + np.log(max(len(self.ids), 1))))
-        self.weights = np.array(
-            [round(WEIGHT_UNIT * (1 + np.log(len(self.ids) / holders[int(s)]))) for s in self.known], np.int64
-        )
+        self.most, self.shared, self.weights = weights or shingle_weights(len(self.ids), self.known, holders)
         pairs = [(np.searchsorted(self.known, np.unique(x)), k) for k, x in enumerate(self.shingles)]
         shingle = np.concatenate([p for p, _ in pairs]) if pairs else np.zeros(0, np.int64)
         item = np.repeat([k for _, k in pairs], [len(p) for p, _ in pairs]).astype(np.int64)
@@ -103,9 +116,9 @@ class Items:
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(shingles.shape, self.most, np.int64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-            has = self.known[at] == shingles
+        if len(self.shared):
+            at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+            has = self.shared[at] == shingles
             out[has] = self.weights[at[has]]
         return out
 
@@ -192,8 +205,26 @@ class Items:
 
 
 @remembered
-def _prepared(ids: tuple, texts: tuple) -> Items:
-    return Items(list(ids), list(texts))
+def _prepared(ids: tuple, texts: tuple, weights: Broadcast) -> Items:
+    return Items(list(ids), list(texts), weights.value)
+
+
+def benchmark_weights(items: DataFrame, id_col: str, text_col: str) -> Broadcast:
+    """The `shingle_weights` over all items, counted once by an aggregate."""
+
+    def held(batches):
+        for batch in batches:
+            found = [np.unique(x) for n, x in item_shingles(batch.column(0)) if n]
+            shingles = pa.array(signed(np.concatenate(found or [np.zeros(0, np.uint64)])), pa.int64())
+            # One null an item: their number is that of the items.
+            yield pa.record_batch([pa.concat_arrays([shingles, pa.nulls(len(found), pa.int64())])], names=["shingle"])
+
+    rows = keyed(items, id_col, text_col).where("text IS NOT NULL").select("text").mapInArrow(held, "shingle long")
+    counted = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 OR shingle IS NULL").toArrow()
+    n_items = sum(counted["n"].filter(counted["shingle"].is_null()).to_pylist())
+    counted = counted.filter(counted["shingle"].is_valid())
+    shingles, holders = (counted[name].to_numpy() for name in ("shingle", "n"))
+    return items.sparkSession.sparkContext.broadcast(shingle_weights(n_items, shingles.view(np.uint64), holders))
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str):
@@ -215,12 +246,12 @@ def find_contamination(
 ) -> DataFrame:
     """id, item, similarity, first_word, n_words: for each document and item the best window of similarity 0.75 and more."""
     rows = keyed(documents, id_col, text_col).where("text IS NOT NULL")
-    found = None
+    weights, found = benchmark_weights(items, item_id_col, item_text_col), None
     for block in item_blocks(items, item_id_col, item_text_col):
         ids, texts = tuple(x for x, _ in block), tuple(x for _, x in block)
 
         def matched(batches, ids=ids, texts=texts):
-            prepared = _prepared(ids, texts)
+            prepared = _prepared(ids, texts, weights)
             for batch in batches:
                 names, (data, offsets) = batch.column(0).to_pylist(), texts_of(batch.column(1))
                 out = []
@@ -249,12 +280,12 @@ def find_contamination(
     )
 
 
-def holds_item(text: Column, ids: tuple, texts: tuple) -> Column:
+def holds_item(text: Column, ids: tuple, texts: tuple, weights: Broadcast) -> Column:
     """Whether a text holds a window that is nearly one of a block of items."""
 
     @F.arrow_udf("boolean")
     def holds(values: pa.Array) -> pa.Array:
-        prepared, (data, offsets) = _prepared(ids, texts), texts_of(values)
+        prepared, (data, offsets) = _prepared(ids, texts, weights), texts_of(values)
         found = np.zeros(len(values), bool)
         for a, b in slices(offsets):
             part = data[offsets[a] : offsets[b]]
@@ -269,9 +300,9 @@ def holds_item(text: Column, ids: tuple, texts: tuple) -> Column:
 
 def contaminated_column(text: Column, items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> Column:
     """Whether a text holds a window that is nearly an item; decided row by row, without a shuffle."""
-    out = F.lit(False)
+    weights, out = benchmark_weights(items, item_id_col, item_text_col), F.lit(False)
     for block in item_blocks(items, item_id_col, item_text_col):
-        out = out | holds_item(text, tuple(x for x, _ in block), tuple(x for _, x in block))
+        out = out | holds_item(text, tuple(x for x, _ in block), tuple(x for _, x in block), weights)
     return out
 
 
