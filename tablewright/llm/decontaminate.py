@@ -9,12 +9,16 @@ that radius (a pair of similarity 0.75 differs in 11 bits, give or take 3). Cand
 exact weighted shingle similarity: sum of minima over sum of maxima of counts times weights, where shingles
 of few items weigh more.
 
+A document of fewer words than an item has no such window; it is compared whole, and exactly, with every longer item
+that it shares a shingle with and that is light enough to be 0.75 alike.
+
 One pass over the documents, without a shuffle. Items are a stated query set: they go to the tasks in blocks of
 at most `ITEMS_PER_BLOCK` and `BYTES_PER_BLOCK`, one pass per block. Weights do not depend on the blocks: an
 aggregate counts the items of each shingle over the whole benchmark, and every task gets one table of the shingles
 that two and more items hold, 10 bytes each; all others weigh the same. The table grows with the benchmark.
 
-Defined cases: null and empty texts and items without words match nothing; items of the same words match alike
+Defined cases: null and empty texts and items without words match nothing, and neither does a document of fewer words
+than the item's shingles have; items of the same words match alike
 and are reported each; rows without an id are left out; rows that share an id report for that id, and one row
 per (id, item) is left, the most similar window and then the first.
 """
@@ -101,7 +105,7 @@ class Items:
         # Items that hold each known shingle, one after the other.
         self.holder, self.holder_from = item[order], np.searchsorted(shingle[order], np.arange(len(self.known) + 1))
         self.counts = [Counter(x.tolist()) for x in self.shingles]
-        self.totals = [sum(n * self.weight_of(s) for s, n in c.items()) for c in self.counts]
+        self.totals = np.array([self.weigh(x).sum() for x in self.shingles], np.int64)
         self.prints = np.array([fingerprints(x[None, :], self.weigh(x)[None, :])[0] for x in self.shingles], np.uint64)
         self.index = []
         for b in range(BLOCKS):
@@ -122,9 +126,6 @@ class Items:
             out[has] = self.weights[at[has]]
         return out
 
-    def weight_of(self, shingle: int) -> int:
-        return int(self.weigh(np.array([shingle], np.uint64))[0])
-
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) for every item within RADIUS bits of a window's fingerprint."""
         windows, items = [], []
@@ -140,14 +141,14 @@ class Items:
         both = np.unique(np.concatenate(windows) * np.int64(len(self.prints)) + np.concatenate(items))
         return both // len(self.prints), both % len(self.prints)
 
-    def similarity(self, window: np.ndarray, item: int) -> tuple[int, int]:
+    def similarity(self, window: np.ndarray, weights: np.ndarray, item: int) -> tuple[int, int]:
         """Weighted intersection and union of a window's shingles and an item's."""
-        mine, weights = self.counts[item], dict(zip(window.tolist(), self.weigh(window).tolist()))
+        mine, weights = self.counts[item], dict(zip(window.tolist(), weights.tolist()))
         shared = total = 0
         for shingle, n in Counter(window.tolist()).items():
             total += n * weights[shingle]
             shared += min(n, mine.get(shingle, 0)) * weights[shingle]
-        return shared, total + self.totals[item] - shared
+        return shared, total + int(self.totals[item]) - shared
 
     def touched(self, hashes: np.ndarray, first: np.ndarray) -> list[int]:
         """Texts with at least one shingle of an item; the hashes of all texts stand one after the other."""
@@ -177,7 +178,10 @@ class Items:
             n = self.holder_from[at[hits] + 1] - self.holder_from[at[hits]]
             place = np.repeat(hits, n)
             item = self.holder[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.holder_from[at[hits]], n)]
-            fits = np.minimum(self.sizes[item], SHINGLE) == size
+            longer = np.unique(item[(self.sizes[item] > len(words)) & (np.minimum(self.sizes[item], SHINGLE) == size)])
+            if len(longer):
+                self._verify_whole(runs, longer, best)
+            fits = (np.minimum(self.sizes[item], SHINGLE) == size) & (self.sizes[item] <= len(words))
             spots = np.unique(np.stack((self.sizes[item[fits]], place[fits])), axis=1)
             for length in np.unique(spots[0]).tolist():
                 reach = length - size + 1
@@ -188,6 +192,16 @@ class Items:
                     self._verify(runs, begin[a : a + GROUP], reach, best)
         return best
 
+    def _verify_whole(self, runs: np.ndarray, items: np.ndarray, best: dict[int, tuple[float, int]]) -> None:
+        """A document's only window against items of more words."""
+        weights = self.weigh(runs)
+        # No more can be shared than what the document has of known shingles, and no less united than either has.
+        most = int((weights * np.isin(runs, self.known)).sum())
+        for k in items[100 * most >= PERCENT * np.maximum(self.totals[items], weights.sum())].tolist():
+            shared, union = self.similarity(runs, weights, k)
+            if 100 * shared >= PERCENT * union:
+                best[k] = (shared / union, 0)
+
     def _verify(self, runs: np.ndarray, begin: np.ndarray, reach: int, best: dict[int, tuple[float, int]]) -> None:
         shingles = runs[begin[:, None] + np.arange(reach)[None, :]]
         weights = self.weigh(shingles)
@@ -197,7 +211,7 @@ class Items:
         likely = 100 * (weights * known).sum(axis=1) >= PERCENT * weights.sum(axis=1)
         keep = likely[window] & (self.sizes[item] - np.minimum(self.sizes[item], SHINGLE) + 1 == reach)
         for w, k in zip(window[keep].tolist(), item[keep].tolist()):
-            shared, union = self.similarity(shingles[w], k)
+            shared, union = self.similarity(shingles[w], weights[w], k)
             if 100 * shared >= PERCENT * union:
                 found = (shared / union, int(begin[w]))
                 if k not in best or (found[0], -found[1]) > (best[k][0], -best[k][1]):
@@ -262,7 +276,8 @@ def find_contamination(
                     for k in prepared.touched(hashes, first):
                         words = hashes[first[k] : first[k + 1]]
                         for item, (similarity, begin) in prepared.search(words).items():
-                            out.append((names[a + k], prepared.ids[item], similarity, begin, int(prepared.sizes[item])))
+                            n_words = min(int(prepared.sizes[item]), len(words))
+                            out.append((names[a + k], prepared.ids[item], similarity, begin, n_words))
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.record_batch(
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],

@@ -109,8 +109,9 @@ def contamination(rows, items):
     for i, text in rows:
         w = words(text, True)
         for (item, _), (length, size, mine) in held.items():
-            for s in range(len(w) - length + 1) if i is not None else ():
-                window = Counter(tuple(w[k : k + size]) for k in range(s, s + length - size + 1))
+            # A text of fewer words is one window.
+            for s in range(max(1, len(w) - length + 1)) if i is not None else ():
+                window = Counter(tuple(w[k : k + size]) for k in range(s, min(s + length, len(w)) - size + 1))
                 if not window.keys() & mine.keys():
                     continue
                 low = sum(min(window[g], mine[g]) * weight[g] for g in window.keys() | mine.keys())

@@ -38,3 +38,17 @@ def test_weights_do_not_depend_on_the_blocks(spark, monkeypatch):
     for most in (7, 20):
         monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", most)
         assert contamination(spark, rows, items) == whole
+
+
+def test_documents_shorter_than_an_item(spark):
+    item = [f"a{k}" for k in range(39)]
+    items = [(1, " ".join(item)), (2, " ".join(item + ["more"] * 3)), (3, "one two three"), (4, "b1 b2 b3 b4 b5 b6 b7 b8"), (5, "x " * 12)]
+    rows = [
+        (1, " ".join(item[:-2])), (2, " ".join(item[2:])), (3, " ".join(item[:30])), (4, " ".join(item[:20])), (5, "one two"),
+        (6, "B2 b3 b4 b5 b6 b7 b8"), (7, "b1 b2 b3 b4"), (8, " ".join(item[:20] + ["z"] + item[21:-1])), (9, "x " * 10), (10, "x " * 8),
+        (11, ""), (12, " ".join(item)),
+    ]
+    found = contamination(spark, rows, items)
+    assert set(found) == brute.contamination(rows, items)
+    assert found[1, 1][1:] == (0, 37) and (2, 1) in found and (6, 4) in found and found[12, 2][1:] == (0, 39)
+    assert not {3, 4, 5, 7} & {i for i, k in found if k != 1} and (4, 1) not in found
