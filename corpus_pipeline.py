@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.llm import decontaminate, line_chunks, minhash, quality, sentencepiece_sampling
-from tablewright.llm.base import Scratch, table
+from tablewright.llm.base import Scratch, free_name, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; of rows that share an id, one."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("id").alias("doc_id"))
-    named = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near duplicates, the one with the smallest id; rows that share it go by a hash of the text.
+
+    Rows that share an id are documents of their own; of those with the same text too, the one with the least other values stays.
+    """
+    number = free_name("row_number", docs.columns)
+    gone = minhash.repeated_rows(docs).withColumnRenamed("node", number)
+    named = docs.where("doc_id IS NOT NULL").withColumn(number, minhash.row_number(F.col("doc_id"), F.col("text")))
+    named = named.join(gone.hint("merge"), number, "left_anti").groupBy(number).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return named.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.llm import setsketch
 from tablewright.llm.base import Scratch, keyed, query, table
@@ -219,35 +219,54 @@ def verified_links(members: DataFrame, partitions: int) -> DataFrame:
     )
 
 
+def row_number(id_column: Column, text_column: Column) -> Column:
+    """A row goes by a number made from its id and text, so rows that share an id stay apart."""
+    return F.xxhash64(id_column.cast("long"), text_column)
+
+
+def found_parts(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and the part (component) of each digest of a set that is not empty."""
+    rows = keyed(df, id_col, text_col).select("id", row_number(F.col("id"), F.col("text")).alias("node"), "text")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = scratch.write(sketches(rows), "sketches")
+    classes = made.where("n > 0").groupBy("digest").agg(F.min(F.struct("node", "n", "sketch")).alias("c"))
+    classes = scratch.write(classes.select("digest", "c.node", "c.n", "c.sketch"), "classes")
+    band = scratch.write(band_rows(classes).groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), "bands")
+    members = band_rows(classes).join(band, "key").select(
+        "key", "node", F.ceil(F.col("g") / BLOCK_ROWS).cast("int").alias("blocks")
+    )
+    members = members.withColumn("side", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+    members = scratch.write(
+        members.select("key", "node", "side", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        .select("key", "node", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")),
+        "members",
+    )
+    texts = packed(rows).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    full = scratch.write(classes.select("node", "n", "sketch").join(texts, "node"), "full")
+    links = verified_links(members.join(full, "node"), partitions)
+    parts = components(links, scratch)
+    owner = scratch.write(
+        classes.select("digest", F.col("node").alias("class")).join(parts, F.col("class") == F.col("node"), "left")
+        .select("digest", F.coalesce("component", "class").alias("part")),
+        "owner",
+    )
+    return made, owner
+
+
+def repeated_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`row_number` of all rows of a component but the first by id, and of its rows that share that id by the number."""
+    with Scratch(df.sparkSession, "setsketch") as scratch:
+        made, owner = found_parts(df, id_col, text_col, scratch)
+        placed = scratch.write(made.where("n > 0").join(owner, "digest").select("id", "node", "part"), "placed")
+        first = scratch.write(placed.groupBy("part").agg(F.min(F.struct("id", "node")).alias("first")), "first")
+        gone = placed.join(first, "part").where("node <> first.node").select("node")
+        return scratch.keep(gone.distinct(), "gone")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: one row per id."""
-    spark = df.sparkSession
-    # A row goes by a number made from its id and text, so rows that share an id stay apart until the end.
-    rows = keyed(df, id_col, text_col).select("id", F.xxhash64("id", "text").alias("node"), "text")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with Scratch(spark, "setsketch") as scratch:
-        made = scratch.write(sketches(rows), "sketches")
-        classes = made.where("n > 0").groupBy("digest").agg(F.min(F.struct("node", "n", "sketch")).alias("c"))
-        classes = scratch.write(classes.select("digest", "c.node", "c.n", "c.sketch"), "classes")
-        band = scratch.write(band_rows(classes).groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), "bands")
-        members = band_rows(classes).join(band, "key").select(
-            "key", "node", F.ceil(F.col("g") / BLOCK_ROWS).cast("int").alias("blocks")
-        )
-        members = members.withColumn("side", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
-        members = scratch.write(
-            members.select("key", "node", "side", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-            .select("key", "node", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")),
-            "members",
-        )
-        texts = packed(rows).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-        full = scratch.write(classes.select("node", "n", "sketch").join(texts, "node"), "full")
-        links = verified_links(members.join(full, "node"), partitions)
-        parts = components(links, scratch)
-        owner = scratch.write(
-            classes.select("digest", F.col("node").alias("class")).join(parts, F.col("class") == F.col("node"), "left")
-            .select("digest", F.coalesce("component", "class").alias("part")),
-            "owner",
-        )
+    with Scratch(df.sparkSession, "setsketch") as scratch:
+        made, owner = found_parts(df, id_col, text_col, scratch)
         placed = scratch.write(made.where("n > 0").select("id", "n", "digest").join(owner, "digest").select("id", "n", "part"), "placed")
         named = scratch.write(placed.groupBy("part").agg(F.min("id").alias("component")), "named")
         out = placed.join(named, "part").select("id", "n", "component")

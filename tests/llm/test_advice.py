@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from tablewright.llm import decontaminate
 from tests.llm import brute
 
@@ -52,3 +53,29 @@ def test_documents_shorter_than_an_item(spark):
     assert set(found) == brute.contamination(rows, items)
     assert found[1, 1][1:] == (0, 37) and (2, 1) in found and (6, 4) in found and found[12, 2][1:] == (0, 39)
     assert not {3, 4, 5, 7} & {i for i, k in found if k != 1} and (4, 1) not in found
+
+
+def test_rows_that_share_an_id_are_decided_by_their_text(spark):
+    rng = random.Random(2)
+    make = lambda: [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    one, two, three = make(), make(), make()
+    rows = [
+        (1, " ".join(one), 5), (1, " ".join(two), 6),  # one id, two documents
+        (2, " ".join(one[:-1]), 7), (3, " ".join(two[1:]), 8),  # near duplicates of either
+        (4, " ".join(three), 9), (4, " ".join(three), 3), (4, " ".join(three[:-1] + ["x"]), 9), (4, " ".join(make()), 1),
+        (5, "", 0), (5, "one two", 0), (5, None, 0), (None, " ".join(one), 2), (None, " ".join(one), 2),
+    ]
+    results = []
+    for seed in range(3):
+        dealt = random.Random(seed).sample(rows, len(rows))
+        docs = spark.createDataFrame(dealt, "doc_id long, text string, n_chars int").repartition(1 + seed)
+        after = corpus_pipeline.near_stage(spark, docs, "")
+        assert after.columns == docs.columns
+        results.append(sorted((tuple(r) for r in after.collect()), key=repr))
+    assert results[0] == results[1] == results[2]
+    got = results[0]
+    assert {rows[0], rows[1], rows[7], rows[8], rows[9], rows[10]} <= set(got) and got.count(rows[11]) == 2
+    assert not {2, 3} & {r[0] for r in got}
+    # Of the three near copies of `three` one stays; if it is the repeated one, the row with the least other values.
+    assert len([r for r in got if r in (rows[5], rows[6])]) == 1 and rows[4] not in [r for r in got if r[1] == rows[5][1]]
+    assert len(got) == 9
