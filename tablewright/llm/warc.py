@@ -7,8 +7,8 @@ nodes that differ are looked at, so an intact replica costs one comparison and a
 that lead to the damage. What is left are places; they are told apart by record: altered, missing, added, or
 moved (same bytes, other offset, as behind a lost record).
 
-Everything is joins and small groups: a node has at most 256 children, a volume window holds digests, not pages.
-A volume of more than `VOLUME_RECORDS` records (ids that repeat with different pages) is cut into parts by digest.
+Everything is joins and small groups: a node has at most 256 children, a volume window holds counts, not pages.
+Records of one id (pages that differ) are counted in parts by the head of their digest, so a hot id is many groups.
 
 Defined cases: a null url or page counts as empty; equal records of one id are one record; rows without an id are
 left out; an empty table has an empty tree, equal to another empty tree. Extra columns are not looked at.
@@ -16,6 +16,8 @@ left out; an empty table has an empty tree, equal to another empty tree. Extra c
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewright.llm.base import Scratch, query, quoted, table
@@ -23,7 +25,7 @@ from tablewright.llm.base import Scratch, query, quoted, table
 VOLUME_IDS = 512
 VOLUME_RECORDS = 4096
 FAN_BITS = 8
-PART_BITS, RECORD_BITS = 10, 20
+PART_DIGITS = 3
 DATE = "1970-01-01T00:00:00Z"
 BREAK = "\r\n"
 
@@ -76,67 +78,96 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(parsed, "id long, record string")
 
 
-def leaves(rows: DataFrame) -> DataFrame:
-    """Manifest of a replica: id, volume, place (order over all volumes), offset, length and digest of each record."""
+def leaves(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Manifest of a replica: id, volume, place in the volume, offset, length and digest of each record.
+
+    Records of a volume are ordered by id and digest. Those of one id are counted in parts by the head of the digest,
+    and parts start where the parts before them end, so no group holds all records of an id. Without `scratch`
+    the records are hashed twice.
+    """
     digests = rows.select(
         "id", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("digest")
     ).distinct()
-    digests = digests.withColumn("volume", F.floor(F.col("id") / VOLUME_IDS))
-    sizes = digests.groupBy("volume").agg(F.ceil(F.count("*") / VOLUME_RECORDS).alias("parts"))
-    digests = digests.join(sizes, "volume").withColumn("part", F.expr("pmod(xxhash64(digest), parts)")).drop("parts")
-    order = Window.partitionBy("volume", "part").orderBy("id", "digest")
-    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    seq = F.row_number().over(order) - 1
-    return digests.select(
-        "id", "volume", "part",
-        F.shiftleft(F.col("volume"), PART_BITS + RECORD_BITS).bitwiseOR(F.shiftleft(F.col("part"), RECORD_BITS)).bitwiseOR(seq).alias("place"),
-        F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length", "digest",
+    digests = digests.select(F.floor(F.col("id") / VOLUME_IDS).alias("volume"), "id", F.left("digest", F.lit(PART_DIGITS)).alias("part"), "length", "digest")
+    if scratch is not None:
+        digests = scratch.write(digests, "digests")
+    key = ["volume", "id", "part"]
+    earlier = Window.partitionBy("volume").orderBy("id", "part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = digests.groupBy(*key).agg(F.count("*").alias("count"), F.sum("length").alias("size"))
+    starts = totals.select(*key, *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_before") for x in ("count", "size")])
+    order = Window.partitionBy(*key).orderBy("digest")
+    inside = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = digests.select(*key, "length", "digest", (F.row_number().over(order) - 1).alias("rank"), inside.alias("inside"))
+    return placed.join(starts.hint("merge"), key).select(
+        "id", "volume", (F.col("count_before") + F.col("rank")).cast("long").alias("place"),
+        (F.col("size_before") + F.col("inside")).cast("long").alias("offset"), "length", "digest",
     )
 
 
-def tree(manifest: DataFrame, scratch: Scratch, name: str) -> list[DataFrame]:
-    """Levels of (node, hash), leaves first, up to a single root; a level is written before the next is made."""
-    low, high = manifest.agg(F.min("place"), F.max("place")).first()
+@dataclass(frozen=True)
+class Shape:
+    """What two replicas' trees have in common: levels within a volume, and levels over volumes up to one root."""
+
+    within: int
+    over: int
+
+    @classmethod
+    def of(cls, *manifests: DataFrame) -> Shape | None:
+        """None if there are no records at all."""
+        found = [m.agg(F.max("place"), F.min("volume"), F.max("volume")).first() for m in manifests]
+        found = [x for x in found if x[0] is not None]
+        if not found:
+            return None
+        high, first, last, within, over = max(x[0] for x in found), min(x[1] for x in found), max(x[2] for x in found), 0, 0
+        while high >> FAN_BITS * within:
+            within += 1
+        while first >> FAN_BITS * over != last >> FAN_BITS * over:
+            if (first >> FAN_BITS * over, last >> FAN_BITS * over) == (-1, 0):  # shifting leaves these two apart
+                return cls(within, over + 1)
+            over += 1
+        return cls(within, over)
+
+    def parent(self, level: int) -> list[Column]:
+        """Key of the node above one of this level."""
+        if level < self.within:
+            return [F.col("volume"), F.shiftright("place", FAN_BITS)]
+        last = level == self.within + self.over - 1
+        return [F.lit(0).cast("long") if last else F.shiftright("volume", FAN_BITS), F.lit(0).cast("long")]
+
+
+def tree(manifest: DataFrame, shape: Shape, scratch: Scratch, name: str) -> list[DataFrame]:
+    """Levels of (volume, place, hash), leaves first, up to a single root; a level is written before the next is made."""
     level = manifest.select(
-        F.col("place").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"),
+        "volume", "place", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"),
         F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256).alias("hash"),
     )
     levels = [scratch.write(level, f"{name}-0")]
-    while low != high:
-        if (low, high) == (-1, 0):  # shifting leaves these two apart
-            low, high, parent = 0, 0, F.lit(0).cast("long")
-        else:
-            low, high, parent = low >> FAN_BITS, high >> FAN_BITS, F.shiftright("node", FAN_BITS)
-        children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        level = levels[-1].groupBy(parent.alias("node")).agg(
+    for k in range(shape.within + shape.over):
+        volume, place = shape.parent(k)
+        children = F.array_sort(F.collect_list(F.struct("volume", "place", "hash")))  # 256 at most
+        level = levels[-1].groupBy(volume.alias("volume"), place.alias("place")).agg(
             children.alias("children"), F.min("start").alias("start"), F.max("stop").alias("stop")
         )
-        level = level.select(
-            "node", "start", "stop",
-            F.sha2(F.concat_ws(":", F.expr("transform(children, c -> concat(c.node, '=', c.hash))"), "start", "stop"), 256).alias("hash"),
-        )
+        child = "transform(children, c -> concat_ws('=', c.volume, c.place, c.hash))"
+        level = level.select("volume", "place", "start", "stop", F.sha2(F.concat_ws(":", F.expr(child), "start", "stop"), 256).alias("hash"))
         levels.append(scratch.write(level, f"{name}-{len(levels)}"))
     return levels
 
 
-def mismatched_places(left: list[DataFrame], right: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """node of every leaf that differs, found from the roots down."""
-    # A tree that is higher than the other has its own top levels: both are entered at the first level they share.
-    top = min(len(left), len(right)) - 1
-    if len(left) == len(right):
-        roots = [x[-1].select("node", "hash").collect() for x in (left, right)]  # one row each, or none
-        if roots[0] == roots[1]:
-            return left[0].select("node").limit(0)
+def mismatched_places(left: list[DataFrame], right: list[DataFrame], shape: Shape, scratch: Scratch) -> DataFrame:
+    """volume, place of every leaf that differs, found from the roots down."""
+    key = ["volume", "place"]
+    roots = [x[-1].select("hash").collect() for x in (left, right)]  # one row each, or none
+    if roots[0] == roots[1]:
+        return left[0].select(*key).limit(0)
     suspect = None
-    for level in range(top, -1, -1):
-        a, b = left[level].select("node", "hash"), right[level].select("node", F.col("hash").alias("other"))
-        if suspect is not None:
-            parents = suspect.select(F.col("node").alias("parent"))
-            whole = level + 2 == len(left) and level + 2 == len(right)  # below the root every branch is a child
-            if not whole:
-                up = F.shiftright("node", FAN_BITS)
-                a, b = (x.join(parents, up == F.col("parent"), "left_semi") for x in (a, b))
-        suspect = a.join(b, "node", "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select("node")
+    for level in range(len(left) - 1, -1, -1):
+        a, b = left[level].select(*key, "hash"), right[level].select(*key, F.col("hash").alias("other"))
+        if suspect is not None and level + 2 < len(left):  # below the root every branch is a child
+            volume, place = shape.parent(level)
+            parents = suspect.select(F.col("volume").alias("above_volume"), F.col("place").alias("above_place"))
+            a, b = (x.join(parents, (volume == F.col("above_volume")) & (place == F.col("above_place")), "left_semi") for x in (a, b))
+        suspect = a.join(b, key, "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select(*key)
         suspect = scratch.write(suspect, f"differs-{level}")
     return suspect
 
@@ -147,9 +178,9 @@ def audit(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     altered: the id is in both with other bytes; missing or added: in the left or right one only; moved: the same
     record elsewhere.
     """
-    places = mismatched_places(tree(left, scratch, "left"), tree(right, scratch, "right"), scratch)
-    a = left.join(places, left["place"] == places["node"], "left_semi").select("id", "digest")
-    b = right.join(places, right["place"] == places["node"], "left_semi").select("id", "digest")
+    shape = Shape.of(left, right) or Shape(0, 0)
+    places = mismatched_places(tree(left, shape, scratch, "left"), tree(right, shape, scratch, "right"), shape, scratch)
+    a, b = (x.join(places, ["volume", "place"], "left_semi").select("id", "digest") for x in (left, right))
     same = a.join(b, ["id", "digest"]).select("id", "digest", F.lit("moved").alias("status"))
     lost, new = a.join(b, ["id", "digest"], "left_anti"), b.join(a, ["id", "digest"], "left_anti")
     changed = lost.join(new.select("id").distinct(), "id", "left_semi").select("id", "digest", F.lit("altered").alias("status"))
@@ -172,7 +203,7 @@ _SQL_RECORD = (
     "|| chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
 )
 SQL = f"""
-WITH record AS (SELECT page_id, {_SQL_RECORD} AS record FROM pages WHERE page_id IS NOT NULL),
+WITH record AS (SELECT DISTINCT page_id, {_SQL_RECORD} AS record FROM pages WHERE page_id IS NOT NULL),
 manifest AS (
   SELECT page_id, floor(page_id / {VOLUME_IDS})::BIGINT AS volume, strlen(record)::BIGINT AS record_length,
     sha256(record) AS record_sha256,
@@ -181,7 +212,7 @@ manifest AS (
 placed AS (
   SELECT *, coalesce(sum(record_length) OVER before, 0)::BIGINT AS record_offset,
     coalesce(sum((page_id % 997 = 13)::INT) OVER before, 0) AS lost FROM manifest
-  WINDOW before AS (PARTITION BY volume ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WINDOW before AS (PARTITION BY volume ORDER BY page_id, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT page_id, volume, record_offset, record_length, record_sha256,
   CASE WHEN page_id % 997 = 13 THEN 'missing' WHEN page_id % 997 IN (101, 355, 700) AND changes THEN 'altered'
     WHEN lost > 0 THEN 'moved' ELSE 'intact' END AS status
@@ -194,8 +225,8 @@ def op7_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archive of `pages` with its place, digest and state in a damaged replica."""
     pages = records(table(spark, folder, "pages"))
     with Scratch(spark, "warc") as scratch:
-        left = scratch.keep(leaves(pages), "left")
-        right = scratch.write(leaves(damaged(pages)), "right")
+        left = scratch.keep(leaves(pages, scratch), "left")
+        right = scratch.write(leaves(damaged(pages), scratch), "right")
         found = scratch.keep(audit(left, right, scratch).where("status <> 'added'"), "found")
     return left.join(found, ["id", "digest"], "left").select(
         F.col("id").alias("page_id"), "volume", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"),
