@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from tablewright.llm.base import Scratch, query, quoted, table
-from tablewright.llm.kernels import remembered
+from tablewright.llm.kernels import held
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -97,7 +97,6 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-@remembered
 def load(byte_path: str, piece_path: str) -> Tokenizers:
     with open(byte_path, encoding="utf-8") as file:
         stated = json.load(file)
@@ -223,20 +222,21 @@ def chunks_of(texts: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """Chunks of (text, copies), aligned."""
 
     def aligned(batches):
-        known, chunk, held, copies, size = load(byte_path, piece_path), Chunk(), [], [], 0
+        known = held(("tokenizers", byte_path, piece_path), lambda: load(byte_path, piece_path))
+        chunk, waiting, copies, size = Chunk(), [], [], 0
         for batch in batches:
             for text, count in zip(batch.column(0), batch.column(1)):
-                held.append(text.as_py())
+                waiting.append(text.as_py())
                 copies.append(count.as_py())
-                size += len(held[-1])
+                size += len(waiting[-1])
                 if size >= BATCH_BYTES:
-                    chunk.add(held, copies, known)
-                    held, copies, size = [], [], 0
+                    chunk.add(waiting, copies, known)
+                    waiting, copies, size = [], [], 0
                     if chunk.size >= CHUNK_BYTES:
                         yield chunk.row()
                         chunk = Chunk()
-        if held:
-            chunk.add(held, copies, known)
+        if waiting:
+            chunk.add(waiting, copies, known)
         if chunk.texts:
             yield chunk.row()
 

@@ -7,7 +7,9 @@ by block: memory follows the block, not the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,14 @@ MASK = (1 << 64) - 1
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def held(key: tuple, make: Callable[[], object]):
+    """make(), once in a Python process: functions that travel by value begin with new globals in each task."""
+    store = sys.modules.setdefault("_tablewright_held", ModuleType("_tablewright_held")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def _is_space() -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(SPACES)] = True
