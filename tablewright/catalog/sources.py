@@ -105,6 +105,63 @@ def read_back_header_order(t: Tables) -> DataFrame:
     return table.select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+def _one_file(t: Tables, lines: DataFrame, label: str) -> str:
+    """Lines (line, place) as one text file, in order."""
+    path = new_path(t.spark, label)
+    lines.repartition(1).sortWithinPartitions("place").select("line").write.text(path)
+    return path
+
+
+@query(
+    "s1_read_unclosed_quote",
+    """SELECT event_id, CASE WHEN event_id % 50 = 7 AND event_id < 900 THEN event_type || chr(10) || 'more' ELSE event_type END AS note,
+    (SELECT count(*) FROM events WHERE event_id = 1500) AS rejected FROM events WHERE event_id <> 1500""",
+)
+def read_back_unclosed_quote(t: Tables) -> DataFrame:
+    """A quote that is never closed: the rows behind it stay, as do the records over two lines before it."""
+    note = (
+        "CASE WHEN event_id % 50 = 7 AND event_id < 900 THEN concat('\"', event_type, '\n', 'more\"') "
+        "WHEN event_id = 1500 THEN concat('\"', event_type) ELSE event_type END"
+    )
+    lines = t.events.selectExpr(f"concat_ws(',', event_id, {note}) AS line", "event_id AS place").union(t.spark.sql("SELECT 'event_id,note', -1L"))
+    table, rejected = delimited.read_delimited(t.spark, _one_file(t, lines, "unclosed"))
+    reasons = rejected.groupBy(delimited.REASON).count().collect()
+    assert [r[delimited.REASON] for r in reasons] == [delimited.NEVER_CLOSED]
+    return table.withColumn("rejected", F.lit(reasons[0]["count"]))
+
+
+@query(
+    "s1_read_late_separator",
+    "SELECT event_id, CASE WHEN event_id < 5000 THEN event_type || ', late' ELSE event_type || ', or' || ', more' END AS \"note, if any\" FROM events",
+)
+def read_back_late_separator(t: Tables) -> DataFrame:
+    """Another separator has as many fields as the header in thousands of lines; in the end it has not."""
+    note = "IF(event_id < 5000, concat(event_type, ', late'), concat(event_type, ', or, more'))"
+    lines = t.events.selectExpr(f"concat_ws(';', event_id, {note}) AS line", "event_id AS place").union(t.spark.sql("SELECT 'event_id;note, if any', -1L"))
+    table, rejected = delimited.read_delimited(t.spark, _one_file(t, lines, "late"))
+    assert rejected.isEmpty()
+    return table
+
+
+@query("s1_read_blank_start", "SELECT o_orderkey, o_orderstatus FROM orders")
+def read_back_blank_start(t: Tables) -> DataFrame:
+    """Thousands of blank lines before the header, some with spaces."""
+    blank = t.spark.range(3000).selectExpr("IF(id % 3 = 0, '  ', '') AS line", "id - 10000 AS place")
+    lines = t.orders.selectExpr("concat_ws('|', o_orderkey, o_orderstatus) AS line", "o_orderkey AS place")
+    lines = lines.union(blank).union(t.spark.sql("SELECT 'o_orderkey|o_orderstatus', -1L"))
+    return delimited.read_delimited(t.spark, _one_file(t, lines, "blank"))[0]
+
+
+@query("s1_read_inferred_separator", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
+def read_back_inferred_separator(t: Tables) -> DataFrame:
+    """A separator that is none of the usual ones."""
+    path = new_path(t.spark, "parts")
+    sinks.write_delimited(t.part.select("p_partkey", "p_name", "p_size"), path, separator="~")
+    table, _ = delimited.read_delimited(t.spark, path)
+    assert delimited.sniff(t.spark, path).separator == "~"
+    return table
+
+
 @query(
     "s2_null_tokens",
     "SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type "

@@ -1,31 +1,37 @@
 """Delimited text of unknown encoding, separator and types.
 
-The encoding is the first one that all lines of all files can be read in, the header is read from every
-file, and the separator is sniffed from the first lines and only kept if the headers split by it. Files whose
-headers name the same columns in another order are mapped by name; others are refused. The data is scanned
-by Spark, first as text and then, after one aggregate pass over all values, with the types that fit.
+The encoding is the first one that all lines of all files can be read in, the separator the one by which most lines have
+as many fields as the header, and both come from all lines (`dialect`). Files whose headers name the same
+columns in another order are mapped by name; others are refused. The data is scanned by Spark, first as text
+and then, after one aggregate pass over all values, with the types that fit.
 """
 
 from __future__ import annotations
 
-import csv
+import sys
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions import parsing
-from tablewright.functions.columns import column, quoted, text_literal
+from tablewright.functions.columns import quoted, text_literal
 from tablewright.operators.facts import Facts
+from tablewright.sources.dialect import (
+    ENCODINGS, LATIN, LINE_POSITION, SEPARATORS, UNICODE, Dialect, TextFormat, dialect, line_text, opens, outside_quotes, paths, quote_map, segments,
+    states,
+)
 
-# Encodings and separators in the order they are tried.
-ENCODINGS = ("utf-8", "utf-8-sig", "windows-1256", "cp1256", "cp1252", "latin-1")
-SEPARATORS = (",", ";", "\t", "|")
+__all__ = [
+    "CORRUPT", "ENCODINGS", "EXTRA_NULL_TOKENS", "FILE_POSITION", "NULL_TOKENS", "REASON", "SEPARATORS", "TextFormat", "inferred_types",
+    "nulls_from_tokens", "read_as_text", "read_delimited", "sniff", "with_inferred_types",
+]
 
-# Lines whose look proposes a separator, and different headers that the files of one table may have.
-SNIFFED_LINES = 1000
-MOST_HEADERS = 100
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Texts read as missing.
 NULL_TOKENS = (
@@ -38,109 +44,23 @@ EXTRA_NULL_TOKENS = ("#VALUE!", "#NULL!")
 
 CORRUPT = "_corrupt_record"
 FILE_POSITION = "_file_position"
+REASON = "_reason"
+OPEN = "_open_quote"
+
+# Why a row is rejected.
+TOO_LONG, NEVER_CLOSED = "more fields than the header", "a quote that is never closed"
+
+# Splits whose states are sent to every task (about 80 bytes each); with more, lines are sorted to them.
+MOST_SENT_SPLITS = 1_000_000
 
-# Spark reads these directly; other single-byte encodings are read as Latin-1 and translated.
-UNICODE = ("utf-8", "utf-8-sig")
-LATIN = "ISO-8859-1"
-
-
-@dataclass(frozen=True)
-class TextFormat:
-    encoding: str
-    separator: str
-    header: tuple[str, ...]
-
-
-def _paths(path: str | Sequence[str]) -> list[str]:
-    return [path] if isinstance(path, str) else list(path)
-
-
-def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """value, at (file, block, line): undecoded lines of a splittable scan."""
-    return spark.read.text(_paths(path)).selectExpr("value", f"{LINE_POSITION} AS at")
-
-
-def _readable(spark: SparkSession, path: str | Sequence[str], encoding: str) -> bool:
-    """Whether every line of every file can be read in the encoding."""
-    lines = spark.read.text(_paths(path))
-    if encoding in UNICODE:
-        return lines.filter("NOT is_valid_utf8(CAST(value AS STRING))").isEmpty()
-    undefined = []
-    for code in range(128, 256):
-        try:
-            bytes([code]).decode(encoding)
-        except UnicodeDecodeError:
-            undefined.append(chr(code))
-    if not undefined:
-        return True
-    return lines.filter(F.expr(f"decode(CAST(value AS BINARY), '{LATIN}')").rlike(f"[{''.join(undefined)}]")).isEmpty()
-
-
-def _decoded(raw: bytes, encoding: str) -> str:
-    """Text of a line; the first line of a file may begin with a mark of its encoding."""
-    return raw.decode(encoding, "replace").removeprefix("\ufeff").rstrip("\r")
-
-
-def _separator(text: str) -> str:
-    try:
-        return csv.Sniffer().sniff(text, delimiters="".join(SEPARATORS)).delimiter
-    except csv.Error:
-        first = text.split("\n", 1)[0]
-        return max(SEPARATORS, key=lambda s: (first.count(s), -SEPARATORS.index(s)))
-
-
-def _unique_header(names: Sequence[str]) -> tuple[str, ...]:
-    """Blank names become `Unnamed: i`; repeats get `.1`, `.2`, ..."""
-    taken: set[str] = set()
-    out = []
-    for i, raw in enumerate(names):
-        base = raw if raw.strip() else f"Unnamed: {i}"
-        name, suffix = base, 0
-        while name.lower() in taken:  # Spark does not tell names apart by case
-            suffix += 1
-            name = f"{base}.{suffix}"
-        taken.add(name.lower())
-        out.append(name)
-    return tuple(out)
-
-
-def _headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[bytes, list[str]]]:
-    """Different first lines of the files, each with its files, in order of the first file."""
-    first = _lines(spark, path).groupBy("at.file").agg(F.min_by(F.col("value").cast("binary"), "at").alias("head"))
-    found = first.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).limit(MOST_HEADERS + 1).collect()
-    if len(found) > MOST_HEADERS:
-        raise ValueError(f"the files at {path!r} begin with more than {MOST_HEADERS} different headers")
-    return sorted(((bytes(r["head"]), list(r["files"])) for r in found), key=lambda x: x[1][0])
-
-
-def formats(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[TextFormat, list[str]]]:
-    """Format of each group of files that share a header; empty if there is no text."""
-    headers = [(head, files) for head, files in _headers(spark, path)]
-    if not headers:
-        return []
-    encoding = next(e for e in ENCODINGS if _readable(spark, path, e))
-    look = [r["line"] for r in _lines(spark, headers[0][1][0]).selectExpr("CAST(value AS BINARY) AS line").limit(SNIFFED_LINES).collect()]
-    text = "\n".join(_decoded(bytes(line), encoding) for line in look)
-    if not text.strip():
-        return []
-    proposed = _separator(text)
-    out: list[tuple[TextFormat, list[str]]] = []
-    for separator in (proposed, *[x for x in SEPARATORS if x != proposed]):
-        out = [
-            (TextFormat(encoding, separator, _unique_header(next(csv.reader([_decoded(head, encoding)], delimiter=separator), []))), files)
-            for head, files in headers
-        ]
-        names = {frozenset(f.header) for f, _ in out}
-        if len(names) == 1:
-            return out
-    listed = "; ".join(f"{files[0]}: {_decoded(head, encoding)}" for head, files in headers[:3])
-    raise ValueError(f"the files at {path!r} do not have the same columns ({listed}); read them one by one")
-
-
-def sniff(spark: SparkSession, path: str | Sequence[str]) -> TextFormat | None:
+# What becomes of a line or some lines: a record, a part of one that goes on in another split, or a line read by itself.
+WHOLE, PART, ALONE = 0, 1, 2
+
+
+def sniff(spark: SparkSession, path: str | Sequence[str], separator: str | None = None) -> TextFormat | None:
     """Encoding, separator and header of the text (of its first file); None if it is empty."""
-    found = formats(spark, path)
-    return found[0][0] if found else None
+    found = dialect(spark, path, separator)
+    return found.format if found else None
 
 
 def _upper_half(encoding: str) -> tuple[str, str]:
@@ -150,23 +70,6 @@ def _upper_half(encoding: str) -> tuple[str, str]:
     return "".join(a for a, _ in kept), "".join(b for _, b in kept)
 
 
-def _opens(line: str, separator: str) -> str:
-    """SQL: whether a line that begins with a new field ends inside quotes.
-
-    A quote opens only at the start of a field; elsewhere in an unquoted field it is text, as is whatever
-    follows a closing quote up to the separator. All loops are possessive, so a line is read once.
-    """
-    sep = "\\t" if separator == "\t" else "\\" + separator
-    quoted_field = '"(?:[^"]|"")*+'
-    field = f'(?:{quoted_field}"[^{sep}]*+|[^"{sep}][^{sep}]*+)?+'
-    return f"rlike({line}, {text_literal(f'^(?:{field}{sep})*+{quoted_field}$')})"
-
-
-def has_quoted_newlines(spark: SparkSession, path: str | Sequence[str], separator: str = ",") -> bool:
-    """Whether a record spans lines: some line that begins a record then ends inside quotes."""
-    return not spark.read.text(_paths(path)).filter(_opens("value", separator)).isEmpty()
-
-
 def _text_schema(width: int) -> T.StructType:
     fields = [T.StructField(f"_{i}", T.StringType()) for i in range(width)]
     return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
@@ -180,13 +83,6 @@ def _options(text_format: TextFormat) -> dict[str, str]:
     }
 
 
-# Where a line stands: its file, the start of its split in the file, and its place in the scan.
-LINE_POSITION = (
-    "struct(_metadata.file_path AS file, _metadata.file_block_start AS block, "
-    "monotonically_increasing_id() AS line)"
-)
-
-
 def _scanned(spark: SparkSession, path: str | Sequence[str], text_format: TextFormat) -> DataFrame:
     """One record per line, parsed by the scan."""
     # A pruned parser does not see the length of a row, so it would mark nothing.
@@ -198,84 +94,124 @@ def _scanned(spark: SparkSession, path: str | Sequence[str], text_format: TextFo
     return scan.selectExpr("*", f"{LINE_POSITION} AS {FILE_POSITION}")
 
 
-def _joined_lines(spark: SparkSession, path: str | Sequence[str], text_format: TextFormat) -> DataFrame:
-    """Records that may span lines, put together from the lines of a splittable scan.
+def assembled(batches):
+    """Records of the lines of a split, in the order of the lines.
 
-    Each line is a map of two states: it ends inside quotes or not, if it begins a field or inside quotes.
-    Such a map sets the state, turns it or leaves it, so the state before a line is the last state set
-    before it, turned as often as lines since turn it. Within a split that is a running count; a table
-    with one row per split carries the state and the open record into the next split. So no file is read by a
-    single task, and only the lines of one record meet.
+    Lines come with their quote map and what is known of their split; a record that the split's end cuts leaves a part,
+    as does what the split has of a record from before it.
     """
-    text = "value" if text_format.encoding in UNICODE else f"decode(CAST(value AS BINARY), '{LATIN}')"
+    split, ordinal, state = None, 0, 0
+    held: list[str] = []  # lines of a record that goes on
+    held_at = 0
+    schema = pa.schema([
+        ("file", pa.string()), ("block", pa.int64()), ("line", pa.int64()), ("text", pa.string()), ("kind", pa.int32()),
+        ("of_block", pa.int64()), ("of_line", pa.int64()),
+    ])
+
+    def made(texts, lines, kind, known, of_line=None):
+        """Rows at `lines`; a part names the line of its record, or the open one."""
+        count = len(lines)
+        if of_line is None:
+            of_block, of_line = known["open_block"], known["open_line"]
+        else:
+            of_block = known["block"]
+        fill = lambda value: pa.array([value] * count, pa.int64())
+        return pa.record_batch(
+            [pa.array([known["file"]] * count, pa.string()), fill(known["block"]), pa.array(lines, pa.int64()), texts, pa.array([kind] * count, pa.int32()),
+             fill(of_block if kind == PART else None), fill(of_line if kind == PART else None)], schema,
+        )
+
+    def closing(known):
+        """What is held when a split ends: a part of a record from before it or of one that goes on."""
+        if held:
+            begun = held_at >= 0
+            yield made(pa.array(["\n".join(held)], pa.string()), [max(held_at, 0)], PART, known, held_at if begun else None)
+            held.clear()
+
+    known: dict = {}
+    for batch in batches:
+        for file, block, lines in segments(batch):
+            if (file, block) != split:
+                yield from closing(known)
+                names = ("carry", "open_block", "open_line", "head_block", "head_line", "alone_from")
+                known = {"file": file, "block": block} | {n: lines.column(n)[0].as_py() for n in names}
+                split, ordinal, state, held_at = (file, block), 0, known["carry"], -1
+            text, count = lines.column("text"), lines.num_rows
+            together = count if known["alone_from"] is None else min(count, max(0, known["alone_from"] - ordinal))
+            fresh, inside = (lines.column(n).to_numpy(zero_copy_only=False)[:together] for n in ("fresh", "inside"))
+            before, after = states(fresh, inside, state)
+            begins = np.flatnonzero(before == 0)
+            first = int(begins[0]) if len(begins) else together
+            held += text.slice(0, first).to_pylist()
+            if first < together or together < count:  # what was held ends before this line
+                if held and held_at >= 0:
+                    if (known["head_block"], known["head_line"]) != (block, held_at):
+                        yield made(pa.array(["\n".join(held)], pa.string()), [held_at], WHOLE, known)
+                    held.clear()
+                yield from closing(known)
+            if first < together:
+                edges = np.append(begins, together)
+                last = int(edges[-2])
+                goes_on = after == 1
+                done = len(begins) - goes_on
+                if done:
+                    stop = int(edges[done])
+                    offsets = pa.array((edges[: done + 1] - first).astype(np.int32))
+                    rows = pa.ListArray.from_arrays(offsets, text.slice(first, stop - first))
+                    at = ordinal + begins[:done]
+                    if known["head_block"] == block:
+                        kept = at != known["head_line"]
+                        rows, at = rows.filter(pa.array(kept)), at[kept]
+                    yield made(pc.binary_join(rows, "\n"), at, WHOLE, known)
+                if goes_on:
+                    held += text.slice(last, together - last).to_pylist()
+                    held_at = ordinal + last
+            state = after
+            if together < count:
+                at = ordinal + np.arange(together, count)
+                kept = at != known["head_line"] if known["head_block"] == block else np.ones(len(at), bool)
+                yield made(text.slice(together).filter(pa.array(kept)), at[kept], ALONE, known)
+                state = 0
+            ordinal += count
+    yield from closing(known)
+
+
+def _joined_lines(spark: SparkSession, path: str | Sequence[str], text_format: TextFormat, carried: DataFrame) -> DataFrame:
+    """Records that may span lines, put together where their lines are read.
+
+    What a split begins in is sent to its lines; only parts of records that a split's end cuts meet in an exchange.
+    """
+    fresh, inside = quote_map("text", text_format.separator)
     lines = (
-        spark.read.text(_paths(path))
-        .selectExpr(f"{text} AS text", f"{LINE_POSITION} AS at")
-        .selectExpr("text", "at", "at.file AS file", "at.block AS block",
-                    f"{_opens('text', text_format.separator)} AS fresh",
-                    f"{_opens("concat('\"', text)", text_format.separator)} AS inside")
-        .selectExpr("text", "at", "file", "block", "IF(fresh = inside, CAST(fresh AS INT), NULL) AS sets",
-                    "IF(fresh AND NOT inside, 1, 0) AS turns")
-    )
-    in_split = Window.partitionBy("file", "block").orderBy("at")
-    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    counted = lines.withColumn("turned", F.coalesce(F.sum("turns").over(before), F.lit(0))).withColumn(
-        "set", F.last(F.expr("IF(sets IS NULL, NULL, struct(sets AS state, turned))"), ignorenulls=True).over(before)
+        spark.read.text(paths(path))
+        .selectExpr("_metadata.file_path AS file", "_metadata.file_block_start AS block", f"{line_text(text_format.encoding)} AS text", "monotonically_increasing_id() AS at")
+        .selectExpr("file", "block", "text", f"{fresh} AS fresh", f"{inside} AS inside", "at")
     )
-    per_split = lines.groupBy("file", "block").agg(F.sum("turns").alias("turns"), F.max(F.expr("IF(sets IS NULL, NULL, struct(at, sets))")).alias("last"))
-    since = lines.join(per_split.selectExpr("file", "block", "last.at AS last_at"), ["file", "block"]).filter("last_at IS NOT NULL AND at > last_at").groupBy(
-        "file", "block").agg(F.sum("turns").alias("after"))
-    whole = per_split.join(since, ["file", "block"], "left").selectExpr(
-        "file", "block", "IF(last IS NULL, turns, 0) AS turns", "IF(last IS NULL, NULL, (last.sets + coalesce(after, 0)) % 2) AS sets"
+    if carried.count() <= MOST_SENT_SPLITS:
+        placed = lines.join(F.broadcast(carried), ["file", "block"])
+    else:
+        placed = lines.join(carried.hint("merge"), ["file", "block"]).sortWithinPartitions("file", "block", "at")
+    records = placed.drop("at", "spans").mapInArrow(assembled, "file string, block long, line long, text string, kind int, of_block long, of_line long")
+    cut = records.filter(f"kind = {PART}").groupBy("file", "of_block", "of_line").agg(
+        F.expr("array_join(transform(sort_array(collect_list(struct(block, line, text))), l -> l.text), '\n')").alias("text")
     )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = whole.withColumn("turned", F.coalesce(F.sum("turns").over(earlier), F.lit(0))).withColumn(
-        "set", F.last(F.expr("IF(sets IS NULL, NULL, struct(sets AS state, turned))"), ignorenulls=True).over(earlier)
-    ).selectExpr("file", "block", "IF(set IS NULL, turned, set.state + turned - set.turned) % 2 AS carry")
-    begun = counted.join(carried, ["file", "block"]).withColumn(
-        "start", F.expr("IF(IF(set IS NULL, carry + turned, set.state + turned - set.turned) % 2 = 0, at, NULL)")
-    )
-    last_start = begun.groupBy("file", "block").agg(F.max("start").alias("split_start"))
-    open_record = last_start.select(
-        "file", "block", F.last("split_start", ignorenulls=True).over(earlier).alias("open_start")
-    )
-    running = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = begun.withColumn("own_start", F.last("start", ignorenulls=True).over(running))
-    records = (
-        placed.join(open_record, ["file", "block"])
-        .groupBy(F.expr("coalesce(own_start, open_start) AS record"))
-        .agg(F.expr("array_join(transform(sort_array(collect_list(struct(at, text))), l -> l.text), '\n') AS text"))
-    )
-    heads = lines.groupBy("file").agg(F.min("at").alias("record"))
-    body = records.join(heads.select("record"), "record", "left_anti").filter("trim(text) <> ''")
-    unmarked = F.regexp_replace("text", "^\ufeff", "")
-    row = F.from_csv(unmarked, F.lit(_text_schema(len(text_format.header)).simpleString()), _options(text_format))
-    return body.select(row.alias("row"), F.col("record").alias(FILE_POSITION)).select("row.*", FILE_POSITION)
-
-
-def read_as_text(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    text_format: TextFormat | None = None,
-    multiline: bool | str = "auto",
-    with_position: bool = False,
-) -> DataFrame:
-    """All columns as text, with rows of the wrong length marked in `_corrupt_record`.
-
-    Without `text_format` each group of files with a header of its own is read by it, and columns are put
-    together by name. `multiline="auto"` looks for quoted line breaks first. `with_position` adds a struct
-    that sorts rows in file order.
-    """
-    if text_format is None:
-        found = formats(spark, path)
-        if not found:
-            raise ValueError(f"no text to read at {path!r}")
-        if len(found) == 1:
-            return read_as_text(spark, path, found[0][0], multiline, with_position)
-        return reduce(DataFrame.unionByName, [read_as_text(spark, files, f, multiline, with_position) for f, files in found])
-    if multiline == "auto":
-        multiline = has_quoted_newlines(spark, path, text_format.separator)
-    rows = (_joined_lines if multiline else _scanned)(spark, path, text_format)
+    headed = carried.groupBy("file").agg(F.first("head_block").alias("of_block"), F.first("head_line").alias("of_line"))
+    cut = cut.join(headed, ["file", "of_block", "of_line"], "left_anti")
+    body = records.filter(f"kind <> {PART}").select("file", "block", "line", "text", (F.col("kind") == ALONE).alias("alone")).unionByName(
+        cut.select("file", F.col("of_block").alias("block"), F.col("of_line").alias("line"), "text", F.lit(False).alias("alone"))
+    ).filter("trim(text) <> ''")
+    row = F.from_csv("text", F.lit(_text_schema(len(text_format.header)).simpleString()), _options(text_format))
+    return body.select(
+        row.alias("row"), F.struct("file", "block", "line").alias(FILE_POSITION), F.expr(f"alone AND {opens('text', text_format.separator)}").alias(OPEN), "text"
+    ).select("row.*", FILE_POSITION, OPEN, "text")
+
+
+def _rows(spark: SparkSession, path: str | Sequence[str], text_format: TextFormat, carried: DataFrame | None) -> DataFrame:
+    """All columns as text, `_corrupt_record`, whether a quote of the row is never closed, and the position; `carried` if records may span lines."""
+    if carried is None:
+        rows = _scanned(spark, path, text_format).withColumns({OPEN: F.lit(False), "text": F.lit(None).cast("string")})
+    else:
+        rows = _joined_lines(spark, path, text_format, carried)
 
     def decoded(value: Column) -> Column:
         if text_format.encoding in (*UNICODE, "latin-1"):
@@ -284,11 +220,35 @@ def read_as_text(
 
     columns = [decoded(F.col(f"_{i}")).alias(name) for i, name in enumerate(text_format.header)]
     # Spark refuses queries that read nothing but the corrupt record, so a data column is named too.
-    marked = F.when(F.col(CORRUPT).isNotNull(), F.coalesce(F.col(CORRUPT), F.col("_0")))
-    columns.append(decoded(marked).alias(CORRUPT))
-    if with_position:
-        columns.append(F.col(FILE_POSITION))
-    return rows.select(*columns)
+    marked = F.when(F.col(OPEN), F.col("text")).when(F.col(CORRUPT).isNotNull(), F.coalesce(F.col(CORRUPT), F.col("_0")))
+    return rows.select(*columns, decoded(marked).alias(CORRUPT), OPEN, FILE_POSITION)
+
+
+def _spanning(found: Dialect) -> DataFrame | None:
+    """States of the splits, if some record spans lines or never ends."""
+    carried = found.carried()
+    return None if carried.filter("spans").isEmpty() else carried
+
+
+def _read(spark: SparkSession, path: str | Sequence[str], found: Dialect) -> DataFrame:
+    carried = _spanning(found)
+    groups = [_rows(spark, files or path, f, carried) for f, files in found.formats(spark, path)]
+    return reduce(DataFrame.unionByName, groups)
+
+
+def read_as_text(
+    spark: SparkSession, path: str | Sequence[str], text_format: TextFormat | None = None, with_position: bool = False
+) -> DataFrame:
+    """All columns as text, with rows of the wrong length and those with a quote that is never closed marked in `_corrupt_record`.
+
+    Without `text_format` each group of files with a header of its own is read by it, and columns are put
+    together by name. `with_position` adds a struct that sorts rows in file order.
+    """
+    found = dialect(spark, path, text_format.separator if text_format else None)
+    if found is None:
+        raise ValueError(f"no text to read at {path!r}")
+    rows = _read(spark, path, found) if text_format is None else _rows(spark, path, text_format, _spanning(found))
+    return rows.drop(OPEN) if with_position else rows.drop(OPEN, FILE_POSITION)
 
 
 def nulls_from_tokens(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -343,28 +303,30 @@ def with_inferred_types(df: DataFrame, types: dict[str, T.DataType] | None = Non
     return df.selectExpr(*[typed(name) for name in df.columns])
 
 
-def is_accepted(record: Column, separator: str, width: int) -> Column:
-    """Whole rows, and short rows (padded with nulls); rows with too many fields are not accepted."""
-    # A quote opens only at the start of a field.
-    sep = "\\t" if separator == "\t" else "\\" + separator
-    outside_quotes = F.regexp_replace(record, f'(^|{sep})"(?:[^"]|"")*+"', "$1")
-    separators = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(separator), F.lit("")))
-    return record.isNull() | (separators + 1 < width)
+def is_accepted(record: str, separator: str, width: int) -> str:
+    """SQL: whole rows, and short rows (padded with nulls); rows with too many fields are not accepted."""
+    rest = outside_quotes(record, separator)
+    return f"({record} IS NULL OR length({rest}) - length(replace({rest}, {text_literal(separator)}, '')) + 1 < {width})"
 
 
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
     extra_null_tokens: Sequence[str] = (),
-    multiline: bool | str = "auto",
     with_position: bool = False,
+    separator: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The typed table and the rejected rows (as `_corrupt_record`) of delimited text."""
-    found = formats(spark, path)
-    if not found:
+    """The typed table and the rejected rows (as `_corrupt_record`, with a `_reason`) of delimited text.
+
+    A record whose quotes are still open where its file ends is no record: from its first line on the file's lines are
+    read by themselves, and those among them that leave a quote open are rejected.
+    """
+    found = dialect(spark, path, separator)
+    if found is None:
         raise ValueError(f"no text to read at {path!r}")
-    first = found[0][0]
-    text = read_as_text(spark, path, first if len(found) == 1 else None, multiline, with_position)
-    accepted = is_accepted(column(CORRUPT), first.separator, len(first.header))
-    table = nulls_from_tokens(text.filter(accepted).drop(CORRUPT), extra_null_tokens)
-    return with_inferred_types(table), text.filter(~accepted).select(CORRUPT)
+    text = _read(spark, path, found)
+    accepted = F.expr(f"NOT {OPEN} AND {is_accepted(CORRUPT, found.format.separator, len(found.format.header))}")
+    table = text.filter(accepted).drop(CORRUPT, OPEN)
+    table = nulls_from_tokens(table if with_position else table.drop(FILE_POSITION), extra_null_tokens)
+    reason = F.when(F.col(OPEN), NEVER_CLOSED).otherwise(TOO_LONG).alias(REASON)
+    return with_inferred_types(table), text.filter(~accepted).select(CORRUPT, reason)

@@ -44,3 +44,11 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     path = new_path(spark, label)
     df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
     return spark.read.parquet(path).toDF(*df.columns)
+
+
+def stored_if_shared(df: DataFrame, label: str = "stored") -> DataFrame:
+    """`stored`, or the table itself on a cluster without a shared folder: small tables that may be made again."""
+    spark = df.sparkSession
+    if has_shared_folder(spark) or spark.sparkContext.master.startswith("local"):
+        return stored(df, label)
+    return df

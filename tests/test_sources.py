@@ -189,3 +189,98 @@ def test_header_names_differ_by_more_than_case(spark, tmp_path):
 def test_infinite_numbers_are_numbers(spark, tmp_path):
     table, _ = delimited.read_delimited(spark, write(tmp_path / "in.csv", "a\n1.5\ninf\n-inf\n"))
     assert dict(table.dtypes) == {"a": "double"}
+
+
+def plain_records(text, separator):
+    """Records and rejected lines of one file, line by line, by the stated rules."""
+    lines = text.split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+
+    def ends_open(line, inside):
+        """State after a line."""
+        at_start = not inside
+        k = 0
+        while k < len(line):
+            c = line[k]
+            if inside:
+                if c == '"':
+                    if line[k + 1 : k + 2] == '"':
+                        k += 1
+                    else:
+                        inside = False
+            elif at_start and c == '"':
+                inside = True
+            at_start = not inside and c == separator
+            k += 1
+        return inside
+
+    records, held, at = [], [], 0
+    for k, line in enumerate(lines):
+        if not held:
+            at = k
+        held.append(line)
+        if not ends_open("\n".join(held), False):
+            records.append(("\n".join(held), False))
+            held = []
+    if held:
+        records += [(line, ends_open(line, False)) for line in lines[at:]]
+    return [r for r in records if r[0].strip(" ")]
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_quotes_in_any_splits_equal_a_plain_reading(spark, tmp_path, size):
+    import random
+
+    rng = random.Random(size)
+    pieces = ['"a', 'b"', '"', "x", ",", ",", "\n", "\n", '""', 'y"z', ',"', '",', " ", "long text here"]
+    before, batch = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        expected = []
+        for number in range(2):
+            folder = tmp_path / f"set{number}"
+            folder.mkdir()
+            texts = ["id,note\n" + "".join(rng.choice(pieces) for _ in range(rng.randrange(60))) + "\n" for _ in range(3)]
+            for k, text in enumerate(texts):
+                (folder / f"{k}.csv").write_text(text)
+            found = delimited.dialect(spark, str(folder), ",")
+            carried = found.carried()
+            rows = delimited._joined_lines(spark, str(folder), found.format, carried).select("text", delimited.OPEN).collect()
+            expected = [r for text in texts for r in plain_records(text, ",")[1:]]
+            assert sorted((r["text"], r[delimited.OPEN]) for r in rows) == sorted(expected), texts
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_unclosed_quote_keeps_the_rest_of_the_file(spark, tmp_path):
+    path = write(tmp_path / "in.csv", "a,b\n0,\"two\nlines\"\n1,\"abc\n" + "".join(f"{i},x\n" for i in range(2, 102)))
+    table, rejected = delimited.read_delimited(spark, path)
+    assert table.count() == 101 and table.filter("a = 0").first()["b"] == "two\nlines"
+    assert [tuple(r) for r in rejected.collect()] == [('1,"abc', delimited.NEVER_CLOSED)]
+    # The last line alone, in one of two files.
+    folder = tmp_path / "two"
+    folder.mkdir()
+    write(folder / "1.csv", "a,b\n1,x\n")
+    write(folder / "2.csv", 'a,b\n2,y\n3,"z\n')
+    table, rejected = delimited.read_delimited(spark, str(folder))
+    assert sorted(tuple(r) for r in table.collect()) == [(1, "x"), (2, "y")] and [r[0] for r in rejected.collect()] == ['3,"z']
+
+
+def test_blank_lines_and_other_separators(spark, tmp_path):
+    table, _ = delimited.read_delimited(spark, write(tmp_path / "a.csv", "\n" * 1500 + " \na;b\n1;2\n\n3;4\n"))
+    assert sorted(tuple(r) for r in table.collect()) == [(1, 2), (3, 4)]
+    assert delimited.sniff(spark, write(tmp_path / "b.csv", "a^b\n1^2\n")).separator == "^"
+    assert delimited.sniff(spark, write(tmp_path / "c.csv", "a:b\n1:2:3\n")).header == ("a:b",)  # not by all lines
+    assert delimited.sniff(spark, write(tmp_path / "d.csv", "a b\n1:2\n"), ":").separator == ":"
+    assert delimited.sniff(spark, write(tmp_path / "e.csv", " \n\n")) is None
+
+
+def test_only_parts_of_cut_records_are_exchanged(spark, tmp_path):
+    path = write(tmp_path / "in.csv", 'a,b\n1,"two\nlines"\n2,x\n')
+    plan = delimited.read_as_text(spark, path)._jdf.queryExecution().executedPlan().toString()
+    # Lines meet the states of their splits by broadcast; what is exchanged by a key are parts of records and states.
+    assert plan.count("MapInArrow") == 2 and "BroadcastHashJoin" in plan
+    keys = [x.split("hashpartitioning(")[1].split(")")[0] for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert keys and all(k.startswith("file#") for k in keys)
