@@ -5,8 +5,8 @@ Byte ends that both tokenizers share cut their tokens into groups; the two token
 often a pair of ids is linked in the whole corpus tells which partner is an id's usual one.
 
 Texts are worked on in chunks of several million bytes. A chunk knows its distinct pairs, so a pair travels once per
-chunk and not once per link: to the corpus-wide counts, and back with them. What a text then says of its links
-is looked up inside its chunk, and measures go to the documents by the text's SHA-256.
+chunk and not once per link: to the corpus-wide counts, and then, packed, to buckets of counted pairs that answer. What
+a text then says of its links is looked up inside its chunk, and measures go to the documents by the text's SHA-256.
 
 Long texts are tokenised in segments, cut before a single space between ASCII letters: neither tokenizer joins tokens
 over such a place (a piece has the space's mark at its start only, or nothing but marks; `Tokenizers` looks).
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from tablewright.llm.base import Scratch, query, quoted, table
+from tablewright.llm.chunks import pack, unpack
 from tablewright.llm.kernels import held
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -42,6 +43,7 @@ MARK = "▁"
 CHUNK_BYTES = 16 << 20
 BATCH_BYTES = 1 << 20
 SEGMENT = 1 << 18
+PAIRS_PER_BUCKET = 1 << 10
 BETWEEN_WORDS = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 LONG_GAP = re.compile(r"\s{50000}")
 
@@ -243,16 +245,70 @@ def chunks_of(texts: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     return texts.mapInArrow(aligned, CHUNK)
 
 
-def measured(chunks: DataFrame) -> DataFrame:
-    """Measures of each text; chunks come with `counts` and `best`, in the order of their pairs."""
+def bucket_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    return (pairs % buckets).astype(np.int32)
+
+
+def questions_of(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Of each chunk its distinct pairs, a row per bucket."""
+
+    def asked(batches):
+        for batch in batches:
+            for chunk, pairs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pairs = pairs.values.to_numpy()
+                mine = bucket_of(pairs, buckets)
+                order = np.argsort(mine, kind="stable")
+                found, first = np.unique(mine[order], return_index=True)
+                bodies = [pack(x) for x in np.split(pairs[order], first[1:])] if len(found) else []
+                yield pa.record_batch(
+                    [pa.array(found, pa.int32()), pa.array([chunk] * len(found), pa.string()), pa.array(bodies, pa.binary())], names=["bucket", "chunk", "body"]
+                )
+
+    return chunks.select("chunk", "pairs").mapInArrow(asked, "bucket int, chunk string, body binary")
+
+
+def answers_to(questions: DataFrame, pairs: DataFrame, buckets: int, partitions: int) -> DataFrame:
+    """chunk, answers: counts and best of what each chunk asked, by bucket. A bucket's known pairs come before its questions."""
+
+    def answered(batches):
+        bucket, parts, known = None, [], None
+        for batch in batches:
+            of, pair, count, best = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
+            asking = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | asking[1:] | asking[:-1], [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if of[a] != bucket:
+                    bucket, parts, known = int(of[a]), [], None
+                if not asking[a]:
+                    parts.append((pair[a:b].astype(np.int64), count[a:b].astype(np.int64), best[a:b].astype(bool)))
+                    continue
+                if known is None:
+                    known, parts = [np.concatenate(x) for x in zip(*parts)], []
+                at = np.searchsorted(known[0], unpack(batch.column(5)[a].as_py())[0])
+                body = pack(known[1][at], known[2][at].view(np.int8))
+                yield pa.record_batch([batch.column(1).slice(a, 1), batch.column(0).slice(a, 1), pa.array([body], pa.binary())], names=["chunk", "bucket", "body"])
+
+    told = pairs.select(F.expr(f"cast(pair % {buckets} AS int)").alias("bucket"), F.lit(None).cast("string").alias("chunk"), "pair", "count", "best", F.lit(None).cast("binary").alias("body"))
+    asked = questions.select("bucket", "chunk", *[F.lit(None).cast(k).alias(n) for n, k in (("pair", "long"), ("count", "long"), ("best", "boolean"))], "body")
+    rows = told.unionByName(asked).repartition(partitions, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk"), "pair")
+    rows = rows.mapInArrow(answered, "chunk string, bucket int, body binary")
+    return rows.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias("answers"))  # a chunk's own pairs, packed
+
+
+def measured(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Measures of each text of chunks with their answers."""
 
     def looked_up(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                texts, begin, at, times, counts, best = (batch.column(batch.schema.get_field_index(x))[k].values for x in ("texts", "begin", "pair_at", "times", "counts", "best"))
-                begin, at, times = begin.to_numpy(), at.to_numpy(), times.to_numpy().astype(np.int64)
-                counts, best = counts.to_numpy(), best.to_numpy(zero_copy_only=False)
-                until = [np.concatenate(([0], np.cumsum(times * values[at]))) for values in (best.astype(np.int64), counts)]
+                texts, begin, at, times, pairs = (batch.column(batch.schema.get_field_index(x))[k].values for x in ("texts", "begin", "pair_at", "times", "pairs"))
+                begin, at, times, pairs = begin.to_numpy(), at.to_numpy(), times.to_numpy().astype(np.int64), pairs.to_numpy()
+                counts, best, mine = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), bucket_of(pairs, buckets)
+                order = np.argsort(mine, kind="stable")
+                for answer in batch.column(batch.schema.get_field_index("answers"))[k].as_py() or []:
+                    low, high = np.searchsorted(mine[order], (answer["bucket"], answer["bucket"] + 1))
+                    counts[order[low:high]], best[order[low:high]] = unpack(answer["body"])
+                until = [np.concatenate(([0], np.cumsum(times * values[at]))) for values in (best, counts)]
                 n_best, count_sum = ((x[begin[1:]] - x[begin[:-1]]) for x in until)
                 whole = [texts.field(x).cast(pa.int64()) for x in ("n_a", "n_b", "n_groups", "n_links")]
                 yield pa.record_batch(
@@ -288,13 +344,11 @@ def align_documents(
         distinct = rows.where("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
         chunks = scratch.write(chunks_of(distinct, byte_path, piece_path), "chunks")
         pairs = scratch.keep(pair_counts(chunks), "pairs")
-        asked = chunks.select("chunk", F.posexplode("pairs").alias("at", "pair"))
-        answers = asked.join(pairs.hint("merge"), "pair").groupBy("chunk").agg(
-            F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("answers")  # as many as the chunk has pairs
-        )
-        ready = chunks.drop("pairs", "weights").join(answers.hint("merge"), "chunk", "left")
-        ready = ready.withColumn("counts", F.expr("coalesce(answers.count, array())")).withColumn("best", F.expr("coalesce(answers.best, array())"))
-        measures = scratch.write(measured(ready.drop("answers")), "measures")
+        buckets = 2 * (pairs.count() // (2 * PAIRS_PER_BUCKET)) + 1
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        answers = scratch.write(answers_to(questions_of(chunks, buckets), pairs, buckets, partitions), "answers")
+        ready = chunks.drop("weights").join(answers.hint("merge"), "chunk", "left")
+        measures = scratch.write(measured(ready, buckets), "measures")
         digests = rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
         found = digests.join(measures.hint("merge"), "digest", "left").drop("digest")
         counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]

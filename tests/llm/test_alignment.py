@@ -78,6 +78,7 @@ def test_odd_texts(spark, monkeypatch, chunk):
     expected, counts = plain(rows)
     monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(alignment, "BATCH_BYTES", 1 + chunk // 3)
+    monkeypatch.setattr(alignment, "PAIRS_PER_BUCKET", 4 if chunk < 1000 else 1 << 14)
     df = spark.createDataFrame([(*r, "x", 1, [1], 0.5) for r in rows], SCHEMA).repartition(3)
     found = alignment.align_documents(df)
     assert rows_of(found) == expected
