@@ -1,13 +1,14 @@
-"""Exact quantiles of many columns without sorting and without a value map on one reducer.
+"""Exact quantiles of many columns by radix selection: no sort, no sketch and no value map on one reducer.
 
-Spark's `percentile` gathers every distinct value of a column in one task. Here each wanted order
-statistic is bracketed by a mergeable sketch (`percentile_approx`), the brackets are verified by
-exact counts, and only the values strictly inside a bracket are looked at again. A round keeps
-about 1/80 of the values, so 10^12 rows need five rounds. The driver receives one row per round.
+Spark's `percentile` gathers every distinct value of a column in one task. Here a round counts the values of each
+column by a digit that grows with the value, and only the digit that holds a wanted rank is looked at again. The
+first digit is sign and binary exponent, further digits cut what is between the least and the largest value of
+the digit before into DIGITS equal parts. Values with one exponent have at most 2**52 places, so five further rounds
+leave a single value; most columns need one or two.
 
-All tasks' sketches of a pass meet in one task, so they are coarse: ACCURACY entries of at most 24 bytes are under
-five kilobytes per task and column, and a pass has at most COLUMNS_PER_PASS columns. More rounds cost less
-than finer sketches, since each of them reads a column or two and sends a few kilobytes per task.
+Counts are keyed by (column, digit) and combined before the shuffle: a task sends at most MOST_DIGITS rows of five
+numbers per column and interval, to all reducers. The driver receives what is left of these counts, a table of the same
+bound, whatever the number of rows and tasks.
 """
 
 from __future__ import annotations
@@ -16,24 +17,25 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.columns import double_sql, number_literal, require_numeric
 
-# Rank error of the sketch is 1/ACCURACY of its input; the margin covers it on both sides.
-ACCURACY = 200
-MARGIN = 1.2 / ACCURACY
+# Parts of an interval in every round but the first; the first has an exponent (of 2,100) and a sign, or zero.
+DIGITS = 4096
+LEAST_EXPONENT, MOST_EXPONENT = -1075, 1025
+MOST_DIGITS = 2 * (MOST_EXPONENT - LEAST_EXPONENT + 1) + 1
 
-# Columns whose sketches are made in one pass.
+# Columns that are counted in one pass.
 COLUMNS_PER_PASS = 16
 
-# A bracket with at most this many values is finished by grouping and ordering its values.
-BRACKET_LIMIT = 20_000
+# An interval with at most this many values is finished by counting its values one by one.
+INTERVAL_LIMIT = 20_000
 
 
 @dataclass
 class OrderStatistic:
-    """The value of 0-based `rank` in a column, known to lie strictly between `low` and `high`."""
+    """The value of 0-based `rank` in a column, known to be one of the `inside` values from `low` to `high`."""
 
     name: str
     rank: int
@@ -67,25 +69,24 @@ def _ranks(n: int, probability: float) -> tuple[int, int, float]:
     return lower, math.ceil(position), position
 
 
-def _within(value: str, low: float | None, high: float | None) -> str:
-    tests = [f"{value} IS NOT NULL"]
-    if low is not None:
-        tests.append(f"{value} > {number_literal(low)}")
-    if high is not None:
-        tests.append(f"{value} < {number_literal(high)}")
-    return f"({' AND '.join(tests)})"
+def _first_digit(value: str) -> str:
+    """Grows with the value: sign and exponent. Neither the logarithm nor rounding turns two values round."""
+    exponent = f"CAST(floor(least(log2(abs({value})), {MOST_EXPONENT}D)) AS INT) - {LEAST_EXPONENT - 1}"
+    return f"CASE WHEN {value} > 0 THEN {exponent} WHEN {value} < 0 THEN -({exponent}) ELSE 0 END"
 
 
-def _sketch_sql(value: str, probes: Sequence[float]) -> str:
-    return f"percentile_approx({value}, array({', '.join(map(number_literal, probes))}), {ACCURACY})"
+def _next_digit(value: str, low: float, high: float) -> str:
+    """Grows with the value, for values from low to high, which have one exponent."""
+    first, last = number_literal(low), number_literal(high)
+    return f"CAST(least(floor(({value} - {first}) / ({last} - {first}) * {DIGITS}), {DIGITS - 1}) AS INT)"
 
 
-def _probes(centre: float) -> list[float]:
-    return [max(0.0, centre - MARGIN), min(1.0, centre + MARGIN)]
+def _within(value: str, low: float, high: float) -> str:
+    return f"({value} >= {number_literal(low)} AND {value} <= {number_literal(high)})"
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], bracket_limit: int = BRACKET_LIMIT
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], interval_limit: int = INTERVAL_LIMIT
 ) -> Quantiles:
     """Linearly interpolated quantiles of the non-missing values of each numeric column."""
     if not wanted:
@@ -93,7 +94,7 @@ def exact_quantiles(
     if len(wanted) > COLUMNS_PER_PASS:
         names, result = list(wanted), Quantiles()
         for start in range(0, len(names), COLUMNS_PER_PASS):
-            part = exact_quantiles(df, {n: wanted[n] for n in names[start : start + COLUMNS_PER_PASS]}, bracket_limit)
+            part = exact_quantiles(df, {n: wanted[n] for n in names[start : start + COLUMNS_PER_PASS]}, interval_limit)
             result.counts |= part.counts
             result.values |= part.values
         return result
@@ -102,34 +103,28 @@ def exact_quantiles(
     )
     columns = {name: f"v{i}" for i, name in enumerate(wanted)}
 
-    sketches = [
-        f"{_sketch_sql(columns[name], [p for q in wanted[name] for p in _probes(q)])} AS s{i}"
-        for i, name in enumerate(wanted)
-    ]
-    first = narrow.selectExpr(*[f"count(v{i}) AS n{i}" for i in range(len(wanted))], *sketches).first()
-
+    first = _counted(narrow, [(f"{v} IS NOT NULL", v, _first_digit(v)) for v in columns.values()])
     result = Quantiles()
     statistics: dict[tuple[str, int], OrderStatistic] = {}
-    brackets: dict[tuple[str, int], tuple[float, float]] = {}
-    for i, name in enumerate(wanted):
-        n = first[f"n{i}"]
+    for digits, name in zip(first, wanted):
+        n = sum(d[1] for d in digits)
         result.counts[name] = n
-        if n == 0:
-            continue
-        for j, probability in enumerate(wanted[name]):
-            lower, upper, _ = _ranks(n, probability)
-            for rank in (lower, upper):
-                key = (name, rank)
-                statistics[key] = OrderStatistic(name, rank, 0, n)
-                brackets[key] = (first[f"s{i}"][2 * j], first[f"s{i}"][2 * j + 1])
-
-    open_ = [s for s in statistics.values() if s.inside > bracket_limit]
-    while open_:
-        _verify(narrow, columns, open_, brackets)
-        open_ = [s for s in open_ if not s.solved and s.inside > bracket_limit]
-        if open_:
-            _sketch(narrow, columns, open_, brackets)
-    _finish(narrow, columns, [s for s in statistics.values() if not s.solved])
+        for probability in wanted[name] if n else ():
+            for rank in _ranks(n, probability)[:2]:
+                statistics[(name, rank)] = OrderStatistic(name, rank, 0, n)
+                _narrow(statistics[(name, rank)], digits)
+
+    while open_ := [s for s in statistics.values() if not s.solved and s.inside > interval_limit]:
+        intervals = sorted({s.interval for s in open_})
+        cases = [(_within(columns[name], low, high), columns[name], _next_digit(columns[name], low, high)) for name, low, high in intervals]
+        counted = dict(zip(intervals, _counted(narrow, cases)))
+        for s in open_:
+            _narrow(s, counted[s.interval])
+    left = [s for s in statistics.values() if not s.solved]
+    intervals = sorted({s.interval for s in left})
+    counted = dict(zip(intervals, _counted(narrow, [(_within(columns[name], low, high), columns[name], columns[name]) for name, low, high in intervals])))
+    for s in left:
+        _narrow(s, counted[s.interval])
 
     for name in wanted:
         n = result.counts[name]
@@ -144,101 +139,27 @@ def exact_quantiles(
     return result
 
 
-def _verify(
-    narrow: DataFrame,
-    columns: dict[str, str],
-    open_: list[OrderStatistic],
-    brackets: dict[tuple[str, int], tuple[float, float]],
-) -> None:
-    """Count exactly around each bracket, then solve the statistic or shrink its interval."""
-    cases = sorted({(*s.interval, *brackets[(s.name, s.rank)]) for s in open_}, key=str)
-    counts = []
-    for i, (name, low, high, left, right) in enumerate(cases):
-        value, inside = columns[name], _within(columns[name], low, high)
-        first, last = number_literal(left), number_literal(right)
-        counts += [
-            f"count_if({inside} AND {value} < {first}) AS below{i}",
-            f"count_if({inside} AND {value} = {first}) AS left{i}",
-            f"count_if({inside} AND {value} > {first} AND {value} < {last}) AS inside{i}",
-            f"count_if({inside} AND {value} = {last} AND {value} <> {first}) AS right{i}",
-        ]
-    row = _inside_any(narrow, columns, open_).selectExpr(*counts).first()
-    index = {case: i for i, case in enumerate(cases)}
-    for s in open_:
-        left, right = brackets[(s.name, s.rank)]
-        i = index[(*s.interval, left, right)]
-        below, at_left, inside, at_right = (row[f"{k}{i}"] for k in ("below", "left", "inside", "right"))
-        rank = s.rank - s.below
-        if rank < below:
-            s.high, s.inside = left, below
-        elif rank < below + at_left:
-            s.solve(left)
-        elif rank < below + at_left + inside:
-            s.low, s.high, s.below, s.inside = left, right, s.below + below + at_left, inside
-        elif rank < below + at_left + inside + at_right:
-            s.solve(right)
-        else:
-            passed = below + at_left + inside + at_right
-            s.low, s.below, s.inside = right, s.below + passed, s.inside - passed
-
-
-def _inside_any(narrow: DataFrame, columns: dict[str, str], open_: list[OrderStatistic]) -> DataFrame:
-    if any(s.low is None and s.high is None for s in open_):
-        return narrow
-    intervals = sorted({s.interval for s in open_}, key=str)
-    return narrow.filter(" OR ".join(_within(columns[name], low, high) for name, low, high in intervals))
-
-
-def _sketch(
-    narrow: DataFrame,
-    columns: dict[str, str],
-    open_: list[OrderStatistic],
-    brackets: dict[tuple[str, int], tuple[float, float]],
-) -> None:
-    """Bracket each open statistic again, among the values strictly inside its interval."""
-    by_interval: dict[tuple, list[OrderStatistic]] = {}
-    for s in open_:
-        by_interval.setdefault(s.interval, []).append(s)
-    sketches = []
-    for i, (interval, members) in enumerate(by_interval.items()):
-        value = columns[interval[0]]
-        probes = [p for s in members for p in _probes((s.rank - s.below + 0.5) / s.inside)]
-        inside = f"IF({_within(value, *interval[1:])}, {value}, NULL)"
-        sketches.append(f"{_sketch_sql(inside, probes)} AS s{i}")
-    row = _inside_any(narrow, columns, open_).selectExpr(*sketches).first()
-    for i, members in enumerate(by_interval.values()):
-        for j, s in enumerate(members):
-            brackets[(s.name, s.rank)] = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
-
-
-def _finish(narrow: DataFrame, columns: dict[str, str], left: list[OrderStatistic]) -> None:
-    """Read the remaining statistics off the value counts of their (bounded) intervals."""
-    if not left:
-        return
-    intervals = sorted({s.interval for s in left}, key=str)
-    ranks = [
-        sorted({s.rank - s.below for s in left if s.interval == interval}) for interval in intervals
-    ]
-    candidates = ", ".join(
-        f"IF({_within(columns[name], low, high)}, struct({i} AS interval, {columns[name]} AS value), NULL)"
-        for i, (name, low, high) in enumerate(intervals)
+def _counted(narrow: DataFrame, cases: Sequence[tuple[str, str, str]]) -> list[list[tuple[float, int, float, float]]]:
+    """For each case (condition, value, digit): digit, count, least and largest value of each digit, in order."""
+    if not cases:
+        return []
+    structs = ", ".join(f"IF({test}, struct({i} AS number, {digit} AS digit, {value} AS value), NULL)" for i, (test, value, digit) in enumerate(cases))
+    rows = narrow.filter(" OR ".join(test for test, _, _ in cases)).selectExpr(f"inline(array_compact(array({structs})))")
+    found = rows.groupBy("number", "digit").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    by_interval = Window.partitionBy("interval").orderBy("value")
-    running = (
-        _inside_any(narrow, columns, left)
-        .selectExpr(f"inline(array_compact(array({candidates})))")
-        .groupBy("interval", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(by_interval))
-    )
-    wanted = ", ".join(f"array({', '.join(map(str, rs))})" for rs in ranks)
-    hits = running.filter(
-        f"exists(array({wanted})[interval], rank -> rank >= upto - n AND rank < upto)"
-    ).collect()
-    index = {interval: i for i, interval in enumerate(intervals)}
-    for s in left:
-        i, rank = index[s.interval], s.rank - s.below
-        for hit in hits:
-            if hit["interval"] == i and hit["upto"] - hit["n"] <= rank < hit["upto"]:
-                s.solve(hit["value"])
-                break
+    out: list[list[tuple[float, int, float, float]]] = [[] for _ in cases]
+    for row in found.collect():
+        out[row["number"]].append((row["digit"], row["n"], row["low"], row["high"]))
+    return [sorted(digits) for digits in out]
+
+
+def _narrow(s: OrderStatistic, digits: Sequence[tuple[float, int, float, float]]) -> None:
+    """Go on with the digit that holds the rank."""
+    for _, n, low, high in digits:
+        if s.rank < s.below + n:
+            s.inside, s.low, s.high = n, low, high
+            if low == high:
+                s.solve(low)
+            return
+        s.below += n

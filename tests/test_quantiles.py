@@ -27,11 +27,11 @@ def table(spark):
     return data, spark.createDataFrame(data.sample(frac=1, random_state=1)).repartition(7)
 
 
-@pytest.mark.parametrize("bracket_limit", [1_000_000, 500, 3])
-def test_equal_to_pandas_however_small_the_brackets(table, bracket_limit):
+@pytest.mark.parametrize("interval_limit", [1_000_000, 500, 3])
+def test_equal_to_pandas_however_small_the_intervals(table, interval_limit):
     data, df = table
     names = list(data.columns)
-    found = exact_quantiles(df, {n: SHARES for n in names}, bracket_limit)
+    found = exact_quantiles(df, {n: SHARES for n in names}, interval_limit)
     for name in names:
         expected = data[name].astype("float64").quantile(SHARES)
         for share in SHARES:
@@ -53,9 +53,48 @@ def test_text_is_rejected(spark):
         exact_quantiles(spark.createDataFrame([("a",)], "x string"), {"x": [0.5]})
 
 
-def test_passes_have_few_columns_and_small_sketches(spark, monkeypatch):
+def test_passes_have_few_columns(spark, monkeypatch):
     df = spark.range(1000).selectExpr(*[f"CAST(id * {k + 1} AS DOUBLE) AS c{k}" for k in range(5)])
     whole = exact_quantiles(df, {f"c{k}": [0.3] for k in range(5)})
     monkeypatch.setattr(quantiles, "COLUMNS_PER_PASS", 2)
     assert exact_quantiles(df, {f"c{k}": [0.3] for k in range(5)}) == whole
-    assert quantiles.ACCURACY * 24 < 5000
+
+
+def test_rounds_and_rows_are_bounded(spark, monkeypatch):
+    """Six rounds at most without an early finish, and no more digits than stated: what a task can send per column."""
+    rng = np.random.default_rng(11)
+    n = 6000
+    data = pd.DataFrame({
+        "all_exponents": np.ldexp(rng.uniform(1, 2, n), rng.integers(-1074, 1024, n)) * rng.choice([-1, 1], n),
+        "one_exponent": 1 + rng.integers(0, 2**20, n) * 2.0**-52,
+        "neighbours": np.frombuffer((np.float64(1e300).view(np.int64) + rng.integers(0, 3, n)).tobytes()),
+        "tiny": rng.integers(0, 5, n) * 5e-324,
+        "ends": np.where(rng.random(n) < 0.3, -np.inf, np.where(rng.random(n) < 0.5, np.inf, rng.normal(size=n))),
+    })
+    rounds = []
+    counted = quantiles._counted
+
+    def noted(narrow, cases):
+        found = counted(narrow, cases)
+        rounds.append(max((len(digits) for digits in found), default=0))
+        return found
+
+    monkeypatch.setattr(quantiles, "_counted", noted)
+    shares = [0.1, 0.37, 0.5, 0.9]
+    df = spark.createDataFrame(data).repartition(4)
+    found = exact_quantiles(df, {name: shares for name in data}, interval_limit=0)
+    assert len(rounds) <= 7 and rounds[-1] == 0 and max(rounds) <= quantiles.MOST_DIGITS
+    for name in data:
+        ordered = np.sort(data[name].to_numpy())
+        for share in shares:
+            position = (n - 1) * share
+            low, high = ordered[int(np.floor(position))], ordered[int(np.ceil(position))]
+            value = found.value(name, share)
+            assert value == low if low == high else low <= value <= high
+
+
+def test_counts_combine_before_the_shuffle(spark):
+    df = spark.range(100).selectExpr("CAST(id AS DOUBLE) AS v0")
+    rows = df.selectExpr(f"inline(array(struct(0 AS number, {quantiles._first_digit('v0')} AS digit, v0 AS value)))")
+    plan = rows.groupBy("number", "digit").count()._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "hashpartitioning(number" in plan and "SinglePartition" not in plan
