@@ -1,9 +1,11 @@
 """Row order at scale: positions, fills and interpolation without a single-partition sort.
 
-A window without `partitionBy` sorts the whole table in one task. Here the (unique) order key is
-cut into ranges by split points from a bounded sample of whole keys, so a repeated leading column
-is split by the columns after it. Each range is sorted on its own; a table with one row per range
-carries positions and fill values across ranges and is broadcast (at most MAX_RANGES rows).
+A window without `partitionBy` sorts the whole table in one task. Here the order key and, behind it, a digest of the
+row are cut into ranges by split points from a bounded sample. So a repeated leading column is split by the columns
+after it, and a repeated key by the rows that have it: their order is fixed by what they hold, not by where they
+lie. Only rows that are equal in all columns stay together, and any order of these is the same table. Each range
+is sorted on its own. Positions and numbers go across ranges in a table with one row per range (at most
+MAX_RANGES), which is broadcast; values to be filled, which may be long, are joined from the range they come from.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.columns import (
     as_double, by_position, column, field_of, missing_sql, positions, present, present_sql, quoted, require_columns, require_numeric,
@@ -23,9 +25,24 @@ MAX_RANGES = 32_768
 SAMPLE_PER_RANGE = 16
 
 RANGE = "_order_range"
+TIE = "_order_tie"
 POSITION = "_row_pos"
 
 
+def _has_map(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return _has_map(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return any(_has_map(f.dataType) for f in data_type.fields)
+    return isinstance(data_type, T.MapType)
+
+
+def with_tie(df: DataFrame) -> DataFrame:
+    """Add a digest of the row (of its columns without maps, which have no order), the last part of every order key."""
+    names = [quoted(f.name) for f in df.schema.fields if not _has_map(f.dataType)]
+    return df.selectExpr("*", f"{f'xxhash64({', '.join(names)})' if names else '0L'} AS {TIE}")
+
+
 def _split_points(df: DataFrame, order_by: Sequence[str], rows_per_range: int) -> DataFrame | None:
     """Ascending keys that cut the table into ranges of about `rows_per_range` rows, as a small table."""
     keys = df.select(*[column(name) for name in order_by])
@@ -46,9 +63,12 @@ def with_ranges(
 ) -> DataFrame | None:
     """Add the ordinal of the key range of each row, a pure function of the row's key.
 
-    None if the table is counted to be small enough to be one range.
+    The key ends in the row's digest, which is added too. None if the table is counted to be small enough to be one range.
     """
     require_columns(df, order_by)
+    if TIE not in df.columns:
+        df = with_tie(df)
+    order_by = [*(name for name in order_by if name != TIE), TIE]
     points = _split_points(df, order_by, rows_per_range)
     if points is None:
         return None
@@ -86,10 +106,10 @@ def _across(backwards: bool = False):
 def with_position(
     df: DataFrame, order_by: Sequence[str], name: str = POSITION, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """Add the 0-based position of each row in the order of the (unique) key."""
+    """Add the 0-based position of each row in the order of the key; rows with one key follow one another by their digests."""
     require_columns(df, order_by)
     plain = by_position(df)
-    placed = _with_position(plain, positions(df, order_by), POSITION, rows_per_range)
+    placed = _with_position(with_tie(plain), [*positions(df, order_by), TIE], POSITION, rows_per_range)
     kept = [plain_name for plain_name, c in zip(plain.columns, df.columns) if c != name]
     return placed.select(*kept, POSITION).toDF(*[c for c in df.columns if c != name], name)
 
@@ -112,13 +132,7 @@ def _with_position(df: DataFrame, order_by: Sequence[str], name: str, rows_per_r
 def _edge(order_by: Sequence[str], value: Column, last: bool) -> Column:
     """Value of the first or last row of the group (by key) in which it is not null."""
     by = F.max_by if last else F.min_by
-    if len(order_by) > 1:
-        return by(value, F.when(value.isNotNull(), F.struct(*[column(n) for n in order_by])))
-    # A single key stays out of a struct, which keeps the aggregate hash-based; null keys come first.
-    key = column(order_by[0])
-    keyed = by(value, F.when(value.isNotNull(), key))
-    keyless = F.max(F.when(key.isNull(), value))
-    return F.coalesce(keyed, keyless) if last else F.coalesce(keyless, keyed)
+    return by(value, F.when(value.isNotNull(), F.struct(*[column(n) for n in order_by])))
 
 
 def _filled(
@@ -131,7 +145,7 @@ def _filled(
         raise ValueError(f"{name!r} orders the rows, so it cannot be filled by that order")
     require_columns(df, partition_by)
     keys = positions(df, partition_by)
-    names, df, name, order_by = df.columns, by_position(df), *positions(df, [name]), keys + positions(df, order_by)
+    names, df, name, order_by = df.columns, with_tie(by_position(df)), *positions(df, [name]), [*keys, *positions(df, order_by), TIE]
     value = present(field_of(df, name))
     if keys:
         # Groups follow one another in the order; a value goes on with its group's key and stops where that changes.
@@ -142,16 +156,19 @@ def _filled(
         if keys:
             same = reduce(lambda a, b: a & b, [treated[k].eqNullSafe(F.col(k)) for k in keys])
             treated = F.when(same, treated["value"])
-        return table.select(*[treated.alias(name) if c == name else column(c) for c in df.columns]).toDF(*names)
+        return table.select(*[treated.alias(name) if c == name else column(c) for c in df.columns if c != TIE]).toDF(*names)
 
     if ranged is None:
         return replaced(df, F.last(value, ignorenulls=True).over(_running(_window(order_by, backwards, False))))
-    carried = (
-        ranged.groupBy(RANGE).agg(_edge(order_by, value, last=not backwards).alias("_edge"))
-        .select(RANGE, F.last("_edge", ignorenulls=True).over(_across(backwards)).alias("_carry"))
+    edges = ranged.groupBy(RANGE).agg(_edge(order_by, value, last=not backwards).alias("_edge"))
+    # Which range a value comes from is found over all ranges; the value itself is joined from there.
+    source = F.last(F.when(F.col("_edge").isNotNull(), F.col(RANGE)), ignorenulls=True).over(_across(backwards))
+    carried = edges.select(RANGE, source.alias("_source")).join(
+        edges.select(F.col(RANGE).alias("_source"), F.col("_edge").alias("_carry")).hint("merge"), "_source", "left"
     )
     local = F.last(value, ignorenulls=True).over(_running(_window(order_by, backwards)))
-    filled = ranged.withColumn("_local", local).join(F.broadcast(carried), RANGE)
+    # The rows are dealt by range already: only the table of ranges moves.
+    filled = ranged.withColumn("_local", local).join(carried.hint("merge"), RANGE)
     return replaced(filled, F.coalesce(F.col("_local"), F.col("_carry")))
 
 
@@ -186,7 +203,7 @@ def interpolate(
     require_columns(df, order_by)
     if name in order_by:
         raise ValueError(f"{name!r} orders the rows, so it cannot be filled by that order")
-    names, df, name, order_by = df.columns, by_position(df), *positions(df, [name]), positions(df, order_by)
+    names, df, name, order_by = df.columns, with_tie(by_position(df)), *positions(df, [name]), [*positions(df, order_by), TIE]
     value = as_double(field_of(df, name))
     ranged = with_ranges(df, order_by, rows_per_range)
     many = ranged is not None
@@ -194,11 +211,9 @@ def interpolate(
     placed = (ranged if many else df).withColumn(
         "_at", F.row_number().over(_window(order_by, ranged=many)).cast("bigint")
     )
-    local = placed.withColumns(
-        {
-            "_before": F.last(known, ignorenulls=True).over(_running(_window(order_by, ranged=many))),
-            "_after": F.last(known, ignorenulls=True).over(_running(_window(order_by, True, many))),
-        }
+    # Backwards by place, not by key: equal rows have to come in the opposite order, too.
+    local = placed.withColumn("_before", F.last(known, ignorenulls=True).over(_running(_window(order_by, ranged=many)))).withColumn(
+        "_after", F.last(known, ignorenulls=True).over(_running(_window(["_at"], True, many)))
     )
     if many:
         joined = local.join(F.broadcast(_neighbours_across(placed, value)), RANGE)
@@ -216,7 +231,7 @@ def interpolate(
         .when(after.isNull(), before["value"])
         .otherwise(between)
     )
-    return joined.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns]).toDF(*names)
+    return joined.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns if c != TIE]).toDF(*names)
 
 
 def _neighbours_across(placed: DataFrame, value: Column) -> DataFrame:

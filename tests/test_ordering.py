@@ -84,3 +84,37 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, x double")
     for fill in (ordering.forward_fill, ordering.backward_fill, ordering.interpolate):
         assert fill(df, "x", ["id"]).count() == 0
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """20,000 rows, of which three in four have one order key; long texts; some rows are equal."""
+    return spark.range(20_000).selectExpr(
+        "IF(id % 4 = 0, id, 7) AS k", "id DIV 2 AS n", "IF(xxhash64(id DIV 2) % 3 = 0, NULL, (id DIV 2) * 0.5D) AS x",
+        "IF(xxhash64(id DIV 2) % 3 = 1, NULL, concat(repeat('long text ', 40), id DIV 2)) AS word", "map('a', 1) AS m",
+    )
+
+
+def test_a_hot_key_is_cut_and_its_order_is_fixed(spark, hot):
+    sizes = ordering.with_ranges(hot, ["k"], 1000).groupBy(ordering.RANGE).count()
+    assert sizes.agg(F.max("count")).first()[0] < 3000 and sizes.count() > 12
+    results = {}
+    for partitions in (2, 3, 11):
+        dealt = hot.repartition(partitions, F.rand(partitions))
+        for fill, name in ((ordering.forward_fill, "x"), (ordering.backward_fill, "word"), (ordering.interpolate, "x"), (ordering.forward_fill, "word")):
+            for size in (1000, 10**6):
+                out = fill(dealt, name, ["k"], size)
+                digest = out.selectExpr(f"sum(CAST(xxhash64(k, n, {name}) AS DECIMAL(38, 0))) AS s", "count(1) AS n").first()
+                results.setdefault((fill.__name__, name), set()).add(tuple(digest))
+        placed = ordering.with_position(dealt, ["k"], "pos", 1000)
+        assert placed.agg(F.count_distinct("pos"), F.max("pos")).first() == (20_000, 19_999)
+        results.setdefault("position", set()).add(placed.selectExpr("sum(CAST(xxhash64(k, n, x) AS DECIMAL(38, 0)) * (pos + 1)) AS s").first()[0])
+    assert all(len(found) == 1 for found in results.values()), results
+
+
+def test_long_values_are_carried_without_a_broadcast(hot):
+    text = ordering.forward_fill(hot, "word", ["k"], 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text
+    # The rows are exchanged once, by range; the other exchanges have a row per range.
+    rows = [x for x in text.split("\n") if "Exchange hashpartitioning(_order_range" in x]
+    assert rows and "SinglePartition" in text
