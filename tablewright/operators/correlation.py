@@ -1,24 +1,38 @@
-"""Pairwise Pearson correlation of numeric columns, each pair over its complete rows."""
+"""Pairwise Pearson correlation of numeric columns, each pair over its complete rows.
+
+One scan of the centred columns gives the sums of all pairs: a task multiplies blocks of rows (values by values, values by
+masks, squares by masks) and hands on one row per pair, so 200 columns cost as many scans as two. Python meets
+the rows in Arrow batches only; a row of the result is made by Spark from sums that are keyed by pair.
+"""
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.columns import double_sql, field_of, number_literal, numeric_columns, text_literal
-from tablewright.operators.facts import inline_rows
 from tablewright.operators.tables import empty_table
 
-# Pairs per aggregate pass: keeps generated code small on wide tables.
-PAIRS_PER_PASS = 100
+# Tasks get this module by value: executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: strength above which a pair is reported.
 STRONG = 0.7
 
+ROWS_AT_ONCE = 4096
+
+# Of a pair (a, b): complete rows, sums, sums of squares and products over them, infinite values, least and largest value.
+SUMS = ("n", "sum_a", "sum_b", "squares_a", "squares_b", "product", "infinite")
+EDGES = ("low_a", "low_b", "high_a", "high_b")
+PAIR_ROW = "a int, b int, " + ", ".join(f"{x} double" for x in (*SUMS, *EDGES))
+
 
 def _scaled(name: str, largest: float | None) -> str:
     """The value over a power of two near the largest one; a column with infinite values stays as it is."""
@@ -30,13 +44,60 @@ def _scaled(name: str, largest: float | None) -> str:
     return f"{name} * {number_literal(2.0 ** -half)} * {number_literal(2.0 ** -rest)}"
 
 
+class PairSums:
+    """Sums of all pairs of columns over the rows in which both have a value."""
+
+    def __init__(self, count: int):
+        self.sums = np.zeros((len(SUMS), count, count))
+        # Least and largest value of a column where the other one has a value; of no more interest once they differ.
+        self.low, self.high = np.full((count, count), np.inf), np.full((count, count), -np.inf)
+
+    def add(self, values: np.ndarray) -> None:
+        there, endless = ~np.isnan(values), np.isinf(values)
+        plain = np.where(there & ~endless, values, 0.0)
+        mask = there.astype(float)
+        by_mask, squares = plain.T @ mask, (plain * plain).T @ mask
+        infinite = endless.astype(float).T @ mask
+        self.sums += (mask.T @ mask, by_mask, by_mask.T, squares, squares.T, plain.T @ plain, infinite + infinite.T)
+        for b in np.flatnonzero((self.low >= self.high).any(axis=0)):
+            rows = values[there[:, b]]
+            if len(rows):
+                self.low[:, b] = np.fmin(self.low[:, b], np.fmin.reduce(rows, axis=0))
+                self.high[:, b] = np.fmax(self.high[:, b], np.fmax.reduce(rows, axis=0))
+
+    def rows(self) -> pa.RecordBatch:
+        a, b = np.triu_indices(len(self.low))
+        columns = [*(x[a, b] for x in self.sums), self.low[a, b], self.low[b, a], self.high[a, b], self.high[b, a]]
+        return pa.record_batch([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *map(pa.array, columns)], names=["a", "b", *SUMS, *EDGES])
+
+
+def pair_sums(numbers: DataFrame) -> DataFrame:
+    """Sums of all pairs of columns of a table of doubles, from one scan."""
+    count = len(numbers.columns)
+
+    def summed(batches):
+        held = PairSums(count)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                held.add(np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]))
+        yield held.rows()
+
+    # A row of zeros per pair, for tables without partitions.
+    places = f"explode(sequence(0, {count - 1}))"
+    pairs = numbers.sparkSession.range(1).selectExpr(f"{places} AS a").selectExpr("a", f"explode(sequence(a, {count - 1})) AS b")
+    nothing = pairs.selectExpr("a", "b", *[f"0D AS {x}" for x in SUMS], *[f"double('{'' if 'low' in x else '-'}infinity') AS {x}" for x in EDGES])
+    found = numbers.mapInArrow(summed, PAIR_ROW).unionAll(nothing)
+    return found.groupBy("a", "b").agg(
+        *[F.sum(x).alias(x) for x in SUMS], *[(F.min if "low" in x else F.max)(x).alias(x) for x in EDGES]
+    )
+
+
 def _pairs(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """(col_a, col_b, r) for the given pairs of positions in `names`; r is null if a side is constant or
-    holds infinite values.
+    holds infinite values in the rows of the pair.
 
-    A first pass collects counts, ranges and means (one row). Between columns that are complete and
-    not constant, r then needs plain sums of products around the means. Other pairs mask each side by
-    the other, where a constant side gives null.
+    Three scans, whatever the number of columns: largest values, means and spreads (one row each), sums of pairs.
     """
     if not pairs:
         return empty_table(df.sparkSession, "col_a string, col_b string, r double")
@@ -44,41 +105,27 @@ def _pairs(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]
     # Scaled by the largest absolute value first, so that neither squares nor means leave the range of doubles.
     largest = numbers.selectExpr(*[f"max(abs(v{i})) AS v{i}" for i in range(len(names))]).first()
     scaled = numbers.selectExpr(*[f"{_scaled(f'v{i}', largest[i])} AS v{i}" for i in range(len(names))])
-    seen = scaled.selectExpr(
-        *[
-            f"struct(count(v{i}) = count(1) AND min(v{i}) < max(v{i}) AS plain, avg(v{i}) AS mean, "
-            f"stddev_pop(v{i}) AS spread) AS v{i}"
-            for i in range(len(names))
-        ]
-    ).first()
-    centred = scaled.selectExpr(
-        *[
-            f"(v{i} - {number_literal(seen[i]['mean'])}) / {number_literal(seen[i]['spread'])} AS v{i}"
-            if seen[i]["plain"] and seen[i]["spread"] else f"v{i}"
-            for i in range(len(names))
-        ]
+    seen = scaled.selectExpr(*[f"struct(avg(v{i}) AS mean, stddev_pop(v{i}) AS spread) AS v{i}" for i in range(len(names))]).first()
+
+    def centred(i: int) -> str:
+        mean, spread = seen[i]["mean"], seen[i]["spread"]
+        if not spread or not math.isfinite(mean) or not math.isfinite(spread):
+            return f"v{i}"
+        return f"(v{i} - {number_literal(mean)}) / {number_literal(spread)} AS v{i}"
+
+    sums = pair_sums(scaled.selectExpr(*[centred(i) for i in range(len(names))]))
+    if len(pairs) < len(names) * (len(names) + 1) // 2:
+        sums = sums.filter("a <> b")
+    spread = "({1} / n - {0} / n * ({0} / n))"
+    both = f"sqrt({spread.format('sum_a', 'squares_a')} * {spread.format('sum_b', 'squares_b')})"
+    r = f"try_divide(product / n - sum_a / n * (sum_b / n), {both})"
+    r = f"IF(a = b, 1D, nanvl(least(greatest({r}, -1D), 1D), CAST(NULL AS DOUBLE)))"
+    listed = f"array({', '.join(map(text_literal, names))})"
+    return sums.selectExpr(
+        f"{listed}[a] AS col_a", f"{listed}[b] AS col_b",
+        f"IF(n = 0 OR infinite > 0 OR low_a >= high_a OR low_b >= high_b, NULL, {r}) AS r",
     )
 
-    def correlation(a: int, b: int) -> str:
-        if seen[a]["plain"] and seen[b]["plain"]:
-            r = f"try_divide(sum(v{a} * v{b}), sqrt(sum(v{a} * v{a}) * sum(v{b} * v{b})))"
-        else:
-            spread_a = f"stddev_pop(IF(v{b} IS NULL, NULL, v{a}))"
-            spread_b = f"stddev_pop(IF(v{a} IS NULL, NULL, v{b}))"
-            r = f"try_divide(covar_pop(v{a}, v{b}), {spread_a} * {spread_b})"
-        return f"nanvl({r}, CAST(NULL AS DOUBLE))"
-
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        rows = [
-            {"col_a": text_literal(names[a]), "col_b": text_literal(names[b]), "r": f"r{a}_{b}"}
-            for a, b in chunk
-        ]
-        aggregates = [f"{correlation(a, b)} AS r{a}_{b}" for a, b in chunk]
-        parts.append(centred.selectExpr(*aggregates).selectExpr(inline_rows(rows)))
-    return reduce(DataFrame.unionAll, parts)
-
 
 def pair_correlations(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """(col_a, col_b, r) for each pair of different columns, in column order."""

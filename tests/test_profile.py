@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,33 @@ def test_results_do_not_depend_on_partitioning(spark):
     for make in (profile.missing_by_column, cardinality.cardinality, outliers.outlier_bounds, duplicates.duplicate_counts):
         assert rows(make(df.repartition(1))) == rows(make(df.repartition(7)))
     assert not math.isnan(rows(profile.skewness_kurtosis(df))[0]["skewness"])
+
+
+def test_correlation_of_many_columns_is_one_pass_over_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 6))
+    data = base @ rng.normal(size=(6, 200)) + rng.normal(size=(400, 200))
+    data[:, 0] = 3.0
+    data[rng.random(data.shape) < 0.2] = np.nan
+    data[:, 1] = np.where(np.arange(400) < 200, 1e9, np.arange(400) + 1e9)  # constant wherever column 2 has a value
+    data[200:, 2] = np.nan
+    data[7, 3] = np.inf
+    frame = pd.DataFrame(data, columns=[f"c{i}" for i in range(200)])
+    df = spark.createDataFrame(frame).repartition(3)
+    pairs = correlation.pair_correlations(df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("Scan parquet") == 1 and plan.count("MapInArrow") == 1
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in pairs.collect()}
+    assert len(found) == 200 * 199 // 2
+    with np.errstate(all="ignore"):
+        expected = frame.drop(columns="c3").corr()
+    for (a, b), r in found.items():
+        if "c0" in (a, b) or "c3" in (a, b) or {a, b} == {"c1", "c2"}:
+            assert r is None or "c3" in (a, b) and pd.isna(frame[b if a == "c3" else a][7]), (a, b)
+        else:
+            assert r == pytest.approx(expected.loc[a, b], abs=1e-9), (a, b)
+
+
+def test_correlation_of_an_empty_table(spark):
+    rows = correlation.correlation_matrix(spark.createDataFrame([], "a double, b int, c string")).collect()
+    assert sorted((r["col_a"], r["col_b"], r["r"]) for r in rows) == [("a", "a", None), ("a", "b", None), ("b", "a", None), ("b", "b", None)]
