@@ -2,6 +2,10 @@
 
 Missing values are equal to each other. All grouping is by keyed aggregation with map-side
 combining, so a group holding a third of the table costs one row per task in the shuffle.
+
+Keys of unbounded length are counted by a 64-bit hash first. The hashes that repeat are stored once and become a bit
+filter, which drops rows without an equal where they are read; what passes is grouped by its whole key. Listing
+duplicates then needs no keys at all but for hashes that two keys share: a hash whose keys all repeat names its rows.
 """
 
 from __future__ import annotations
@@ -14,10 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablewright.functions.columns import (
     INTEGRAL, by_position, column, field_of, free_name, nan_to_null, positions, quoted, require_columns, type_class,
 )
+from tablewright.sources.storage import stored_if_shared
 
-# A key with at least 1/HOT_KEYS of all rows is hot, so there are at most HOT_KEYS hot keys.
+# A hash with at least 1/HOT_KEYS of all rows is hot, so there are at most HOT_KEYS hot hashes of eight bytes.
 HOT_KEYS = 1000
 
+# Bits of the filter per repeated hash, and the most that it may have (8 MB): beyond, it lets more rows pass.
+BITS_PER_HASH, MOST_FILTER_BITS = 16, 26
+
 
 def _keys(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
     if subset is None:
@@ -34,40 +42,40 @@ def _is_wide(df: DataFrame, keys: Sequence[str]) -> bool:
     return any(kinds[k] in ("text", "other") for k in keys)
 
 
-def _matching(rows: DataFrame, keys: Sequence[str], sizes: DataFrame, total: Column) -> DataFrame:
-    """Rows whose keys occur in `sizes` (keys with their row counts `n`).
+def _sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
 
-    Rows of hot keys are matched against a broadcast of the hot keys alone (at most HOT_KEYS of
-    them), so a hot key is never gathered; the rest goes through a keyed semi join without hot keys.
-    """
-    named = [column(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    is_hot = F.col("n") * F.lit(HOT_KEYS) >= total
-    hot = F.broadcast(sizes.filter(is_hot).select(*named))
-    cold = sizes.filter(~is_hot).select(*named)
-    same = reduce(
-        lambda a, b: a & b, [column(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    )
-    in_hot = rows.join(hot, same, "left_semi")
-    in_cold = rows.join(hot, same, "left_anti").join(cold, same, "left_semi")
-    return in_hot.unionAll(in_cold)
 
+def _hash_of(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys)
 
-def _sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
 
+def _repeated_hashes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """_hash of the keys and its rows `n`, where there are several: eight bytes a row in the shuffle."""
+    hashes = rows.select(_hash_of(keys).alias("_hash"))
+    return stored_if_shared(_sizes(hashes, ["_hash"]).filter("n > 1"), "repeated-hashes")
 
-def _total(sizes: DataFrame) -> Column:
-    """All rows, from the group sizes: shares their shuffle instead of reading the table again."""
-    return sizes.agg(F.sum("n").alias("rows")).scalar()
+
+def _passing(rows: DataFrame, keys: Sequence[str], hashes: DataFrame) -> DataFrame:
+    """Rows, with their `_hash`, that a bit filter of the repeated hashes lets pass: all that repeat and few others."""
+    hashed = rows.withColumn("_hash", _hash_of(keys))
+    count = hashes.count()
+    if not count:
+        return hashed.filter("false")
+    bits = min(MOST_FILTER_BITS, max(10, (BITS_PER_HASH * count - 1).bit_length()))
+    slot = f"shiftrightunsigned(_hash, {64 - bits})"
+    words = hashes.groupBy(F.expr(f"{slot} DIV 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({slot} % 64 AS INT)))").alias("bits"))
+    whole = rows.sparkSession.range(1 << (bits - 6)).join(words, F.col("id") == F.col("word"), "left")
+    filled = whole.agg(F.expr("transform(array_sort(collect_list(struct(id, coalesce(bits, 0L) AS bits))), w -> w.bits)").alias("words")).scalar()
+    word = F.get(filled, F.expr(f"CAST({slot} DIV 64 AS INT)"))
+    return hashed.filter(F.getbit(word, F.expr(f"CAST({slot} % 64 AS INT)")) == 1)
 
 
 def _repeated(rows: DataFrame, keys: Sequence[str], wide: bool) -> DataFrame:
     """Keys of a table named by position that occur more than once, with their row counts `n`."""
     rows = rows.select(*keys)
     if wide:
-        hashed = rows.withColumn("_hash", F.xxhash64(*keys))
-        sizes = _sizes(hashed, ["_hash"])
-        rows = _matching(hashed, ["_hash"], sizes.filter("n > 1"), _total(sizes)).drop("_hash")
+        rows = _passing(rows, keys, _repeated_hashes(rows, keys))
     return _sizes(rows, keys).filter("n > 1")
 
 
@@ -97,9 +105,28 @@ def duplicate_counts(df: DataFrame, subset: Sequence[str] | None = None) -> Data
 
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Every row that has an equal row on the keys."""
-    keys, groups = _repeated_of(df, subset)
+    keys = positions(df, _keys(df, subset))
+    rows = by_position(nan_to_null(df, _keys(df, subset)))
+    hashes = _repeated_hashes(rows, keys)
+    passing = _passing(rows, keys, hashes)
+    # Of each hash: its rows, its keys, and its keys with several rows; a hash of two keys is a rare meeting.
+    groups = _sizes(passing.select(*keys), keys).withColumn("_hash", _hash_of(keys))
+    seen = groups.groupBy("_hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"))
+    seen = stored_if_shared(seen.filter("repeated > 0"), "hash-groups")
     total = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    return _matching(by_position(nan_to_null(df, keys)), positions(df, keys), groups, total).toDF(*df.columns)
+    plain = seen.filter("keys = repeated")
+    is_hot = F.col("n") * F.lit(HOT_KEYS) >= total
+    # Hot hashes are matched by a broadcast (at most HOT_KEYS of them), so no group of rows is gathered.
+    hot = F.broadcast(plain.filter(is_hot).select("_hash"))
+    found = passing.join(hot, "_hash", "left_semi").unionAll(
+        passing.join(hot, "_hash", "left_anti").join(plain.filter(~is_hot).select("_hash").hint("merge"), "_hash", "left_semi")
+    ).drop("_hash")
+    mixed = seen.filter("keys <> repeated").select("_hash")
+    if not mixed.isEmpty():
+        named = _sizes(passing.join(mixed, "_hash", "left_semi").select(*keys), keys).filter("n > 1").select(*[F.col(k).alias(f"_k{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys])
+        found = found.unionAll(passing.join(mixed, "_hash", "left_semi").drop("_hash").join(named.hint("merge"), same, "left_semi"))
+    return found.toDF(*df.columns)
 
 
 def duplicate_sample(df: DataFrame, subset: Sequence[str], order_by: Sequence[str], k: int = 5) -> DataFrame:

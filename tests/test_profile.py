@@ -223,3 +223,24 @@ def test_correlation_of_many_columns_is_one_pass_over_pairs(spark):
 def test_correlation_of_an_empty_table(spark):
     rows = correlation.correlation_matrix(spark.createDataFrame([], "a double, b int, c string")).collect()
     assert sorted((r["col_a"], r["col_b"], r["r"]) for r in rows) == [("a", "a", None), ("a", "b", None), ("b", "a", None), ("b", "b", None)]
+
+
+@pytest.mark.parametrize("hashes", [1, 5, None])
+def test_duplicates_whose_hashes_meet(spark, monkeypatch, hashes):
+    """Different keys under one hash are told apart by the keys; with one hash for all it is the hot one."""
+    if hashes:
+        monkeypatch.setattr(duplicates, "_hash_of", lambda keys: F.pmod(F.xxhash64(*keys), F.lit(hashes)))
+    words = ["a", "b", "b", None, None, "c", "d", "d", "d", "e", float("nan")]
+    df = spark.createDataFrame([(str(w) if isinstance(w, str) else None, k % 2, k) for k, w in enumerate(words)], "word string, n int, id int").repartition(3)
+    for subset in (["word"], ["word", "n"]):
+        key = lambda r: tuple(r[x] for x in subset)
+        held = df.collect()
+        sizes = {}
+        for r in held:
+            sizes[key(r)] = sizes.get(key(r), 0) + 1
+        wanted = sorted(r["id"] for r in held if sizes[key(r)] > 1)
+        assert sorted(r["id"] for r in duplicates.duplicate_rows(df, subset).collect()) == wanted
+        counts = duplicates.duplicate_counts(df, subset).first()
+        many = [n for n in sizes.values() if n > 1]
+        assert tuple(counts) == (sum(many), sum(many) - len(many), len(many))
+    assert duplicates.duplicate_rows(df.limit(0)).count() == 0 and duplicates.duplicate_counts(df.select("id")).first()[0] == 0
