@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from tablewright.catalog.base import (
     EVENTS_N, EVENTS_N_COLUMNS, Tables, column_bytes, fences_sql, numbers, pct, query, union,
 )
-from tablewright.catalog.profile import SAVINGS, TOTAL_MISSING, _iqr
+from tablewright.catalog.profile import SAVINGS, TOTAL_MISSING, _duplicate_counts, _iqr, _pair, _statistics
 from tablewright.operators.correlation import pair_correlations, strong_pairs
 from tablewright.operators.duplicates import duplicate_counts
 from tablewright.plans import reports, score, steps
@@ -165,6 +165,60 @@ def analysis_report(t: Tables) -> DataFrame:
     return reports.report_overview(reports.analysis_report(t.events_n, ["event_id"]))
 
 
+def _score(source: str, columns: list[str], number_columns: list[str]) -> str:
+    missing = " + ".join(f"count(*) - count({c})" for c in columns)
+    keys = ", ".join(columns)
+    outlier_pct = " UNION ALL ".join(_iqr(source, n) for n in number_columns)
+    return f"""WITH parts AS (SELECT
+        (SELECT {pct(missing, f'{len(columns)} * count(*)', 4)} FROM {source}) AS missing_pct,
+        (SELECT round(100.0 * coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 4)::DOUBLE
+          FROM (SELECT count(*) AS n FROM {source} GROUP BY {keys})) AS duplicate_pct,
+        (SELECT avg(outliers_iqr_pct) FROM ({outlier_pct})) AS avg_outlier_pct),
+      scored AS (SELECT *, greatest(round_even(100.0::DOUBLE - least(missing_pct * 1.2, 40) - least(duplicate_pct * 0.6, 30)
+        - least(avg_outlier_pct * 0.4, 20), 0), 0)::BIGINT AS score FROM parts)
+      SELECT score, missing_pct, duplicate_pct, round(avg_outlier_pct, 6) AS avg_outlier_pct,
+        CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D'
+          ELSE 'F' END AS grade,
+        CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 80 THEN 'Good' WHEN score >= 70 THEN 'Fair'
+          WHEN score >= 60 THEN 'Poor' ELSE 'Failing' END AS description,
+        CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS band FROM scored"""
+
+
+REPORT_SQL = {
+    "basic_stats": (None, ("n_rows", "n_cols"), f"SELECT count(*) AS n_rows, {N_COLUMNS} AS n_cols FROM {EVENTS_N}"),
+    "missing_by_column": ("column", ("null_count", "null_pct", "non_null_count"), union(EVENTS_N_COLUMNS, lambda n, _: f"""SELECT '{n}' AS "column",
+        count(*) - count({n}) AS null_count, {pct(f'count(*) - count({n})', 'count(*)', 2)} AS null_pct, count({n}) AS non_null_count FROM {EVENTS_N}""")),
+    "cardinality": ("column", ("unique_values", "unique_ratio"), union(EVENTS_N_COLUMNS, lambda n, _: f"""SELECT '{n}' AS "column",
+        count(DISTINCT {n}) AS unique_values, round(count(DISTINCT {n}) / count(*), 4) AS unique_ratio FROM {EVENTS_N}""")),
+    "outliers_iqr": ("column", ("outliers_iqr", "outliers_iqr_pct"), union(EVENT_NUMBERS, lambda n: _iqr(EVENTS_N, n))),
+    "outliers_zscore": ("column", ("outliers_z",), union(EVENT_NUMBERS, lambda n: f"""SELECT '{n}' AS "column",
+        count(*) FILTER (abs(({n} - m) / s) >= 3.0) AS outliers_z FROM {EVENTS_N},
+        (SELECT avg({n}) AS m, nullif(stddev_pop({n}), 0) AS s FROM {EVENTS_N})""")),
+    "skewness_kurtosis": ("column", ("skewness", "kurtosis"), union(EVENT_NUMBERS, lambda n: f"""SELECT '{n}' AS "column",
+        skewness({n}) AS skewness, kurtosis({n}) AS kurtosis FROM {EVENTS_N}""")),
+    "duplicates": (None, ("n_duplicate_rows", "n_surplus_rows", "n_groups"), _duplicate_counts(EVENTS_N, ", ".join(EVENTS_N_COLUMNS))),
+    "correlation_matrix": ("col_a || '~' || col_b", ("r",), " UNION ALL ".join(_pair(EVENTS_N, a, b, 4) for a in EVENT_NUMBERS for b in EVENT_NUMBERS)),
+    "column_statistics": ("column", ("nulls", "null_pct", "unique", "min", "max", "mean", "std"), union(EVENTS_N_COLUMNS, _statistics)),
+    "usability": (None, ("score", "missing_pct", "duplicate_pct", "avg_outlier_pct"), f"SELECT * FROM ({_score(EVENTS_N, list(EVENTS_N_COLUMNS), EVENT_NUMBERS)})"),
+    "standard_deviation": ("column", ("std",), union(EVENT_NUMBERS, lambda n: f"""SELECT '{n}' AS "column", stddev_samp({n}) AS std FROM {EVENTS_N}""")),
+}
+
+
+@query(
+    "l7_report_contents",
+    " UNION ALL ".join(
+        f"""SELECT '{section}' AS section, {"''" if item is None else item if "'" in item else '"' + item + '"'} AS item, '{measure}' AS measure,
+        round("{measure}"::DOUBLE, 3) + 0.0 AS value FROM ({sql})"""
+        for section, (item, measures, sql) in REPORT_SQL.items() for measure in measures
+    ),
+)
+def report_contents(t: Tables) -> DataFrame:
+    """Every number of eleven sections of the report."""
+    values = reports.report_values(reports.analysis_report(t.events_n, ["event_id"]))
+    wanted = [f"(section = '{s}' AND measure IN ({', '.join(repr(m) for m in measures)}))" for s, (_, measures, _) in REPORT_SQL.items()]
+    return values.filter(" OR ".join(wanted)).selectExpr("section", "item", "measure", "round(value, 3) AS value")
+
+
 @query(
     "l9_step_audit",
     " UNION ALL ".join(
@@ -200,25 +254,6 @@ def failed_step(t: Tables) -> DataFrame:
     return audit.selectExpr("step", "operation", "status", "rows_after", "missing_after", "error IS NOT NULL AS explained")
 
 
-def _score(source: str, columns: list[str], number_columns: list[str]) -> str:
-    missing = " + ".join(f"count(*) - count({c})" for c in columns)
-    keys = ", ".join(columns)
-    outlier_pct = " UNION ALL ".join(_iqr(source, n) for n in number_columns)
-    return f"""WITH parts AS (SELECT
-        (SELECT {pct(missing, f'{len(columns)} * count(*)', 4)} FROM {source}) AS missing_pct,
-        (SELECT round(100.0 * coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 4)::DOUBLE
-          FROM (SELECT count(*) AS n FROM {source} GROUP BY {keys})) AS duplicate_pct,
-        (SELECT avg(outliers_iqr_pct) FROM ({outlier_pct})) AS avg_outlier_pct),
-      scored AS (SELECT *, greatest(round_even(100.0::DOUBLE - least(missing_pct * 1.2, 40) - least(duplicate_pct * 0.6, 30)
-        - least(avg_outlier_pct * 0.4, 20), 0), 0)::BIGINT AS score FROM parts)
-      SELECT score, missing_pct, duplicate_pct, round(avg_outlier_pct, 6) AS avg_outlier_pct,
-        CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D'
-          ELSE 'F' END AS grade,
-        CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 80 THEN 'Good' WHEN score >= 70 THEN 'Fair'
-          WHEN score >= 60 THEN 'Poor' ELSE 'Failing' END AS description,
-        CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS band FROM scored"""
-
-
 EVENTS_SCORE = _score(EVENTS_N, list(EVENTS_N_COLUMNS), EVENT_NUMBERS)
 LABELS = "(SELECT quality, toxic, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE quality END AS checked FROM labels)"
 LABELS_SCORE = _score(LABELS, ["quality", "toxic", "checked"], ["quality", "toxic", "checked"])
@@ -257,9 +292,21 @@ def _outlier_rule(name: str, place: int, source: str) -> str:
         HAVING count(*) FILTER ({name} < lo OR {name} > hi) > 0.05 * count(*)"""
 
 
+def _with_message(sql: str) -> str:
+    """The advice of `sql` in words."""
+    share = "CAST(round(value, 1) AS VARCHAR)"
+    missing = """ "column" || ': ' || """ + share + """ || ' % of the values are missing, """
+    return f"""SELECT *, CASE rule WHEN 'high_missing_drop_column' THEN {missing}drop the column'
+        WHEN 'moderate_missing_impute' THEN {missing}fill them in' WHEN 'low_missing_safe_to_impute' THEN {missing}any fill is safe'
+        WHEN 'remove_duplicates' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || ' rows repeat earlier ones, remove them'
+        WHEN 'optimize_types' THEN 'narrower types save ' || {share} || ' % of the memory'
+        WHEN 'cap_or_remove_outliers' THEN "column" || ': ' || {share} || ' % of the rows lie outside the fences, cap or remove them'
+        END AS message FROM ({sql})"""
+
+
 @query(
     "u4_recommendations",
-    "SELECT row_number() OVER (ORDER BY place) AS rank, rule, \"column\", value FROM ("
+    _with_message("SELECT row_number() OVER (ORDER BY place) AS rank, rule, \"column\", value FROM ("
     + " UNION ALL ".join(
         ["SELECT * FROM (" + " UNION ALL ".join(
             _missing_rule(n, i, EVENTS_N) for i, n in enumerate(EVENTS_N_COLUMNS)
@@ -270,7 +317,7 @@ def _outlier_rule(name: str, place: int, source: str) -> str:
             round(100.0 * floor(sum(saving_bytes)) / sum(est_bytes), 2)::DOUBLE AS p FROM ({SAVINGS})) WHERE p > 10"""]
         + [_outlier_rule(n, 300000 + i, EVENTS_N) for i, n in enumerate(EVENT_NUMBERS[:2])]
     )
-    + ")",
+    + ")"),
 )
 def recommendations(t: Tables) -> DataFrame:
     return score.recommendations(t.events_n, **PUBLISHED)
@@ -278,7 +325,7 @@ def recommendations(t: Tables) -> DataFrame:
 
 @query(
     "u4_recommendations_labels",
-    "SELECT row_number() OVER (ORDER BY place) AS rank, rule, \"column\", value FROM ("
+    _with_message("SELECT row_number() OVER (ORDER BY place) AS rank, rule, \"column\", value FROM ("
     + " UNION ALL ".join(
         [_missing_rule("checked", 2, LABELS)]
         + [f"""SELECT 100000, 'remove_duplicates', NULL, s::DOUBLE FROM
@@ -286,7 +333,7 @@ def recommendations(t: Tables) -> DataFrame:
             (SELECT count(*) AS n FROM {LABELS} GROUP BY quality, toxic, checked)) WHERE s > 0"""]
         + [_outlier_rule(n, 300000 + i, LABELS) for i, n in enumerate(["quality", "toxic"])]
     )
-    + ")",
+    + ")"),
 )
 def recommendations_labels(t: Tables) -> DataFrame:
     return score.recommendations(labels(t), **PUBLISHED)
@@ -358,7 +405,7 @@ def duplicate_counts_named_n(t: Tables) -> DataFrame:
 
 @query(
     "u4_recommendations_all_columns",
-    "SELECT row_number() OVER (ORDER BY place) AS rank, rule, \"column\", value FROM ("
+    _with_message("SELECT row_number() OVER (ORDER BY place) AS rank, rule, \"column\", value FROM ("
     + " UNION ALL ".join(
         [_missing_rule(n, i, EVENTS_N) for i, n in enumerate(EVENTS_N_COLUMNS)]
         + [f"""SELECT 100000, 'remove_duplicates', NULL, s::DOUBLE FROM
@@ -367,7 +414,7 @@ def duplicate_counts_named_n(t: Tables) -> DataFrame:
             round(100.0 * floor(sum(saving_bytes)) / sum(est_bytes), 2)::DOUBLE AS p FROM ({SAVINGS})) WHERE p > 10"""]
         + [_outlier_rule(n, 300000 + i, EVENTS_N) for i, n in enumerate(EVENT_NUMBERS)]
     )
-    + ")",
+    + ")"),
 )
 def recommendations_all_columns(t: Tables) -> DataFrame:
     return score.recommendations(t.events_n)

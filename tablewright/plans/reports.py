@@ -9,14 +9,14 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.columns import (
-    double_sql, field_of, missing_sql, percentage_sql, present_sql, text_literal, type_class,
+    double_sql, field_of, missing_sql, percentage_sql, present_sql, quoted, text_literal, type_class,
 )
 from tablewright.operators import cardinality, charts, correlation, duplicates, outliers, profile
 from tablewright.operators.facts import Facts, inline_rows
 from tablewright.operators.tables import computed
 from tablewright.plans import score
 
-# Rows shown in the dashboard and the comparison.
+# Rows shown in the dashboard and the comparison, unless the caller says otherwise (None for all).
 DASHBOARD_COLUMNS, DASHBOARD_OUTLIERS = 10, 5
 COMPARED_VALUES = 10
 
@@ -54,6 +54,20 @@ def report_overview(report: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def report_values(report: dict[str, DataFrame]) -> DataFrame:
+    """(section, item, measure, value): all numbers of an analysis report as one long table; items are the texts that name a row."""
+    parts = []
+    for section, table in report.items():
+        texts = [f.name for f in table.schema.fields if type_class(f.dataType) == "text" and f.name in ("column", "col_a", "col_b")]
+        numbers = [f.name for f in table.schema.fields if type_class(f.dataType) == "numeric"]
+        if not numbers:
+            continue
+        item = f"concat_ws('~', {', '.join(map(quoted, texts))})" if texts else "''"
+        cells = ", ".join(f"struct({text_literal(n)} AS measure, CAST({quoted(n)} AS DOUBLE) AS value)" for n in numbers)
+        parts.append(table.selectExpr(f"{text_literal(section)} AS section", f"{item} AS item", f"inline(array({cells}))"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def cleaning_metrics(original: DataFrame, cleaned: DataFrame) -> DataFrame:
     """(metric, before, after, change): rows, columns, bytes, missing cells, surplus duplicates.
 
@@ -103,7 +117,7 @@ def cleaning_report_text(metrics: DataFrame, steps: Sequence[dict[str, Any]]) ->
         parameters = f" {step['parameters']}" if step.get("parameters") else ""
         lines.append(f"{i}. {step['operation']}{target}{parameters}")
     if not steps:
-        lines.append("No operations performed.")
+        lines.append("The table was left as it is.")
     return "\n".join(lines) + "\n"
 
 
@@ -126,24 +140,25 @@ def compare_column(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
     return joined.selectExpr("metric", "before", "after", "round(after - before, 2) AS delta")
 
 
-def compare_distribution(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
-    """Histogram (numbers) or ten most frequent values (others) of a column on both sides."""
+def compare_distribution(before: DataFrame, after: DataFrame, name: str, k: int | None = COMPARED_VALUES) -> DataFrame:
+    """Histogram (numbers) or the `k` most frequent values (others; None for all) of a column on both sides."""
     is_number = type_class(field_of(before, name).dataType) == "numeric"
 
     def counts(df: DataFrame, side: str) -> DataFrame:
         if is_number:
             table = charts.histogram(df, name).select(F.col("bin").cast("string").alias("value"), "n")
         else:
-            table = profile.value_counts(df, name, COMPARED_VALUES).select(F.col("value").cast("string"), "n")
+            table = profile.value_counts(df, name, k).select(F.col("value").cast("string"), "n")
         return table.select(F.lit(side).alias("side"), "value", "n")
 
     return counts(before, "before").unionAll(counts(after, "after"))
 
 
-def dashboard(df: DataFrame) -> DataFrame:
+def dashboard(df: DataFrame, missing_listed: int | None = DASHBOARD_COLUMNS, outliers_listed: int | None = DASHBOARD_OUTLIERS) -> DataFrame:
     """(panel, item, value): size, missing share, types, outliers and score for an overview page.
 
-    Outliers list the columns that have any, or the first five columns if none has.
+    The `missing_listed` columns with most missing values are listed. Outliers list the columns that have any, or
+    the first `outliers_listed` columns if none has. None lists all.
     """
     facts = Facts.of(df, only=("missing", "rows_with_missing")).collected()
     bounds = outliers.fences(df)
@@ -156,14 +171,15 @@ def dashboard(df: DataFrame) -> DataFrame:
     names = ", ".join(text_literal(n) for n in df.columns)
     placed = counts.selectExpr("column", "outliers_iqr", f"array_position(array({names}), column) AS place")
     most = placed.selectExpr("max(outliers_iqr) AS most").scalar()
-    listed = placed.filter("outliers_iqr > 0").unionAll(
-        placed.filter(most == 0).orderBy("place").limit(DASHBOARD_OUTLIERS)
-    )
+    clean = placed.filter(most == 0).orderBy("place")
+    listed = placed.filter("outliers_iqr > 0").unionAll(clean if outliers_listed is None else clean.limit(outliers_listed))
+    gaps = by_column.orderBy(F.desc("n"), "place")
+    gaps = gaps if missing_listed is None else gaps.limit(missing_listed)
     panels = [
         facts.totals(panel="'size'", item="'rows'", value="CAST(rows AS DOUBLE)"),
         facts.totals(panel="'size'", item="'columns'", value=f"{len(df.columns)}D"),
         profile.missing_totals(df, facts).selectExpr("'missing'", "'total'", "missing_pct"),
-        by_column.orderBy(F.desc("n"), "place").limit(DASHBOARD_COLUMNS).selectExpr("'missing'", "item", "value"),
+        gaps.selectExpr("'missing'", "item", "value"),
         profile.type_distribution(df).selectExpr("'types'", "dtype", "CAST(columns_count AS DOUBLE)"),
         listed.selectExpr("'outliers'", "column", "CAST(outliers_iqr AS DOUBLE)"),
         score.usability_score(df, facts, repeated, bounds).selectExpr("'score'", "'score'", "CAST(score AS DOUBLE)"),

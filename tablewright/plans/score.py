@@ -59,6 +59,18 @@ def score_components(
     )
 
 
+# What the advice says in words, as SQL over column and value.
+SHARE_TEXT = "CAST(round(value, 1) AS STRING)"
+MESSAGES = {
+    "high_missing_drop_column": f"concat(column, ': ', {SHARE_TEXT}, ' % of the values are missing, drop the column')",
+    "moderate_missing_impute": f"concat(column, ': ', {SHARE_TEXT}, ' % of the values are missing, fill them in')",
+    "low_missing_safe_to_impute": f"concat(column, ': ', {SHARE_TEXT}, ' % of the values are missing, any fill is safe')",
+    "remove_duplicates": "concat(CAST(CAST(value AS BIGINT) AS STRING), ' rows repeat earlier ones, remove them')",
+    "optimize_types": f"concat('narrower types save ', {SHARE_TEXT}, ' % of the memory')",
+    "cap_or_remove_outliers": f"concat(column, ': ', {SHARE_TEXT}, ' % of the rows lie outside the fences, cap or remove them')",
+}
+
+
 def _case(score: str, steps: Sequence[tuple[int, str]], otherwise: str) -> str:
     cases = " ".join(f"WHEN {score} >= {lowest} THEN '{name}'" for lowest, name in steps)
     return f"CASE {cases} ELSE '{otherwise}' END"
@@ -100,7 +112,7 @@ def recommendations(
     missing_listed: int | None = None,
     numeric_checked: int | None = None,
 ) -> DataFrame:
-    """Ranked advice (rank, rule, column, value): missing data, duplicates, types, outliers.
+    """Ranked advice (rank, rule, column, value, message): missing data, duplicates, types, outliers.
 
     All columns are looked at; `missing_listed` and `numeric_checked` limit the first and the last kind
     to that many columns (MISSING_LISTED and NUMERIC_CHECKED are the published limits).
@@ -142,7 +154,8 @@ def recommendations(
         )
     advice = reduce(DataFrame.unionAll, parts)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place"))
-    return advice.select(rank.alias("rank"), "rule", "column", "value")
+    cases = " ".join(f"WHEN {text_literal(rule)} THEN {text}" for rule, text in MESSAGES.items())
+    return advice.select(rank.alias("rank"), "rule", "column", "value", F.expr(f"CASE rule {cases} END").alias("message"))
 
 
 def threshold_flags(df: DataFrame, facts: Facts | None = None, duplicates: DataFrame | None = None) -> DataFrame:
