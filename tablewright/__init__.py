@@ -11,6 +11,7 @@ from tablewright.operators.outliers import (
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.types import optimize_dtypes
 from tablewright.plans.reports import analysis_report, cleaning_metrics, cleaning_report_text
+from tablewright.plans.runs import clean_to, verify_run
 from tablewright.plans.score import recommendations, usability_score
 from tablewright.plans.steps import apply_steps, apply_with_audit, clean_text_column, preview_step
 from tablewright.sources.delimited import read_delimited
@@ -18,11 +19,11 @@ from tablewright.sources.sinks import write_delimited, write_run
 from tablewright.sources.validation import is_valid, validation_findings
 
 __all__ = [
-    "analysis_report", "apply_steps", "apply_with_audit", "cap_outliers", "cardinality", "clean_text_column",
+    "analysis_report", "apply_steps", "apply_with_audit", "cap_outliers", "cardinality", "clean_text_column", "clean_to",
     "cleaning_metrics", "cleaning_report_text", "correlation_matrix", "detect_outliers_iqr",
     "detect_outliers_zscore", "distinct_counts", "duplicate_counts", "duplicate_rows", "exact_quantiles",
     "handle_missing_categorical", "handle_missing_numeric", "is_valid", "optimize_dtypes", "preview_step",
     "read_delimited", "recommendations", "remove_duplicates", "remove_outliers_iqr",
     "standardize_column_names", "strong_pairs", "usability_score", "validation_findings",
-    "write_delimited", "write_run",
+    "verify_run",    "write_delimited", "write_run",
 ]

@@ -13,7 +13,9 @@ from tablewright.catalog.base import (
 from tablewright.catalog.profile import SAVINGS, TOTAL_MISSING, _duplicate_counts, _iqr, _pair, _statistics
 from tablewright.operators.correlation import pair_correlations, strong_pairs
 from tablewright.operators.duplicates import duplicate_counts
-from tablewright.plans import reports, score, steps
+from tablewright.operators.tables import local_table
+from tablewright.plans import reports, runs, score, steps
+from tablewright.sources.storage import new_path
 
 EVENT_NUMBERS = numbers(EVENTS_N_COLUMNS)
 N_COLUMNS = len(EVENTS_N_COLUMNS)
@@ -235,6 +237,42 @@ def step_audit(t: Tables) -> DataFrame:
     return steps.apply_with_audit(t.events_n, STEPS, ["event_id"])[1]
 
 
+def _measured(part: str, item: str, measure: str, value: str, source: str) -> str:
+    return f"SELECT '{part}' AS part, '{item}' AS item, '{measure}' AS measure, ({value})::DOUBLE AS value FROM {source}"
+
+
+@query(
+    "s9_run_manifest",
+    " UNION ALL ".join(
+        [
+            _measured("manifest", item, measure, value, source)
+            for item, source in [("input", EVENTS_N), ("cleaned", AFTER_5), *((f"step {i}", b) for i, b in enumerate(BOUNDARIES[1:], 1))]
+            for measure, value in (("rows", "count(*)"), ("missing", TOTAL_MISSING))
+        ]
+        + [
+            _measured("audit", f"step {i}", f"{measure}_{side}", value, BOUNDARIES[i - (side == "before")])
+            for i in range(1, len(BOUNDARIES)) for side in ("before", "after") for measure, value in (("rows", "count(*)"), ("missing", TOTAL_MISSING))
+        ]
+        + [_measured("cleaned", name, "sum", f"round(sum({name}), 3)", AFTER_5) for name in EVENT_NUMBERS]
+        + [_measured("cleaned", name, "distinct", f"count(DISTINCT {name})", AFTER_5) for name in ("event_type", "type_n")]
+    ),
+)
+def run_manifest(t: Tables) -> DataFrame:
+    """Manifest, audit and cleaned table of a run folder, read back from it."""
+    run = runs.clean_to(new_path(t.spark, "run"), t.events_n, STEPS, ["event_id"], profile=False)
+    assert runs.verify_run(run)
+    noted = {"input": run.manifest["input"], "cleaned": run.manifest["cleaned"]} | {f"step {i}": x for i, x in enumerate(run.manifest["steps"], 1)}
+    rows = [("manifest", item, measure, float(counters[measure])) for item, counters in noted.items() for measure in ("rows", "missing")]
+    cells = ", ".join(
+        f"struct('{measure}_{side}' AS measure, CAST({measure}_{side} AS DOUBLE) AS value)" for side in ("before", "after") for measure in ("rows", "missing")
+    )
+    audit = run.audit.selectExpr("'audit'", "concat('step ', step)", f"inline(array({cells}))")
+    sums = [f"struct('{n}' AS item, 'sum' AS measure, CAST(round(sum({n}), 3) AS DOUBLE) AS value)" for n in EVENT_NUMBERS]
+    sums += [f"struct('{n}' AS item, 'distinct' AS measure, CAST(count(DISTINCT {n}) AS DOUBLE) AS value)" for n in ("event_type", "type_n")]
+    cleaned = run.cleaned.selectExpr(f"array({', '.join(sums)}) AS cells").selectExpr("'cleaned'", "inline(cells)")
+    return local_table(t.spark, rows, "part string, item string, measure string, value double").unionAll(audit).unionAll(cleaned)
+
+
 FAILING = [
     {"operation": "remove_outliers_iqr", "column": "event_type", "parameters": {}},
     {"operation": "handle_missing_categorical", "column": "type_n", "parameters": {"method": "new_category"}},
