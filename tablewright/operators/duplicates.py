@@ -3,9 +3,10 @@
 Missing values are equal to each other. All grouping is by keyed aggregation with map-side
 combining, so a group holding a third of the table costs one row per task in the shuffle.
 
-Keys of unbounded length are counted by a 64-bit hash first. The hashes that repeat are stored once and become a bit
-filter, which drops rows without an equal where they are read; what passes is grouped by its whole key. Listing
-duplicates then needs no keys at all but for hashes that two keys share: a hash whose keys all repeat names its rows.
+Keys of unbounded length are counted by a 64-bit hash first. The hashes that repeat are stored once and counted. Up to
+MOST_SENT_HASHES of them are sent to all tasks, more become a bit filter: either way rows without an equal are dropped where
+they are read, and what passes is grouped by its whole key. Listing duplicates then needs no keys at all but
+for hashes that two keys share: a hash whose keys all repeat names its rows.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablewright.functions.columns import (
     INTEGRAL, by_position, column, field_of, free_name, nan_to_null, positions, quoted, require_columns, type_class,
 )
-from tablewright.sources.storage import stored_if_shared
+from tablewright.sources.storage import has_storage, stored_counted, stored_if_shared
 
 # A hash with at least 1/HOT_KEYS of all rows is hot, so there are at most HOT_KEYS hot hashes of eight bytes.
 HOT_KEYS = 1000
 
+# Repeated hashes that are broadcast as they are (8 bytes each).
+MOST_SENT_HASHES = 1 << 20
+
 # Bits of the filter per repeated hash, and the most that it may have (8 MB): beyond, it lets more rows pass.
 BITS_PER_HASH, MOST_FILTER_BITS = 16, 26
 
@@ -50,18 +54,20 @@ def _hash_of(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def _repeated_hashes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """_hash of the keys and its rows `n`, where there are several: eight bytes a row in the shuffle."""
-    hashes = rows.select(_hash_of(keys).alias("_hash"))
-    return stored_if_shared(_sizes(hashes, ["_hash"]).filter("n > 1"), "repeated-hashes")
+def _repeated_hashes(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """_hash of the keys and its rows `n`, where there are several, and how many hashes these are: eight bytes a row in the shuffle."""
+    hashes = _sizes(rows.select(_hash_of(keys).alias("_hash")), ["_hash"]).filter("n > 1")
+    if has_storage(rows.sparkSession):
+        hashes, seen = stored_counted(hashes, "repeated-hashes")
+        return hashes, seen.rows
+    return hashes, hashes.count()
 
 
-def _passing(rows: DataFrame, keys: Sequence[str], hashes: DataFrame) -> DataFrame:
-    """Rows, with their `_hash`, that a bit filter of the repeated hashes lets pass: all that repeat and few others."""
+def _passing(rows: DataFrame, keys: Sequence[str], hashes: DataFrame, count: int) -> DataFrame:
+    """Rows, with their `_hash`, that may have an equal: all with a repeated hash, and few others if these are many."""
     hashed = rows.withColumn("_hash", _hash_of(keys))
-    count = hashes.count()
-    if not count:
-        return hashed.filter("false")
+    if count <= MOST_SENT_HASHES:
+        return hashed.join(F.broadcast(hashes.select("_hash")), "_hash", "left_semi").select(*rows.columns, "_hash")
     bits = min(MOST_FILTER_BITS, max(10, (BITS_PER_HASH * count - 1).bit_length()))
     slot = f"shiftrightunsigned(_hash, {64 - bits})"
     words = hashes.groupBy(F.expr(f"{slot} DIV 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({slot} % 64 AS INT)))").alias("bits"))
@@ -75,7 +81,7 @@ def _repeated(rows: DataFrame, keys: Sequence[str], wide: bool) -> DataFrame:
     """Keys of a table named by position that occur more than once, with their row counts `n`."""
     rows = rows.select(*keys)
     if wide:
-        rows = _passing(rows, keys, _repeated_hashes(rows, keys))
+        rows = _passing(rows, keys, *_repeated_hashes(rows, keys))
     return _sizes(rows, keys).filter("n > 1")
 
 
@@ -107,26 +113,34 @@ def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFr
     """Every row that has an equal row on the keys."""
     keys = positions(df, _keys(df, subset))
     rows = by_position(nan_to_null(df, _keys(df, subset)))
-    hashes = _repeated_hashes(rows, keys)
-    passing = _passing(rows, keys, hashes)
-    # Of each hash: its rows, its keys, and its keys with several rows; a hash of two keys is a rare meeting.
+    hashes, count = _repeated_hashes(rows, keys)
+    passing = _passing(rows, keys, hashes, count)
+    # Of each hash its keys, and those with several rows; two keys under one hash are a rare meeting.
     groups = _sizes(passing.select(*keys), keys).withColumn("_hash", _hash_of(keys))
-    seen = groups.groupBy("_hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"))
-    seen = stored_if_shared(seen.filter("repeated > 0"), "hash-groups")
-    total = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    plain = seen.filter("keys = repeated")
+    seen = groups.groupBy("_hash").agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated")).filter("repeated < keys")
+    if count <= MOST_SENT_HASHES:
+        odd = seen
+    else:  # what the bit filter let pass by chance stands alone under its hash
+        odd = seen.filter("repeated > 0 OR keys > 1")
+        passing = _of_hashes(passing, hashes, df.agg(F.count(F.lit(1)).alias("rows")).scalar())
+    mixed = odd.select("_hash")
+    if mixed.isEmpty():
+        return passing.drop("_hash").toDF(*df.columns)
+    mixed = stored_if_shared(mixed, "mixed-hashes")
+    named = _sizes(passing.join(mixed.hint("merge"), "_hash", "left_semi").select(*keys), keys).filter("n > 1").select(*[F.col(k).alias(f"_k{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys])
+    plain = passing.join(mixed.hint("merge"), "_hash", "left_anti").select(*rows.columns)
+    told = passing.join(mixed.hint("merge"), "_hash", "left_semi").select(*rows.columns).join(named.hint("merge"), same, "left_semi")
+    return plain.unionAll(told).toDF(*df.columns)
+
+
+def _of_hashes(passing: DataFrame, hashes: DataFrame, total: Column) -> DataFrame:
+    """Rows with one of the hashes; hot ones are matched by a broadcast (at most HOT_KEYS of them), so none is gathered."""
     is_hot = F.col("n") * F.lit(HOT_KEYS) >= total
-    # Hot hashes are matched by a broadcast (at most HOT_KEYS of them), so no group of rows is gathered.
-    hot = F.broadcast(plain.filter(is_hot).select("_hash"))
-    found = passing.join(hot, "_hash", "left_semi").unionAll(
-        passing.join(hot, "_hash", "left_anti").join(plain.filter(~is_hot).select("_hash").hint("merge"), "_hash", "left_semi")
-    ).drop("_hash")
-    mixed = seen.filter("keys <> repeated").select("_hash")
-    if not mixed.isEmpty():
-        named = _sizes(passing.join(mixed, "_hash", "left_semi").select(*keys), keys).filter("n > 1").select(*[F.col(k).alias(f"_k{k}") for k in keys])
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys])
-        found = found.unionAll(passing.join(mixed, "_hash", "left_semi").drop("_hash").join(named.hint("merge"), same, "left_semi"))
-    return found.toDF(*df.columns)
+    hot = F.broadcast(hashes.filter(is_hot).select("_hash"))
+    cold = hashes.filter(~is_hot).select("_hash").hint("merge")
+    kept = passing.join(hot, "_hash", "left_semi").unionAll(passing.join(hot, "_hash", "left_anti").join(cold, "_hash", "left_semi"))
+    return kept.select(*passing.columns)
 
 
 def duplicate_sample(df: DataFrame, subset: Sequence[str], order_by: Sequence[str], k: int = 5) -> DataFrame:

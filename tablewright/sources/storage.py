@@ -116,9 +116,11 @@ def stored_counted(df: DataFrame, label: str = "stored") -> tuple[DataFrame, Cou
     return spark.read.parquet(path).toDF(*df.columns), seen
 
 
+def has_storage(spark: SparkSession) -> bool:
+    """Whether `stored` has a place to write to."""
+    return has_shared_folder(spark) or spark.sparkContext.master.startswith("local")
+
+
 def stored_if_shared(df: DataFrame, label: str = "stored") -> DataFrame:
     """`stored`, or the table itself on a cluster without a shared folder: small tables that may be made again."""
-    spark = df.sparkSession
-    if has_shared_folder(spark) or spark.sparkContext.master.startswith("local"):
-        return stored(df, label)
-    return df
+    return stored(df, label) if has_storage(df.sparkSession) else df

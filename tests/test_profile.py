@@ -225,9 +225,11 @@ def test_correlation_of_an_empty_table(spark):
     assert sorted((r["col_a"], r["col_b"], r["r"]) for r in rows) == [("a", "a", None), ("a", "b", None), ("b", "a", None), ("b", "b", None)]
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
 @pytest.mark.parametrize("hashes", [1, 5, None])
-def test_duplicates_whose_hashes_meet(spark, monkeypatch, hashes):
-    """Different keys under one hash are told apart by the keys; with one hash for all it is the hot one."""
+def test_duplicates_whose_hashes_meet(spark, monkeypatch, hashes, sent):
+    """Different keys under one hash are told apart by the keys; with one hash for all it is the hot one. By broadcast and by bit filter."""
+    monkeypatch.setattr(duplicates, "MOST_SENT_HASHES", sent)
     if hashes:
         monkeypatch.setattr(duplicates, "_hash_of", lambda keys: F.pmod(F.xxhash64(*keys), F.lit(hashes)))
     words = ["a", "b", "b", None, None, "c", "d", "d", "d", "e", float("nan")]
