@@ -12,8 +12,8 @@ same offset, so suffixes that begin there are enough (about 3 in 100 bytes).
    that own the place. Copies inside a chunk are one entry. The bucket compares, offset by offset, the windows
    of entries with equal leading bytes and says which ones stand earlier elsewhere.
 
-A byte goes if a window over it occurs with a smaller (id, start). Windows are compared by their leading 32
-bytes, their offset and a 64-bit hash of the whole.
+A byte goes if a window over it occurs with a smaller (id, start). Windows meet by their leading 32 bytes, their offset
+and a 64-bit hash of the whole; what goes is compared byte by byte with the earliest one first.
 
 Defined cases: a null text is empty; fewer than 100 bytes: nothing goes; rows that share an id are not earlier
 than one another at the same start; rows without an id are left out. Extra columns are not looked at.
@@ -35,6 +35,7 @@ from tablewright.llm.kernels import mix, sequence_hashes, span_hashes
 WINDOW = 100
 LEAD = 32
 PLACES = WINDOW - LEAD + 1
+WINDOWS_COMPARED = 1 << 14
 PLACE_BITS = 28
 SAMPLED_CHUNKS = 1000  # at most about this many chunks give splitter samples
 SAMPLED_SUFFIXES = 64  # of each
@@ -215,10 +216,29 @@ def compare(data, begin, left, windows, rank, group, bits_from, some, offsets, o
     key = mix(content + group[entry].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + offset.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     order = np.argsort(key, kind="stable")
     run = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    of_run = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(order))))
     ranks = rank[entry][order]
     best = np.minimum.reduceat(ranks, run)
-    late = ranks > np.repeat(best, np.diff(np.append(run, len(order))))
-    out[(bits_from[entry] + start - begin[entry])[order[late]]] = True
+    late = np.flatnonzero(ranks > best[of_run])
+    # A late window goes only if its bytes are those of its run's earliest one.
+    hits = np.flatnonzero(ranks == best[of_run])[::-1]
+    earliest = np.empty(len(run), np.int64)
+    earliest[of_run[hits]] = hits
+    same = np.empty(len(late), bool)
+    for a in range(0, len(late), WINDOWS_COMPARED):
+        part = late[a : a + WINDOWS_COMPARED]
+        mine, other = (start[order[x]][:, None] + np.arange(WINDOW)[None, :] for x in (part, earliest[of_run[part]]))
+        same[a : a + WINDOWS_COMPARED] = (data[mine] == data[other]).all(axis=1)
+    gone = late[same]
+    for r in np.unique(of_run[late[~same]]).tolist():  # different windows under one hash: each by its bytes
+        first: dict[bytes, int] = {}
+        members = np.flatnonzero(of_run == r)
+        contents = [data[start[order[k]] : start[order[k]] + WINDOW].tobytes() for k in members]
+        for k, content in zip(members, contents):
+            first[content] = min(first.get(content, ranks[k]), ranks[k])
+        gone = np.setdiff1d(gone, members)
+        gone = np.concatenate((gone, [k for k, content in zip(members, contents) if ranks[k] > first[content]])).astype(np.int64)
+    out[(bits_from[entry] + start - begin[entry])[order[gone]]] = True
 
 
 def splitters_of(chunks: DataFrame, buckets: int) -> np.ndarray:
