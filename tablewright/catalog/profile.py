@@ -10,8 +10,9 @@ from tablewright.catalog.base import (
     EVENTS_N, EVENTS_N_COLUMNS, LINEITEM_NUMBERS, SMALL_RANGE, Tables, byte_text, column_bytes,
     fences_sql, numbers, pct, query, union,
 )
-from tablewright.operators import cardinality, correlation, duplicates, outliers, profile
+from tablewright.operators import cardinality, correlation, duplicates, outliers, profile, stored_profile
 from tablewright.operators import charts as chart_counts
+from tablewright.sources.storage import stored
 
 N_COLUMNS = len(EVENTS_N_COLUMNS)
 EVENT_NUMBERS = numbers(EVENTS_N_COLUMNS)
@@ -623,3 +624,19 @@ def keep_last(t: Tables) -> DataFrame:
 def keep_none(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return duplicates.remove_duplicates(rows, ["l_orderkey", "l_linenumber"], False)
+
+
+@query(
+    "p7_merged_profile",
+    union(EVENTS_N_COLUMNS, lambda n, k: f"""SELECT "column", dtype, rows, missing, missing_pct, "min", "max", mean, std, true AS distinct_close
+        FROM (SELECT "column", dtype, nulls + count AS rows, nulls AS missing, null_pct AS missing_pct, "min", "max", mean, std FROM
+        ({_statistics(n, k)}) AS s, (SELECT count({n}) AS count FROM {EVENTS_N}))"""),
+)
+def merged_profile(t: Tables) -> DataFrame:
+    """States of three parts, two of them merged before, give the profile of the whole; distinct counts are estimated within 5 %."""
+    parts = [stored(stored_profile.profile_state(t.events_n.filter(f"event_id % 3 = {k}")), "state") for k in range(3)]
+    early = stored(stored_profile.merged_states(*parts[:2]), "state")
+    found = stored_profile.profile_of(stored_profile.merged_states(early, parts[2]))
+    exact = cardinality.distinct_counts(t.events_n).select("column", "unique_values")
+    close = "abs(distinct_estimate - unique_values) <= 0.05D * unique_values AS distinct_close"
+    return found.join(exact, "column").selectExpr("column", "dtype", "rows", "missing", "missing_pct", "min", "max", "mean", "std", close)

@@ -246,3 +246,19 @@ def test_duplicates_whose_hashes_meet(spark, monkeypatch, hashes, sent):
         many = [n for n in sizes.values() if n > 1]
         assert tuple(counts) == (sum(many), sum(many) - len(many), len(many))
     assert duplicates.duplicate_rows(df.limit(0)).count() == 0 and duplicates.duplicate_counts(df.select("id")).first()[0] == 0
+
+
+def test_states_of_parts_merge_to_the_state_of_the_whole(spark):
+    from tablewright.operators import stored_profile
+
+    df = spark.range(1000).selectExpr(
+        "IF(id % 9 = 0, NULL, 1.0E9D + id * 0.25D) AS x", "IF(id < 400, NULL, CAST(id % 50 AS INT)) AS late", "concat('k', id % 300) AS word",
+        "IF(id % 2 = 0, double('NaN'), NULL) AS nothing", "map('a', id) AS m", "id % 3 = 0 AS flag",
+    )
+    whole = stored_profile.profile_of(stored_profile.profile_state(df)).toPandas().set_index("column")
+    cuts = [df.limit(0), *(df.filter(f"(late IS NULL) = {side} AND word {sign} 'k2'") for side in ("true", "false") for sign in ("<", ">="))]
+    merged = stored_profile.profile_of(stored_profile.merged_states(*map(stored_profile.profile_state, cuts))).toPandas().set_index("column")
+    for name in ("rows", "missing", "min", "max", "missing_pct"):
+        pd.testing.assert_series_equal(merged[name], whole[name])
+    np.testing.assert_allclose(merged[["mean", "std"]].astype(float), whole[["mean", "std"]].astype(float), rtol=1e-9)
+    assert abs(merged.loc["word", "distinct_estimate"] - 300) <= 9 and merged.loc["nothing", "missing"] == 1000 and merged.loc["flag", "distinct_estimate"] == 2
