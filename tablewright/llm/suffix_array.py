@@ -225,10 +225,11 @@ def compare(data, begin, left, windows, rank, group, bits_from, some, offsets, o
     earliest = np.empty(len(run), np.int64)
     earliest[of_run[hits]] = hits
     same = np.empty(len(late), bool)
+    windows_of = np.ndarray(len(data) - WINDOW + 1, np.dtype((np.void, WINDOW)), data, strides=(1,))
     for a in range(0, len(late), WINDOWS_COMPARED):
         part = late[a : a + WINDOWS_COMPARED]
-        mine, other = (start[order[x]][:, None] + np.arange(WINDOW)[None, :] for x in (part, earliest[of_run[part]]))
-        same[a : a + WINDOWS_COMPARED] = (data[mine] == data[other]).all(axis=1)
+        mine, other = (windows_of[start[order[x]]].view(np.uint32).reshape(len(part), -1) for x in (part, earliest[of_run[part]]))
+        same[a : a + WINDOWS_COMPARED] = (mine == other).all(axis=1)
     gone = late[same]
     for r in np.unique(of_run[late[~same]]).tolist():  # different windows under one hash: each by its bytes
         first: dict[bytes, int] = {}
