@@ -50,7 +50,7 @@ LONG_HEX = re.compile("(?<![0-9a-f])[0-9a-f]{16,}")
 NAMES = re.compile("password|passwd|secret|token|api_?key", re.I | re.A)
 
 ESCAPED = re.compile("(?:%[0-9A-Fa-f]{2})+")
-ESCAPED_BYTES = re.compile("(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~/-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~/-])*")
+ESCAPED_RUN = re.compile("[A-Za-z0-9._~/%-]+")
 UNICODE = re.compile(
     r"(?P<pair>\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|(?P<bytes>(?:\\x[0-9A-Fa-f]{2})+)|\\u(?P<four>[0-9A-Fa-f]{4})"
     r"|\\U(?P<eight>[0-9A-Fa-f]{8})|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|&#(?P<number>[0-9]{1,7});|&#[xX](?P<hex>[0-9A-Fa-f]{1,6});"
@@ -160,8 +160,9 @@ def decoded(raw: bytes, begin: int, width: int) -> Unwrapped:
 def from_url(text: str) -> Iterator[Unwrapped]:
     if "%" not in text:
         return
-    whole = [m for m in ESCAPED_BYTES.finditer(text) if text.startswith(("%1F%8B", "%1f%8b", "%28", "%FD", "%fd", "BZh", "x%"), m.start())]
-    for m in whole:
+    for m in ESCAPED_RUN.finditer(text):
+        if not text.startswith(("%1F%8B", "%1f%8b", "%28", "%FD", "%fd", "BZh", "x%"), m.start()) or "%" not in m.group():
+            continue
         data = unquote_to_bytes(m.group())
         if packed(data):
             yield Unwrapped(*m.span(), data=data)

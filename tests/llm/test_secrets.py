@@ -125,6 +125,16 @@ def test_damage_and_large_expansion(monkeypatch):
     assert added(f"x {b64(bomb)} y") == [("assign", 2, 2 + len(b64(bomb)))]
 
 
+def test_long_runs_take_linear_time():
+    import time
+
+    parts = ["a" * 2_000_000, "A" * 2_000_000, "a.b/c-" * 300_000, "%" * 1_000_000, "\\u00" * 200_000, "&#1" * 300_000, "token " * 200_000, "password" + " " * 1_000_000]
+    began = time.process_time()
+    for part in parts:
+        secrets.scan(f"100%25 {part} &#65; {part}")
+    assert time.process_time() - began < 60
+
+
 def test_tables(spark):
     schema = "doc_id long, text string, secrets string, kind int"
     rows = [(1, f"x {b64(SECRET)} y token=abcdefghijkl", "s", 1), (1, f"x {b64(SECRET)} y token=abcdefghijkl", "s", 1), (None, None, None, None), (2, "", "s", 2), (None, HEX, "s", 3)]
