@@ -31,8 +31,11 @@ class Tables:
         self.spark = spark
         self._folder = folder.rstrip("/")
 
+    def path(self, name: str) -> str:
+        return f"{self._folder}/{name}.parquet"
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(self.path(name))
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.read(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tablewright.catalog.base import EVENTS_N, EVENTS_N_COLUMNS, SMALL_RANGE, Tables, column_bytes, fences_sql, query, union
-from tablewright.operators import missing, ordering, outliers, types
+from tablewright.operators import footers, missing, ordering, outliers, types
 from tablewright.operators.names import standardize_column_names
 from tablewright.plans.steps import clean_text_column
 
@@ -315,6 +315,21 @@ def _register_changes(key: str, columns: tuple[str, ...]) -> None:
 
 
 _register_changes("c18_narrow_integers", ("o_orderkey", "small"))
+
+@query(
+    "c18_narrow_from_footers",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", 'bigint' AS from_type, to_type, 0::BIGINT AS values_lost
+        FROM (SELECT {_narrowest(name)} AS to_type FROM {table}) WHERE to_type <> 'bigint'"""
+        for name, table in {"o_orderkey": "orders", "o_custkey": "orders"}.items()
+    ),
+)
+def narrow_from_footers(t: Tables) -> DataFrame:
+    facts = footers.parquet_facts(t.spark, t.path("orders"), types.CHOICE_FACTS)
+    found = types.type_changes(t.orders, types.choose_types(t.orders, facts))
+    return found.filter("from_type = 'bigint'")
+
+
 _register_changes("c19_narrow_floats", ("o_totalprice", "huge"))
 _register_changes("c20_dates_from_text", ("date_text",))
 _register_changes("c21_numbers_from_text", ("key_text", "o_orderpriority"))

@@ -10,7 +10,7 @@ from tablewright.catalog.base import (
     EVENTS_N, EVENTS_N_COLUMNS, LINEITEM_NUMBERS, SMALL_RANGE, Tables, byte_text, column_bytes,
     fences_sql, numbers, pct, query, union,
 )
-from tablewright.operators import cardinality, correlation, duplicates, outliers, profile, stored_profile
+from tablewright.operators import cardinality, correlation, duplicates, footers, outliers, profile, stored_profile
 from tablewright.operators import charts as chart_counts
 from tablewright.sources.storage import stored
 
@@ -44,6 +44,38 @@ def missing_by_column(t: Tables) -> DataFrame:
     return profile.missing_by_column(t.events_n)
 
 
+ORDERS_COLUMNS = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+
+
+@query(
+    "p2_missing_from_footers",
+    union(
+        ORDERS_COLUMNS,
+        lambda n, k: f"""SELECT '{n}' AS "column", '{k}' AS dtype, count(*) - count({n}) AS null_count,
+        {pct(f'count(*) - count({n})', 'count(*)', 2)} AS null_pct, count({n}) AS non_null_count FROM orders""",
+    ),
+)
+def missing_from_footers(t: Tables) -> DataFrame:
+    return profile.missing_by_column(t.orders, footers.parquet_facts(t.spark, t.path("orders"), ("missing",)))
+
+
+@query(
+    "p14_ranges_from_footers",
+    union(
+        LINEITEM_NUMBERS,
+        lambda n: f"""SELECT '{n}' AS "column", count(*) - count({n}) AS nulls, min({n})::DOUBLE AS "min",
+        max({n})::DOUBLE AS "max" FROM lineitem""",
+    ),
+)
+def ranges_from_footers(t: Tables) -> DataFrame:
+    facts = footers.parquet_facts(t.spark, t.path("lineitem"), ("missing", "min", "max"))
+    numbers_only = profile.column_ranges(t.lineitem, facts).filter("`max` IS NOT NULL")
+    return numbers_only.select("column", "nulls", "min", "max")
+
+
 @query(
     "p3_missing_totals",
     f"""SELECT {N_COLUMNS} * count(*) AS total_cells, {TOTAL_MISSING} AS total_missing,

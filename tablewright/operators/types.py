@@ -26,6 +26,12 @@ INTEGER_RANGES = (
 DICTIONARY_RATIO = 0.05
 DICTIONARY_VALUES = 50
 
+# Facts that decide a column's type.
+CHOICE_FACTS = (
+    "missing", "whole_min", "whole_max", "float_misfits", "numbers", "integers", "date_like",
+    *[f"layout_{i}" for i in range(len(parsing.DATE_LAYOUTS))],
+)
+
 
 @dataclass(frozen=True)
 class TypeChoice:
@@ -50,13 +56,11 @@ class TypeChoice:
 
 def choose_types(df: DataFrame, facts: Facts | None = None) -> list[TypeChoice]:
     """A type for each column; text becomes dates or numbers only by the share of fitting values."""
-    wanted = ["missing", "whole_min", "whole_max", "float_misfits", "numbers", "integers", "date_like"]
-    wanted += [f"layout_{i}" for i in range(len(parsing.DATE_LAYOUTS))]
 
     def row(c: FieldFacts) -> dict[str, str]:
-        return {"ordinal": str(c.ordinal), "rows": "rows"} | {k: f"CAST({c(k)} AS BIGINT)" for k in wanted}
+        return {"ordinal": str(c.ordinal), "rows": "rows"} | {k: f"CAST({c(k)} AS BIGINT)" for k in CHOICE_FACTS}
 
-    table = (facts or Facts.of(df, only=wanted)).table(row)
+    table = (facts or Facts.of(df, only=CHOICE_FACTS)).table(row)
     found = {r["ordinal"]: r for r in table.collect()}
     return [_choose(field, found[i]) for i, field in enumerate(df.schema.fields)]
 
