@@ -90,6 +90,26 @@ def interpolate(t: Tables) -> DataFrame:
     return numeric(t, "value_run", "interpolate", rows_per_range=SMALL_RANGE)
 
 
+@query(
+    "m6_interpolate_by_user",
+    f"""WITH placed AS (SELECT event_id, user_id, value_run AS v,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM {EVENTS_N}),
+    around AS (SELECT *, count(v) OVER (PARTITION BY user_id) AS known,
+      last_value(v IGNORE NULLS) OVER back AS v0,
+      last_value(CASE WHEN v IS NOT NULL THEN p END IGNORE NULLS) OVER back AS p0,
+      first_value(v IGNORE NULLS) OVER ahead AS v1,
+      first_value(CASE WHEN v IS NOT NULL THEN p END IGNORE NULLS) OVER ahead AS p1
+      FROM placed WINDOW back AS (PARTITION BY user_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      ahead AS (PARTITION BY user_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL OR known < 2 THEN NULL WHEN v1 IS NULL THEN v0
+      ELSE v0 + (v1 - v0) * (p - p0) / (p1 - p0) END, 6) AS value_run FROM around""",
+)
+def interpolate_by_user(t: Tables) -> DataFrame:
+    rows = t.events_n.select("event_id", "user_id", "value_run")
+    filled = ordering.interpolate(rows, "value_run", ["event_id"], SMALL_RANGE, ["user_id"])
+    return filled.select("event_id", "value_run")
+
+
 @query("m7_fill_constant", _with("value_n", "coalesce(value_n, -1.5)::DOUBLE"))
 def fill_constant(t: Tables) -> DataFrame:
     return numeric(t, "value_n", "constant", custom_value=-1.5)

@@ -193,80 +193,92 @@ def backward_fill(
 
 
 def interpolate(
-    df: DataFrame, name: str, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, name: str, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Linear interpolation by row position; leading missing values stay, trailing ones repeat the last.
+    """Linear interpolation by row position (within `partition_by`); leading missing values stay, trailing ones repeat the last.
 
-    With fewer than two values the column stays as it is. The result is double.
+    A column, or a group of it, with fewer than two values stays as it is. The result is double.
     """
     require_numeric(df, name)
     require_columns(df, order_by)
-    if name in order_by:
+    require_columns(df, partition_by)
+    if name in order_by or name in partition_by:
         raise ValueError(f"{name!r} orders the rows, so it cannot be filled by that order")
-    names, df, name, order_by = df.columns, with_tie(by_position(df)), *positions(df, [name]), [*positions(df, order_by), TIE]
+    keys = positions(df, partition_by)
+    within = [*positions(df, order_by), TIE]
+    names, df, name = df.columns, with_tie(by_position(df)), *positions(df, [name])
+    order_by = [*keys, *within]
     value = as_double(field_of(df, name))
     ranged = with_ranges(df, order_by, rows_per_range)
     many = ranged is not None
-    known = F.when(value.isNotNull(), F.struct(F.col("_at").alias("at"), value.alias("value")))
+    # Groups follow one another in the order, so a group's rows of one range are sorted already.
+    group = Window.partitionBy(F.col(RANGE) if many else F.lit(0), *keys).orderBy(*[column(n).asc() for n in within])
     placed = (ranged if many else df).withColumn(
         "_at", F.row_number().over(_window(order_by, ranged=many)).cast("bigint")
-    )
+    ).withColumn("_nth", F.count(value).over(_running(group)))
+    known = F.when(value.isNotNull(), F.struct(
+        F.col("_at").alias("at"), value.alias("value"), (F.col("_nth") > 1).alias("second"), *[F.col(k) for k in keys],
+    ))
     # Backwards by place, not by key: equal rows have to come in the opposite order, too.
     local = placed.withColumn("_before", F.last(known, ignorenulls=True).over(_running(_window(order_by, ranged=many)))).withColumn(
         "_after", F.last(known, ignorenulls=True).over(_running(_window(["_at"], True, many)))
     )
+    at, before, after = F.col("_at"), F.col("_before"), F.col("_after")
     if many:
-        joined = local.join(F.broadcast(_neighbours_across(placed, value)), RANGE)
-        at = F.col("_offset") + F.col("_at")
-        before, after = _neighbour("before"), _neighbour("after")
-    else:
-        joined = local.withColumn("_total", F.count(value).over(Window.partitionBy(F.lit(0))))
-        at, before, after = F.col("_at"), F.col("_before"), F.col("_after")
-    between = before["value"] + (after["value"] - before["value"]) * (
-        (at - before["at"]).cast("double") / (after["at"] - before["at"])
+        local = local.join(F.broadcast(_neighbours_across(placed, known, keys)), RANGE)
+        at = F.col("_offset") + at
+        carried = F.col("_carry_before")
+        second = before["second"] | _same_group(carried, before, keys)
+        before = F.coalesce(_moved(before, F.col("_offset"), second, keys), carried)
+        after = F.coalesce(_moved(after, F.col("_offset"), after["second"], keys), F.col("_carry_after"))
+    for k in keys:
+        before, after = (F.when(side[k].eqNullSafe(F.col(k)), side) for side in (before, after))
+    around = local.withColumns({"_p": at, "_b": before, "_a": after})
+    low, high = F.col("_b"), F.col("_a")
+    between = low["value"] + (high["value"] - low["value"]) * (
+        (F.col("_p") - low["at"]).cast("double") / (high["at"] - low["at"])
     )
     estimate = (
         F.when(value.isNotNull(), value)
-        .when(F.col("_total") < 2, F.lit(None).cast("double"))
-        .when(after.isNull(), before["value"])
-        .otherwise(between)
+        .when(low.isNotNull() & high.isNotNull(), between)
+        .when(high.isNull() & low["second"], low["value"])
     )
-    return joined.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns if c != TIE]).toDF(*names)
+    return around.select(*[estimate.alias(name) if c == name else column(c) for c in df.columns if c != TIE]).toDF(*names)
 
 
-def _neighbours_across(placed: DataFrame, value: Column) -> DataFrame:
-    """Per range: row offset, known values in all ranges, and the nearest known values outside it."""
-    place = F.when(value.isNotNull(), F.col("_at"))
-    per_range = placed.groupBy(RANGE).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(value).alias("_known"),
-        F.max_by(value, place).alias("_last_value"),
-        F.max(place).alias("_last_at"),
-        F.min_by(value, place).alias("_first_value"),
-        F.min(place).alias("_first_at"),
-    )
-    offsets = per_range.select(
-        "*",
-        F.coalesce(F.sum("_rows").over(_across()), F.lit(0)).alias("_offset"),
-        F.sum("_known").over(Window.partitionBy(F.lit(0))).alias("_total"),
-    )
+def _same_group(one: Column, other: Column, keys: Sequence[str]) -> Column:
+    """Whether both known values exist and are of one group."""
+    return reduce(lambda a, b: a & b, [one[k].eqNullSafe(other[k]) for k in keys], one.isNotNull() & other.isNotNull())
 
-    def edge(side: str) -> Column:
-        at = F.col("_offset") + F.col(f"_{side}_at")
-        return F.when(at.isNotNull(), F.struct(at.alias("at"), F.col(f"_{side}_value").alias("value")))
 
-    return offsets.select(
-        RANGE, "_offset", "_total",
-        F.last(edge("last"), ignorenulls=True).over(_across()).alias("_carry_before"),
-        F.last(edge("first"), ignorenulls=True).over(_across(True)).alias("_carry_after"),
-    )
+def _moved(known: Column, offset: Column, second: Column, keys: Sequence[str]) -> Column:
+    """A known value with its place in the whole table; `second`: its group has a known value before it."""
+    return F.when(known.isNotNull(), F.struct(
+        (known["at"] + offset).alias("at"), known["value"].alias("value"), second.alias("second"), *[known[k].alias(k) for k in keys],
+    ))
 
 
-def _neighbour(side: str) -> Column:
-    """Nearest known value on one side: within the range if there is one, else carried into it."""
-    here = F.col(f"_{side}")
-    moved = F.struct((here["at"] + F.col("_offset")).alias("at"), here["value"].alias("value"))
-    return F.coalesce(F.when(here.isNotNull(), moved), F.col(f"_carry_{side}"))
+def _neighbours_across(placed: DataFrame, known: Column, keys: Sequence[str]) -> DataFrame:
+    """Per range: row offset and the nearest known values before and behind it."""
+    place = known["at"]
+    per_range = placed.groupBy(RANGE).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max_by(known, place).alias("_last"), F.min_by(known, place).alias("_first")
+    )
+    placed_ranges = per_range.withColumn("_offset", F.coalesce(F.sum("_rows").over(_across()), F.lit(0)))
+    last, first = F.col("_last"), F.col("_first")
+    earlier = placed_ranges.withColumn("_earlier", F.last(last, ignorenulls=True).over(_across()))
+    second = last["second"] | _same_group(F.col("_earlier"), last, keys)
+    edges = earlier.select(
+        RANGE, "_offset",
+        _moved(last, F.col("_offset"), second, keys).alias("_last"),
+        _moved(first, F.col("_offset"), first["second"], keys).alias("_first"),
+    )
+    return edges.select(
+        RANGE, "_offset",
+        F.last("_last", ignorenulls=True).over(_across()).alias("_carry_before"),
+        F.last("_first", ignorenulls=True).over(_across(True)).alias("_carry_after"),
+    )
 
 
 def preview_rows(df: DataFrame, order_by: Sequence[str], k: int = 20) -> DataFrame:

@@ -80,6 +80,25 @@ def test_fewer_than_two_values_are_not_interpolated(spark):
     assert found == [None, 1.0, 2.0, 3.0, 4.0, 4.0]
 
 
+@pytest.mark.parametrize("rows_per_range", [150, 10**6])
+def test_interpolation_stays_in_its_group(spark, rows_per_range):
+    """One group holds half of the rows over many ranges; others have no, one or a few values; one key is null."""
+    rng = np.random.default_rng(3)
+    keys = np.where(rng.random(N) < 0.5, 5, rng.integers(0, 400, N)).astype(float)
+    x = np.where(rng.random(N) < np.where(keys == 5, 0.01, 0.4), rng.random(N).round(3), np.nan)
+    x[(keys == 7) | (keys == 8)] = np.nan
+    x[np.flatnonzero(keys == 8)[:1]] = 4.0
+    table = pd.DataFrame({"id": np.arange(N), "k": np.where(keys == 9, np.nan, keys), "x": x})
+    df = spark.createDataFrame(table).selectExpr("id", "nanvl(k, NULL) AS k", "x")
+    found = ordering.interpolate(df, "x", ["id"], rows_per_range, ["k"]).toPandas().sort_values("id")["x"].to_numpy(float)
+
+    def plain(part: pd.Series) -> pd.Series:
+        return part.interpolate() if part.notna().sum() > 1 else part
+
+    wanted = table.groupby("k", dropna=False)["x"].transform(plain).to_numpy()
+    np.testing.assert_allclose(found, wanted, rtol=1e-9)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, x double")
     for fill in (ordering.forward_fill, ordering.backward_fill, ordering.interpolate):
