@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablewright.llm.base import crc_fold, free_name, query, quoted, table
+from tablewright.llm.base import Scratch, crc_fold, free_name, query, quoted, table
 from tablewright.llm.kernels import mix, slices, texts_of
 
 GRAM = 4
-LEAST_SHARE = 2e-6  # so at most 500,000 n-grams per language reach the driver
+LEAST_SHARE = 2e-6  # so a filter holds at most 500,000 n-grams
 SLOTS_PER_GRAM = 16
 HASHES = 3
 UNKNOWN = "und"
@@ -128,27 +128,48 @@ def hashed(values: np.ndarray, slots: int) -> list[np.ndarray]:
     return [((h >> (np.uint64(k) * np.uint64(21))) ^ (h >> bits) * np.uint64(k)) & low for k in range(HASHES)]
 
 
+def filter_bits(grams_of: DataFrame, size: int) -> DataFrame:
+    """word, slot, bits of all filters from (k, gram): the bits of 64 languages in a slot, combined before the shuffle."""
+
+    def marked(batches):
+        for batch in batches:
+            k, values = (batch.column(c).to_numpy().astype(np.uint64) for c in (0, 1))
+            slot = np.concatenate(hashed(values, size))
+            key = np.tile(k >> np.uint64(6), HASHES) << np.uint64(40) | slot
+            bits = np.tile(np.uint64(1) << (k & np.uint64(63)), HASHES)
+            order = np.argsort(key, kind="stable")
+            keys, starts = np.unique(key[order], return_index=True)
+            held = np.bitwise_or.reduceat(bits[order], starts) if len(starts) else bits
+            yield pa.record_batch(
+                [
+                    pa.array((keys >> np.uint64(40)).astype(np.int32)), pa.array((keys & np.uint64((1 << 40) - 1)).astype(np.int64)),
+                    pa.array(held.view(np.int64)),
+                ],
+                names=["word", "slot", "bits"],
+            )
+
+    return grams_of.mapInArrow(marked, "word int, slot long, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits"))
+
+
 def fit(counts: DataFrame, least_share: float = LEAST_SHARE) -> Model:
-    """Filters from (lang, gram, n): at most 1 / least_share n-grams of a language reach the driver."""
+    """Filters from (lang, gram, n), made by Spark: the driver gets a row per language, and per slot the bits of 64 languages.
+
+    No n-gram reaches the driver. `least_share` 0 takes all n-grams; the filters' size follows the largest language.
+    `counts` is read three times, so let it be written.
+    """
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * least_share)
-    rows = frequent.select("lang", "gram", "total").toArrow()
-    lang = np.array(rows["lang"].to_pylist(), dtype=object)
-    gram = rows["gram"].to_numpy()
-    total = {name: n for name, n in zip(rows["lang"].to_pylist(), rows["total"].to_pylist())}
-    languages = sorted(total, key=lambda name: (-total[name], name))
-    most = max((int((lang == name).sum()) for name in languages), default=1)
-    size = 1 << int(np.ceil(np.log2(max(1024, SLOTS_PER_GRAM * most))))
+    known = frequent.groupBy("lang", "total").agg(F.count(F.lit(1)).alias("grams")).collect()
+    languages = [row["lang"] for row in sorted(known, key=lambda row: (-row["total"], row["lang"]))]
+    size = 1 << int(np.ceil(np.log2(max(1024, SLOTS_PER_GRAM * max((row["grams"] for row in known), default=1)))))
     kind = next(t for t, most_languages in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 1 << 60)) if len(languages) <= most_languages)
     slots = np.zeros((size, -(-max(len(languages), 1) // 64)), kind)
-    chance = np.zeros(len(languages))
-    for k, name in enumerate(languages):
-        filled = np.zeros(size, bool)
-        for place in hashed(gram[lang == name], size):
-            filled[place] = True
-        slots[filled, k // 64] |= kind(1 << (k % 64))
-        chance[k] = filled.mean() ** HASHES
-    return Model(languages, slots, chance)
+    # One row per language.
+    index = counts.sparkSession.createDataFrame(list(enumerate(languages)), "k long, lang string")
+    masks = filter_bits(frequent.join(F.broadcast(index), "lang").select("k", "gram"), size).toArrow()
+    slots[masks["slot"].to_numpy(), masks["word"].to_numpy()] = masks["bits"].to_numpy().view(np.uint64).astype(kind)
+    filled = [np.count_nonzero(slots[:, k // 64] & kind(1 << (k % 64))) / size for k in range(len(languages))]
+    return Model(languages, slots, np.array(filled) ** HASHES)
 
 
 def has_letter(text: str | None) -> bool:
@@ -195,5 +216,6 @@ def identify_language(df: DataFrame, model: Model, text_col: str = "text") -> Da
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = crc_fold(F.col("doc_id"), 4) == 2
-    model = fit(gram_counts(documents.where(~held_out)))
+    with Scratch(spark, "language") as scratch:
+        model = fit(scratch.write(gram_counts(documents.where(~held_out)), "grams"))
     return identify_language(documents.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
